@@ -52,9 +52,8 @@ def _trim(c: Column) -> Column:
 
 def _interleave(gaps: Column, fills: Column) -> Column:
     """gap 0, fill 0, gap 1, fill 1, ... as one string."""
-    return F.array_join(
-        F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(fills, i), F.lit("")))), ""
-    )
+    joined = F.zip_with(gaps, fills, lambda g, f: F.concat(g, F.coalesce(f, F.lit(""))))
+    return F.array_join(joined, "")
 
 
 def _unwrap(c: Column) -> Column:
@@ -80,36 +79,45 @@ def _unquote(span: Column) -> Column:
     return F.when(span.rlike(r'^".*\\u[0-9a-fA-F]{4}'), F.coalesce(coded, plain)).otherwise(plain)
 
 
+def _let(value: Column, then) -> Column:
+    """Evaluate value once per row and hand it to then; a captured expression would be evaluated per element."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def packed_values(field: Column, missing: tuple[str, ...] = ("none", "nan", "null")) -> Column:
     """array<string> of the members of a packed field, in order, never null."""
     whole = _trim(field)
-    text = _unwrap(whole)
-    gaps = F.split(text, _SPAN)
-    spans = F.regexp_extract_all(text, F.lit(_SPAN), F.lit(0))
-    marks = F.transform(
-        spans,
-        lambda s, i: F.when(
-            F.lit(_QUOTES).contains(F.substring(s, 1, 1)),
-            F.concat(F.lit(_A), i.cast("string"), F.lit(_B)),
-        ).otherwise(F.concat(F.lit(_C), i.cast("string"), F.lit(_D))),
-    )
-    body = _trim(_interleave(gaps, marks))
+    cut = _let(_unwrap(whole), lambda t: F.struct(
+        F.split(t, _SPAN).alias("gaps"), F.regexp_extract_all(t, F.lit(_SPAN), F.lit(0)).alias("spans")))
+    marked = _let(cut, lambda c: F.struct(
+        c["spans"].alias("spans"), _interleave(c["gaps"], F.transform(c["spans"], _mark)).alias("body")))
+    values = _let(marked, lambda c: F.filter(
+        F.transform(F.split(_open(_trim(c["body"])), _SPLIT), lambda m: _restore(_trim(m), c["spans"])), lambda v: v != ""))
+    none = field.isNull() | (whole == "") | F.lower(whole).isin(*missing) | whole.rlike(rf"^[\[({{]{_BLANK}*[\])}}]$")
+    return F.when(none, F.array().cast("array<string>")).otherwise(values)
+
+
+def _mark(span: Column, i: Column) -> Column:
+    """The placeholder of a span: quoted ones and others differ, since only quotes may be parted by blanks."""
+    at = i.cast("string")
+    quoted = F.lit(_QUOTES).contains(F.substring(span, 1, 1))
+    return F.when(quoted, F.concat(F.lit(_A), at, F.lit(_B))).otherwise(F.concat(F.lit(_C), at, F.lit(_D)))
+
+
+def _open(body: Column) -> Column:
+    """Without the brackets of a list or set; an opening bracket that never closes goes too."""
     body = F.regexp_replace(body, r"(?s)^\[([^\[\]]*)\]$", "$1")
     body = F.regexp_replace(body, r"(?s)^\{([^{}]*)\}$", "$1")
-    body = F.regexp_replace(body, r"^[\[{](?=[^\]}]*$)", "")
-    members = F.filter(F.transform(F.split(body, _SPLIT), _trim), lambda m: m != "")
-
-    def restore(m: Column) -> Column:
-        at = F.regexp_extract_all(m, F.lit(f"[{_A}{_C}](\\d+)[{_B}{_D}]"), F.lit(1))
-        alone = m.rlike(f"^{_A}\\d+{_B}$")
-        found = F.transform(at, lambda k: F.get(spans, k.cast("int")))
-        whole_span = _unquote(F.get(found, F.lit(0)))
-        inline = _interleave(F.split(m, f"[{_A}{_C}]\\d+[{_B}{_D}]"), found)
-        return _trim(F.when(alone, whole_span).otherwise(inline))
-
-    values = F.filter(F.transform(members, restore), lambda v: v != "")
-    none = field.isNull() | (whole == "") | whole.rlike(rf"^[\[({{]{_BLANK}*[\])}}]$") | F.lower(whole).isin(*missing)
-    return F.when(none, F.array().cast("array<string>")).otherwise(values)
+    return F.regexp_replace(body, r"^[\[{](?=[^\]}]*$)", "")
+
+
+def _restore(member: Column, spans: Column) -> Column:
+    """Look the placeholders of a member up; a member that is one quoted span loses its quotes."""
+    at = F.regexp_extract_all(member, F.lit(f"[{_A}{_C}](\\d+)[{_B}{_D}]"), F.lit(1))
+    found = F.transform(at, lambda k: F.get(spans, k.cast("int")))
+    alone = member.rlike(f"^{_A}\\d+{_B}$")
+    inline = _interleave(F.split(member, f"[{_A}{_C}]\\d+[{_B}{_D}]"), found)
+    return _trim(F.when(alone, _unquote(F.get(found, F.lit(0)))).otherwise(inline))
 
 
 def explode_packed(
