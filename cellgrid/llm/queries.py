@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import lookalike
+from . import lookalike, tokenize
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,5 +18,10 @@ def p9_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.normalize(table(spark, sf_dir, "documents"), "text", "form").select("doc_id", "form")
 
 
-QUERIES = {"p9_found": p9_found, "p9_forms": p9_forms}
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document by byte_bpe_50k."""
+    return tokenize.encode_column(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"p7_ids": p7_ids, "p9_found": p9_found, "p9_forms": p9_forms}
 ORACLE: dict[str, str] = {}
