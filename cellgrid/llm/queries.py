@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import lookalike, tokenize
+from . import lookalike, proportions, tokenize
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,5 +23,59 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize.encode_column(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p7_ids": p7_ids, "p9_found": p9_found, "p9_forms": p9_forms}
-ORACLE: dict[str, str] = {}
+LABELS = ["doc_type", "bin_label"]
+
+
+def _draw(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    q, t = table(spark, sf_dir, "questions"), table(spark, sf_dir, "sample_targets")
+    return proportions.draw(q, t, "question_id", "ingested_at", LABELS, ["doc_id"])
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Categories with fewer questions than their share or minimum asks for."""
+    return _draw(spark, sf_dir)[1].filter("short > 0").select(*LABELS)
+
+
+def p4_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sample itself."""
+    return _draw(spark, sf_dir)[0]
+
+
+def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per category what was asked for, there, drawn and missing."""
+    return _draw(spark, sf_dir)[1]
+
+
+_P4 = """
+WITH q AS (SELECT question_id, min_by(doc_type, ingested_at) dt, min_by(bin_label, ingested_at) bl FROM questions
+           WHERE question_id IS NOT NULL GROUP BY question_id),
+     have AS (SELECT regexp_replace(lower(dt), '[\\s-]', '', 'g') a, regexp_replace(lower(bl), '[\\s-]', '', 'g') b, count(*) n
+              FROM q GROUP BY ALL),
+     want AS (SELECT doc_type, bin_label, target_pct, min_rows, sample_rows,
+                     greatest(min_rows, CAST(ceil(target_pct * sample_rows / 100.0) AS BIGINT)) AS wanted,
+                     coalesce(n, 0) AS available
+              FROM sample_targets LEFT JOIN have ON a = regexp_replace(lower(doc_type), '[\\s-]', '', 'g')
+                   AND b = regexp_replace(lower(bin_label), '[\\s-]', '', 'g'))
+"""
+_P4_REPORT = _P4 + """,
+seat AS (SELECT doc_type, bin_label, target_pct, min_rows, sample_rows, k, k <= min_rows AS base,
+                CASE WHEN target_pct > 0 THEN (k - 0.5) / target_pct END AS priority
+         FROM (SELECT *, unnest(range(1, least(available, greatest(sample_rows, min_rows)) + 1)) AS k FROM want)),
+placed AS (SELECT *, row_number() OVER (ORDER BY base DESC, priority ASC NULLS LAST, regexp_replace(lower(doc_type), '[\\s-]', '', 'g'),
+                  regexp_replace(lower(bin_label), '[\\s-]', '', 'g'), k) AS place
+           FROM seat WHERE target_pct > 0 OR base),
+given AS (SELECT doc_type, bin_label, count(*) AS seats FROM placed WHERE base OR place <= sample_rows GROUP BY ALL)
+SELECT w.doc_type, w.bin_label, target_pct, min_rows, sample_rows, wanted, available, coalesce(seats, 0) AS seats,
+       greatest(wanted - available, 0) AS short
+FROM want w LEFT JOIN given g ON w.doc_type = g.doc_type AND w.bin_label = g.bin_label
+"""
+
+QUERIES = {
+    "p4_found": p4_found,
+    "p4_sample": p4_sample,
+    "p4_report": p4_report,
+    "p7_ids": p7_ids, "p9_found": p9_found, "p9_forms": p9_forms}
+ORACLE: dict[str, str] = {
+    "p4_found": _P4 + "SELECT doc_type, bin_label FROM want WHERE available < wanted",
+    "p4_report": _P4_REPORT,
+}
