@@ -194,6 +194,9 @@ class Folder:
 
     def forms(self, texts: list[str]) -> list[np.ndarray]:
         """The forms of many texts as arrays of code points; most texts need only the table."""
+        return [f for a, b in slices(texts) for f in self._forms(texts[a:b])]
+
+    def _forms(self, texts: list[str]) -> list[np.ndarray]:
         _, step, hard = self._machine()
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
         ends = np.cumsum(lengths)
@@ -237,6 +240,18 @@ class Folder:
         return text.strip(" \n\t")
 
 
+def slices(texts: list[str], chars: int = 1_000_000) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about so many characters, so that the arrays of a batch stay small."""
+    start = size = 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size >= chars:
+            yield start, i + 1
+            start, size = i + 1, 0
+    if start < len(texts):
+        yield start, len(texts)
+
+
 def _symbol(c: str) -> bool:
     return bool(c) and unicodedata.category(c) in ("So", "Sk")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import lookalike, proportions, tokenize
+from . import leakage, lookalike, proportions, tokenize
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,11 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize.encode_column(table(spark, sf_dir, "documents"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage or question of the test material, with the item."""
+    return leakage.leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
 LABELS = ["doc_type", "bin_label"]
 
 
@@ -74,7 +79,8 @@ QUERIES = {
     "p4_found": p4_found,
     "p4_sample": p4_sample,
     "p4_report": p4_report,
-    "p7_ids": p7_ids, "p9_found": p9_found, "p9_forms": p9_forms}
+    "p7_ids": p7_ids,
+    "p8_found": p8_found, "p9_found": p9_found, "p9_forms": p9_forms}
 ORACLE: dict[str, str] = {
     "p4_found": _P4 + "SELECT doc_type, bin_label FROM want WHERE available < wanted",
     "p4_report": _P4_REPORT,
