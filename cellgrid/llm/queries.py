@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import table
-from . import leakage, lookalike, proportions, tokenize
+from . import leakage, lookalike, proportions, scans, tokenize
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +29,23 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "doc_pages")
+    q = table(spark, sf_dir, "questions").filter(proportions.label_key(F.col("scan_label")) == "scanned")
+    return scans.examine(pages, q.select("doc_id"), scans.lexicon(pages))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The noise of each line of scanned documents."""
+    found = _pages(spark, sf_dir).select("doc_id", "page_index", F.explode(F.arrays_zip("span_no", "noise")).alias("f"))
+    return found.select("doc_id", "page_index", "f.span_no", "f.noise")
+
+
+def p5_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The running text of each page of scanned documents."""
+    return _pages(spark, sf_dir).select("doc_id", "page_index", "text")
+
+
 LABELS = ["doc_type", "bin_label"]
 
 
@@ -79,6 +97,8 @@ QUERIES = {
     "p4_found": p4_found,
     "p4_sample": p4_sample,
     "p4_report": p4_report,
+    "p5_found": p5_found,
+    "p5_pages": p5_pages,
     "p7_ids": p7_ids,
     "p8_found": p8_found, "p9_found": p9_found, "p9_forms": p9_forms}
 ORACLE: dict[str, str] = {
