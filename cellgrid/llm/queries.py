@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import leakage, lookalike, proportions, scans, tokenize
+from . import endings, leakage, lookalike, proportions, scans, tokenize
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,6 +46,21 @@ def p5_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pages(spark, sf_dir).select("doc_id", "page_index", "text")
 
 
+def _cut(spark: SparkSession, sf_dir: str, keep: list[str]) -> DataFrame:
+    p, q = table(spark, sf_dir, "predictions"), table(spark, sf_dir, "questions")
+    return endings.find_cut(p, "text", keep, q.select("question"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose text was cut."""
+    return _cut(spark, sf_dir, ["seq"]).filter("cut").select("seq")
+
+
+def p6_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per model the share of its rows with text that are cut."""
+    return endings.rates(_cut(spark, sf_dir, ["seq", "model_spec"]), "model_spec")
+
+
 LABELS = ["doc_type", "bin_label"]
 
 
@@ -99,6 +114,8 @@ QUERIES = {
     "p4_report": p4_report,
     "p5_found": p5_found,
     "p5_pages": p5_pages,
+    "p6_found": p6_found,
+    "p6_rates": p6_rates,
     "p7_ids": p7_ids,
     "p8_found": p8_found, "p9_found": p9_found, "p9_forms": p9_forms}
 ORACLE: dict[str, str] = {
