@@ -69,10 +69,15 @@ def shape(text: str) -> str:
 
 # Frequent words that tell languages apart.
 STOP = {
-    "en": "the of and to in for was is are with by from on at this that which what how did not be has had does its an as we i cannot can't could sorry between per according give".split(),
-    "de": "der die das und den von im in zu für mit auf ist nicht wird laut nach einen eine einem des dem wie welchen war ich kann um bei sich keine aus dazu genau leider betrug meldete an gab es welche hoch".split(),
-    "fr": "le la les de des du et en pour dans est une un sur par au aux que qui selon ne pas je ce cette quelle quel à été a était il avec entre d l relevée vaut".split(),
-    "es": "el la los las de del y en para por con un una es se que no según al lo su cuánto qué fue como entre más esta este informó ha puede puedo esa ese cuál valor hay a".split(),
+    "en": "the of and to in for was is are with by from on at this that which what how did not be has had does its an as we i cannot can t could "
+    "sorry between per according give a it such no here find able am out my me you there if or more than after before near who won when "
+    "only about were although since should moving page section table figure figures value number answer".split(),
+    "de": "der die das und den von im in zu für mit auf ist nicht wird laut nach einen eine einem des dem wie welchen war ich kann um bei sich "
+    "keine kein aus dazu genau leider betrug meldete an gab es welche hoch wir können waren über rund vergleicht ersetzte seite jahr".split(),
+    "fr": "le la les de des du et en pour dans est une un sur par au aux que qui selon ne pas je ce cette quelle quel à été a était il avec entre d l n "
+    "relevée relevé vaut soit plus depuis ont ici réponse peux près déjà mois après".split(),
+    "es": "el la los las de del y en para por con un una es se que no según al lo su cuánto qué fue como entre más esta este estas informó ha puede "
+    "puedo esa ese cuál valor hay a aquí indica tenían ya cerca después soy sido".split(),
 }
 _STOPS = {k: frozenset(v) for k, v in STOP.items()}
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -97,17 +102,18 @@ def language(text: str) -> str:
             if n[best] > 0.25 * latin:
                 return best
     words = _WORDS.findall(text)
-    low = [w for w in words if w.islower() or len(w) > 1 and w[0].isupper() and w.lower() in _ALL_STOPS]
+    low = [w.lower() for w in words if w.islower() or w.lower() in _ALL_STOPS]
     if not low:
         return ""
-    score = {k: sum(w.lower() in s for w in low) for k, s in _STOPS.items()}
-    score["de"] += sum(c in "äöüß" for w in low for c in w) * 0.2
-    score["fr"] += sum(c in "çœèêà" for w in low for c in w) * 0.2
-    score["es"] += sum(c in "ñíóú¿¡" for w in low for c in w) * 0.2
-    best = max(score, key=score.get)
-    return best if score[best] >= 1 else ""
+    score = {k: sum(w in s for w in low) for k, s in _STOPS.items()}
+    for k, marks in _MARKS.items():
+        score[k] += 0.25 * sum(c in marks for w in low for c in w)
+    best, second = sorted(score, key=score.get, reverse=True)[:2]
+    return best if score[best] >= 1 and score[best] > score[second] and (len(low) > 1 or len(words) > 1) else ""
 
 
+# Letters that speak for a language.
+_MARKS = {"de": "äöüß", "fr": "çœèêà", "es": "ñíóú"}
 _ALL_STOPS = frozenset(w for s in _STOPS.values() for w in s)
 
 
@@ -298,27 +304,27 @@ def train(texts: DataFrame, text: str = "text", complete: DataFrame | None = Non
 DEFAULT = 1.0
 
 
+def describe(model: Model, raw: list[str | None]) -> pd.DataFrame:
+    """has_text, closed, figure, lang, odds, go, whole of each text."""
+    has = np.array([visible(t) for t in raw], bool)
+    ts = [trimmed(t) if v else "" for t, v in zip(raw, has)]
+    figure = np.array([bool(_FIGURE.search(t)) for t in ts], bool)
+    closed = np.array([not visible(t) or bool(_CLOSED.search(t)) for t in ts], bool) & ~figure
+    langs = [language(t) for t in ts]
+    ts = [t[:-1] if f else t for t, f in zip(ts, figure)]  # a point after a digit may be a decimal point
+    parts = [model.scores(ts[a:b]) for a, b in slices(ts)] or [model.scores([])]
+    odds, go, whole = (np.concatenate(x) for x in zip(*parts))
+    return pd.DataFrame({"has_text": has, "closed": closed, "figure": figure, "lang": pd.Series(langs, dtype=object), "odds": odds, "go": go, "whole": whole})
+
+
 def score(df: DataFrame, model: Model, text: str, keep: list[str]) -> DataFrame:
     """keep.., has_text, closed, figure, lang, odds, go, whole of every row."""
     shared = df.sparkSession.sparkContext.broadcast(model)
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = shared.value
         for pdf in batches:
-            raw = pdf["__text"]
-            ts = [trimmed(t) if visible(t) else "" for t in raw]
-            has = np.array([visible(t) for t in raw], bool)
-            figure = np.array([bool(_FIGURE.search(t)) for t in ts], bool)
-            closed = np.array([not visible(t) or bool(_CLOSED.search(t)) for t in ts], bool) & ~figure
-            langs = [language(t) for t in ts]
-            ts = [t[:-1] if f else t for t, f in zip(ts, figure)]  # a point after a digit may be a decimal point
-            parts = [m.scores(ts[a:b]) for a, b in slices(ts)] or [m.scores([])]
-            odds, go, whole = (np.concatenate(x) for x in zip(*parts))
-            out = pdf[keep].copy()
-            out["has_text"], out["closed"], out["figure"] = has, closed, figure
-            out["lang"], out["odds"], out["go"], out["whole"] = langs, odds, go, whole
-            yield out
+            yield pd.concat([pdf[keep].reset_index(drop=True), describe(shared.value, pdf["__text"].tolist())], axis=1)
 
     return df.select(*keep, F.col(f"`{text}`").cast("string").alias("__text")).mapInPandas(
         run, f"{kinds}, has_text boolean, closed boolean, figure boolean, lang string, odds double, go double, whole boolean"
@@ -349,6 +355,14 @@ def is_cut(limits: dict[str, float]) -> Column:
     return F.col("has_text") & ~F.col("closed") & F.when(F.col("figure"), ~F.col("whole") & (F.col("odds") > 2)).otherwise(open_end)
 
 
+def cut_flags(d: pd.DataFrame, limits: dict[str, float]) -> np.ndarray:
+    """The same over a described batch."""
+    limit = d["lang"].map(limits).fillna(DEFAULT).to_numpy(float)
+    odds, whole = d["odds"].to_numpy(), d["whole"].to_numpy(bool)
+    open_end = np.where(whole, odds > 2.3, odds > limit) | (d["go"].to_numpy() > 0.95)
+    return d["has_text"].to_numpy(bool) & ~d["closed"].to_numpy(bool) & np.where(d["figure"].to_numpy(bool), ~whole & (odds > 2), open_end)
+
+
 def find_cut(df: DataFrame, text: str, keep: list[str], complete: DataFrame | None = None) -> DataFrame:
     """keep.., has_text, lang, odds, cut."""
     model = train(df, text, complete)
