@@ -85,36 +85,44 @@ _WORDS = re.compile(r"[^\W\d_]+")
 
 def language(text: str) -> str:
     """en, de, fr, es, ru, el, ja, or '' where nothing speaks for one. Names and numbers do not count."""
-    if text.isascii() is False:
-        n = {"ru": 0, "el": 0, "ja": 0}
-        latin = 0
-        for c in text:
-            k = ord(c)
-            if 0x400 <= k < 0x530:
-                n["ru"] += 1
-            elif 0x370 <= k < 0x400 or 0x1F00 <= k < 0x2000:
-                n["el"] += 1
-            elif 0x3040 <= k < 0x3100 or 0x4E00 <= k < 0xA000:
-                n["ja"] += 2
+    if not text.isascii() and _OTHER.search(text):
+        n = {"ru": len(_CYRILLIC.findall(text)), "el": len(_GREEK.findall(text)), "ja": 2 * len(_KANA.findall(text))}
         best = max(n, key=n.get)
-        if n[best] >= 6:
-            latin = sum(c.isalpha() and c.islower() and ord(c) < 0x250 for c in text)
-            if n[best] > 0.25 * latin:
-                return best
+        if n[best] >= 6 and n[best] > 0.25 * sum(map(len, _LATIN.findall(text))):
+            return best
     words = _WORDS.findall(text)
-    low = [w.lower() for w in words if w.islower() or w.lower() in _ALL_STOPS]
+    score = [0.0, 0.0, 0.0, 0.0]
+    low = 0
+    for w in words:
+        k = _SPEAKS.get(w)
+        if k is None:
+            k = _SPEAKS.get(w.lower(), ())
+            low += bool(k) or w.islower()
+        else:
+            low += 1
+        for i in k:
+            score[i] += 1
     if not low:
         return ""
-    score = {k: sum(w in s for w in low) for k, s in _STOPS.items()}
-    for k, marks in _MARKS.items():
-        score[k] += 0.25 * sum(c in marks for w in low for c in w)
-    best, second = sorted(score, key=score.get, reverse=True)[:2]
-    return best if score[best] >= 1 and score[best] > score[second] and (len(low) > 1 or len(words) > 1) else ""
-
-
+    top = sorted(score)
+    if top[3] - top[2] < 1:
+        for w in words:
+            if w.islower() and not w.isascii():
+                for i, k in enumerate(_STOPS):
+                    score[i] += 0.25 * sum(c in _MARKS.get(k, "") for c in w)
+        top = sorted(score)
+    return list(_STOPS)[score.index(top[3])] if top[3] >= 1 and top[3] > top[2] and (low > 1 or len(words) > 1) else ""
+
+
+_SPEAKS: dict[str, tuple[int, ...]] = {}
+for _i, _k in enumerate(STOP):
+    for _w in _STOPS[_k]:
+        _SPEAKS[_w] = (*_SPEAKS.get(_w, ()), _i)
+_OTHER = re.compile("[\u0370-\u052f\u1f00-\u1fff\u3040-\u30ff\u4e00-\u9fff]")
+_CYRILLIC, _GREEK, _KANA = re.compile("[\u0400-\u052f]"), re.compile("[\u0370-\u03ff\u1f00-\u1fff]"), re.compile("[\u3040-\u30ff\u4e00-\u9fff]")
+_LATIN = re.compile("[a-z\u00df-\u024f]+")
 # Letters that speak for a language.
 _MARKS = {"de": "äöüß", "fr": "çœèêà", "es": "ñíóú"}
-_ALL_STOPS = frozenset(w for s in _STOPS.values() for w in s)
 
 
 class Contexts:
@@ -238,6 +246,16 @@ class Model:
         return odds, go, whole
 
 
+    def point_odds(self, texts: list[str]) -> np.ndarray:
+        """Log-odds that no sentence closes after the digit that a text (its point taken off) ends in."""
+        n, over = self.counts(Contexts(texts).finals()[:, : len(KS)])
+        closed, _ = self.counts(Contexts([t + "." for t in texts]).finals()[:, : len(KS)])
+        good = n - 1 >= self.least
+        pick, rows = good.argmax(axis=1), np.arange(len(texts))
+        n, closed = np.maximum(n[rows, pick] - 1, 0), np.maximum(np.maximum(closed, over)[rows, pick] - 1, 0)
+        return np.where(good.any(axis=1), np.log10(np.maximum(n - closed, 0) + 0.5) - np.log10(closed + 0.05), 0.0)
+
+
 def _key_frame(keys: np.ndarray, n: np.ndarray, over: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"key": keys.view(np.int64), "n": n.astype(np.int64), "over": over.astype(np.int64)})
 
@@ -259,6 +277,7 @@ def train(texts: DataFrame, text: str = "text", complete: DataFrame | None = Non
         seen = np.zeros(1 << _BITS, bool)
         for pdf in batches:
             ts = _prepare(pdf["t"])
+            ts += [t[:-1] for t in ts if _FIGURE.search(t)]
             for a, b in slices(ts):
                 seen[(Contexts(ts[a:b]).finals().ravel() & mask).astype(np.int64)] = True
         yield pd.DataFrame({"slot": np.nonzero(seen)[0].astype(np.int64)})
@@ -314,6 +333,9 @@ def describe(model: Model, raw: list[str | None]) -> pd.DataFrame:
     ts = [t[:-1] if f else t for t, f in zip(ts, figure)]  # a point after a digit may be a decimal point
     parts = [model.scores(ts[a:b]) for a, b in slices(ts)] or [model.scores([])]
     odds, go, whole = (np.concatenate(x) for x in zip(*parts))
+    at = np.nonzero(figure)[0]
+    if len(at):
+        odds[at] = model.point_odds([ts[i] for i in at])
     return pd.DataFrame({"has_text": has, "closed": closed, "figure": figure, "lang": pd.Series(langs, dtype=object), "odds": odds, "go": go, "whole": whole})
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.packed import first_delivery
 from ..session import table
-from . import endings, leakage, lookalike, proportions, scans, tokenize
+from . import endings, leakage, lookalike, pairs, proportions, scans, tokenize
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +62,15 @@ def p6_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return endings.rates(_cut(spark, sf_dir, ["seq", "model_spec"]), "model_spec")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Finished rows with a defect, and its type."""
+    p, q = table(spark, sf_dir, "predictions"), table(spark, sf_dir, "questions")
+    model = endings.train(p, "text", q.select("question"))
+    done = p.filter("status is null or status = 'ok'").select("seq", "question_id", "text", "is_unanswerable")
+    asked = first_delivery(q, "question_id", "ingested_at", ["question_id", "question"])
+    return pairs.find_defects(done.join(asked, "question_id", "left"), model)
+
+
 LABELS = ["doc_type", "bin_label"]
 
 
@@ -109,6 +119,7 @@ FROM want w LEFT JOIN given g ON w.doc_type = g.doc_type AND w.bin_label = g.bin
 """
 
 QUERIES = {
+    "p3_found": p3_found,
     "p4_found": p4_found,
     "p4_sample": p4_sample,
     "p4_report": p4_report,
