@@ -44,7 +44,7 @@ WORD_LEAST = 6
 _BITS = 22
 _NUM = re.compile(r"\d[\d.,]*\d|\d")
 _NAME = re.compile(r"[^\W\d_a-zà-öø-ÿα-ωά-ώа-я぀-鿿][^\W\d_]*(?:[-'’][^\W\d_]+)*")
-_TAIL = re.compile(r"[\s​-‏⁠﻿­]+$")
+_TAIL = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\xad\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u200b\u200c\u200d\u200e\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff"
 _CLOSED = re.compile(r"(?:[.!?。！？…]|[.!?。]?[)\]\"”»’']|```)[)\]\"”»’'*_`]*$")
 _FIGURE = re.compile(r"\d\.$")
 _LABEL = re.compile(r"(?:^|\n)\s*\**(?:final )?answer\s*:?\**\s*[\"']*$", re.IGNORECASE)
@@ -58,7 +58,9 @@ def visible(text: str | None) -> bool:
 
 def trimmed(text: str) -> str:
     """Without trailing blanks and without a lone answer label; a text in capitals in lower case."""
-    t = _TAIL.sub("", _LABEL.sub("", _TAIL.sub("", text)))
+    t = text.rstrip(_TAIL)
+    if "answer" in t[-30:].lower():
+        t = _LABEL.sub("", t).rstrip(_TAIL)
     return t.capitalize() if len(t) > 20 and t.isupper() else t
 
 
@@ -201,7 +203,7 @@ def _mix(h: np.ndarray, k: int) -> np.ndarray:
         h = (h ^ np.uint64(k * 0x51_7C_C1)) * np.uint64(0xD6E8FEB86659FD93)
         h ^= h >> np.uint64(32)
         h *= np.uint64(0xD6E8FEB86659FD93)
-        return h ^ (h >> np.uint64(29))
+        return (h ^ (h >> np.uint64(29))) & ~np.uint64(1)  # the lowest bit is free for a flag
 
 
 _SOLID = np.zeros(0x110000, bool)
@@ -303,8 +305,12 @@ def train(texts: DataFrame, text: str = "text", complete: DataFrame | None = Non
                 keep = mark[(c.word_keys & mask).astype(np.int64)]
                 keys.append(c.word_keys[keep])
                 over.append(~c.word_open[keep])
-                k, inv = np.unique(np.concatenate(keys), return_inverse=True)
-                yield _key_frame(k, np.bincount(inv, minlength=len(k)), np.bincount(inv, np.concatenate(over), minlength=len(k)))
+                # one sort of keys that carry their flag in the lowest bit
+                k = np.concatenate(keys) | np.concatenate(over).astype(np.uint64)
+                k.sort()
+                first = np.nonzero(np.concatenate([[True], k[1:] >> np.uint64(1) != k[:-1] >> np.uint64(1)]))[0] if len(k) else np.zeros(0, np.int64)
+                ended = np.add.reduceat(k & np.uint64(1), first) if len(k) else k
+                yield _key_frame(k[first] & ~np.uint64(1), np.diff(np.concatenate([first, [len(k)]])), ended)
                 total = len(c.places)
                 yield _key_frame(np.zeros(1, np.uint64), np.array([total]), np.zeros(1))
 

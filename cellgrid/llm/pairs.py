@@ -339,10 +339,11 @@ def find_defects(pairs: DataFrame, endings: Model, key: str = "seq", train_rows:
     """key, defect. pairs: key, question, text, is_unanswerable, of finished rows."""
     scored = cut_lineage(score(pairs.withColumn("__t", F.col("text")), endings, "__t", [key, "question", "text", "is_unanswerable"]))
     limits = thresholds(scored)
-    sample = (
-        scored.filter("question is not null and has_text").withColumn("__h", F.xxhash64(key, F.lit(11)))
-        .orderBy("__h", key).limit(train_rows).select("question", "text", "is_unanswerable").toPandas()
-    )
+    usable = scored.filter("question is not null and has_text")
+    # about train_rows rows by hash, so that no task sends more than its share
+    part = min(1.0, train_rows / max(usable.count(), 1))
+    chosen = usable.filter(F.pmod(F.xxhash64(key, F.lit(11)), F.lit(1 << 30)) < int(part * (1 << 30)))
+    sample = chosen.select(key, "question", "text", "is_unanswerable").limit(2 * train_rows).toPandas().sort_values(key).reset_index(drop=True)
     sample["is_unanswerable"] = [x is True or x is np.True_ for x in sample["is_unanswerable"]]
     shared = pairs.sparkSession.sparkContext.broadcast((train(sample, endings, limits), limits))
     kind = pairs.schema[key].dataType.simpleString()
