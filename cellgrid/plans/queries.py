@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar as S
 from ..operators import facts, stats
 from ..session import table
-from . import sql, tables
+from . import operators_queries, sql, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -63,5 +63,5 @@ TABLES: dict[str, Query] = {
     "accuracy_points": over(lambda j: stats.accuracy(j, ["model_spec", "representation"])),
     "accuracy_bootstrap": _bootstrap,
 }
-QUERIES: dict[str, Query] = dict(TABLES)
-ORACLE: dict[str, str] = dict(sql.TABLES)
+QUERIES: dict[str, Query] = TABLES | operators_queries.QUERIES
+ORACLE: dict[str, str] = sql.TABLES | operators_queries.ORACLE

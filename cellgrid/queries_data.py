@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,15 +26,19 @@ def p2_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_percentiles(table(spark, sf_dir, "predictions"), GROUPS, MEASURES)
 
 
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select(*[F.round(c, 3).alias(c) if c.startswith("p") and c[1:].isdigit() else F.col(c) for c in df.columns])
+
+
 def p2_merged_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same within 0.5 %, from summaries per day of recorded_at joined over all days."""
     p = table(spark, sf_dir, "predictions").withColumn("day", F.to_date("recorded_at"))
-    return merged_percentiles(summarize(p, "day", GROUPS, MEASURES), GROUPS)
+    return _rounded(merged_percentiles(summarize(p, "day", GROUPS, MEASURES), GROUPS))
 
 
 def p2_merged_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same from summaries per run_tag, joined."""
-    return merged_percentiles(summarize(table(spark, sf_dir, "predictions"), "run_tag", GROUPS, MEASURES), GROUPS)
+    return _rounded(merged_percentiles(summarize(table(spark, sf_dir, "predictions"), "run_tag", GROUPS, MEASURES), GROUPS))
 
 
 _P2 = """
@@ -52,7 +58,14 @@ _PICK = ", ".join(
 )
 _P2_EXACT = _P2 + "SELECT model_spec, representation, measure, n, " + _PICK.format(*["v"] * 4) + " FROM ranked GROUP BY ALL"
 
-ORACLE = {"p2_percentiles": _P2_EXACT}
+_W = repr(2 * math.log1p(0.005))
+_P2_MERGED = _P2.split(",\nranked")[0] + f""",
+bins AS (SELECT model_spec, representation, measure, CAST(floor(ln(v) / {_W}) AS INT) AS bin, count(*) AS c FROM ok GROUP BY ALL),
+cum AS (SELECT *, sum(c) OVER (PARTITION BY model_spec, representation, measure)::BIGINT AS n, sum(c) OVER (PARTITION BY model_spec, representation, measure ORDER BY bin) AS upto FROM bins)
+SELECT model_spec, representation, measure, n, """ + ", ".join(
+    f"round(min(CASE WHEN upto >= greatest(1, (n * {m} + 999) // 1000) THEN exp((bin + 0.5) * {_W}) END), 3) AS p{p}" for m, p in ((500, 50), (900, 90), (950, 95), (990, 99))) + " FROM cum GROUP BY ALL"
+
+ORACLE = {"p2_percentiles": _P2_EXACT, "p2_merged_days": _P2_MERGED, "p2_merged_runs": _P2_MERGED}
 QUERIES = {
     "p1_found": p1_found,
     "p2_percentiles": p2_percentiles,

@@ -1 +1 @@
-"""cellgrid.sources"""
+"""Readers and writers."""
