@@ -27,7 +27,9 @@ def p2_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rounded(df: DataFrame) -> DataFrame:
-    return df.select(*[F.round(c, 3).alias(c) if c.startswith("p") and c[1:].isdigit() else F.col(c) for c in df.columns])
+    """Far below the stated error, so that the last bits of exp do not show."""
+    r = lambda c: F.when(F.col(c) >= 1e6, F.round(c, 0)).otherwise(F.round(c, 3)).alias(c)
+    return df.select(*[r(c) if c.startswith("p") and c[1:].isdigit() else F.col(c) for c in df.columns])
 
 
 def p2_merged_days(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +65,8 @@ _P2_MERGED = _P2.split(",\nranked")[0] + f""",
 bins AS (SELECT model_spec, representation, measure, CAST(floor(ln(v) / {_W}) AS INT) AS bin, count(*) AS c FROM ok GROUP BY ALL),
 cum AS (SELECT *, sum(c) OVER (PARTITION BY model_spec, representation, measure)::BIGINT AS n, sum(c) OVER (PARTITION BY model_spec, representation, measure ORDER BY bin) AS upto FROM bins)
 SELECT model_spec, representation, measure, n, """ + ", ".join(
-    f"round(min(CASE WHEN upto >= greatest(1, (n * {m} + 999) // 1000) THEN exp((bin + 0.5) * {_W}) END), 3) AS p{p}" for m, p in ((500, 50), (900, 90), (950, 95), (990, 99))) + " FROM cum GROUP BY ALL"
+    f"CASE WHEN {_v} >= 1e6 THEN round({_v}, 0) ELSE round({_v}, 3) END AS p{p}" for m, p in ((500, 50), (900, 90), (950, 95), (990, 99))
+    for _v in [f"min(CASE WHEN upto >= greatest(1, (n * {m} + 999) // 1000) THEN exp((bin + 0.5) * {_W}) END)"]) + " FROM cum GROUP BY ALL"
 
 ORACLE = {"p2_percentiles": _P2_EXACT, "p2_merged_days": _P2_MERGED, "p2_merged_runs": _P2_MERGED}
 QUERIES = {
