@@ -62,8 +62,8 @@ def primary_spec(rows: DataFrame, default: str = DEFAULT_SPEC) -> DataFrame:
 
 def or_all(rows: DataFrame, match: Column) -> DataFrame:
     """Matching rows; all of them where none matches."""
-    found = rows.agg(F.coalesce(F.max(match.cast("int")), F.lit(0)).alias("__any"))
-    return rows.join(F.broadcast(found)).filter(match | (F.col("__any") == 0)).drop("__any")
+    found = rows.agg(F.coalesce(F.max(match.cast("int")), F.lit(0)).alias("__any")).withColumn("__one", F.lit(1))
+    return rows.withColumn("__one", F.lit(1)).join(F.broadcast(found), "__one").filter(match | (F.col("__any") == 0)).drop("__any", "__one")
 
 
 def for_base(rows: DataFrame, base: str) -> DataFrame:
@@ -129,4 +129,4 @@ def backfill(rows: DataFrame, labels: DataFrame, column: str, other: str) -> Dat
     """Blank values of a column filled from a dimension by doc_id; `other` where it has none."""
     dim = labels.select("doc_id", F.col(column).alias("__b"))
     filled = F.when(F.coalesce(F.trim(column), F.lit("")) == "", F.col("__b")).otherwise(F.col(column))
-    return rows.join(F.broadcast(dim), "doc_id", "left").withColumn(column, S.blank_to(filled, other)).drop("__b")
+    return rows.join(dim, "doc_id", "left").withColumn(column, S.blank_to(filled, other)).drop("__b")

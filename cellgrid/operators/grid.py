@@ -37,7 +37,7 @@ def select(c: DataFrame, scan: str = "any", pool: str = "all", hop: str | int =
         label = F.lower(F.trim("scan_label"))
         if labels is not None:
             dim = labels.select("doc_id", F.col("auto_scan").alias("__s"))
-            c = c.join(F.broadcast(dim), "doc_id", "left")
+            c = c.join(dim, "doc_id", "left")
             label = F.coalesce(F.when(label != "", label), F.col("__s"))
         c = c.filter(label == scan).drop("__s")
     return c.filter(in_pool(pool)).filter(in_hop(hop))

@@ -24,6 +24,7 @@ The percentile q of n values is the value of rank max(1, ceil(q * n)).
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -55,12 +56,18 @@ def _name(q: float) -> str:
 
 
 def _rank(n: Column, q: float) -> Column:
-    # exact in integers: q is given in thousandths
+    """Exact in integers: q counts in thousandths."""
     return F.greatest(F.lit(1), F.ceil(n * F.lit(round(q * 1000)) / F.lit(1000))).cast("long")
 
 
+def nearest_even(n: Column, q: float) -> Column:
+    """The other definition in use: place round(q * (n - 1)), halves to even, from 0."""
+    return F.bround(F.lit(q) * (n - 1)).cast("long") + 1
+
+
 def exact_percentiles(
-    df: DataFrame, groups: list[str], measures: list[str], qs: tuple[float, ...] = (0.5, 0.9, 0.95, 0.99), parts: int = PARTS
+    df: DataFrame, groups: list[str], measures: list[str], qs: tuple[float, ...] = (0.5, 0.9, 0.95, 0.99), parts: int = PARTS,
+    rank: Callable[[Column, float], Column] = _rank,
 ) -> DataFrame:
     """groups.., measure, n, one column per percentile (p50, p90, ...)."""
     rows = _measurements(df, groups, measures)
@@ -68,7 +75,7 @@ def exact_percentiles(
     start = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")
     )
-    targets = F.array(*[F.struct(F.lit(i).alias("q"), _rank(F.col("n"), q).alias("rank")) for i, q in enumerate(qs)])
+    targets = F.array(*[F.struct(F.lit(i).alias("q"), rank(F.col("n"), q).alias("rank")) for i, q in enumerate(qs)])
     live = cut_lineage(
         start.select(*keys, "n", "lo", "hi", F.explode(targets).alias("t")).select(
             *keys, "n", "lo", "hi", "t.q", "t.rank", F.lit(0).cast("long").alias("below")

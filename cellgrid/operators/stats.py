@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import RUNGS, draw_table, rank_of
+from ..functions.scalar import RUNGS, draw_counts, rank_of
 
 
 def _share(flag: str | Column) -> Column:
@@ -29,41 +34,56 @@ def accuracy_with_total(rows: DataFrame, detail: str, keys: list[str]) -> DataFr
 def bootstrap(rows: DataFrame, keys: list[str], rounds: int = 1000, seed: int = 0, max_docs: int = 2000, cluster: str = "doc_id") -> DataFrame:
     """keys, n_docs, n, accuracy, ci_low, ci_high: document-level bootstrap.
 
-    The draws depend only on the number of documents, so they are made once per such
-    number and joined by document rank. Groups of up to max_docs documents join a
-    broadcast draw table (at most rounds x max_docs rows per number); larger groups weigh
-    their documents with Poisson counts instead, whose limit the draws have.
+    Groups of up to max_docs documents (a task gets at most that many rows of a group) take
+    the draws of the seeded generator itself, documents in sorted order. Larger groups give
+    each document a Poisson count per round from a hash of its id, which the draws approach;
+    their sums are made where the documents are, and only groups x rounds sums are shuffled.
     """
     docs = rows.groupBy(*keys, cluster).agg(F.sum(F.col("correct").cast("long")).alias("s"), F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy(*keys)
-    docs = docs.withColumn("n_docs", F.count(F.lit(1)).over(w)).withColumn("__place", F.row_number().over(w.orderBy(cluster)) - 1)
-    total = docs.groupBy(*keys, "n_docs").agg(F.sum("c").alias("n"), (F.sum("s") / F.sum("c")).alias("accuracy"))
-    spark = rows.sparkSession
-    sizes = [r[0] for r in total.select("n_docs").distinct().filter((F.col("n_docs") > 1) & (F.col("n_docs") <= max_docs)).collect()]
-    draws = [(n, b, k, m) for n in sizes for b, k, m in draw_table(n, rounds, seed)] if rounds else []
-    kind = "n_docs long, b int, __place int, m int"
-    small = docs.filter(F.col("n_docs") <= max_docs).join(F.broadcast(spark.createDataFrame(draws, kind)), ["n_docs", "__place"])
-    big = docs.filter(F.col("n_docs") > max_docs).select("*", F.explode(F.sequence(F.lit(0), F.lit(max(rounds, 1) - 1))).alias("b"))
-    u = (F.pmod(F.xxhash64(F.col(cluster), F.col("b"), F.lit(seed)), F.lit(1 << 53)) / F.lit(float(1 << 53))).alias("u")
-    big = big.withColumn("u", u).withColumn("m", _poisson(F.col("u"))).drop("u")
-    means = small.unionByName(big.select(*small.columns)).groupBy(*keys, "b").agg((F.sum(F.col("m") * F.col("s")) / F.sum(F.col("m") * F.col("c"))).alias("mean"))
-    ci = means.groupBy(*keys).agg(F.expr("percentile(mean, 0.025)").alias("lo"), F.expr("percentile(mean, 0.975)").alias("hi"))
-    cond = None
-    for k in keys:
-        c = F.col(f"t.{k}").eqNullSafe(F.col(f"c.{k}"))
-        cond = c if cond is None else cond & c
-    out = total.alias("t").join(ci.alias("c"), cond, "left") if keys else total.alias("t").join(ci.alias("c"), how="left")
-    return out.select(*[F.col(f"t.{k}") for k in keys], "n_docs", "n", "accuracy", F.coalesce("lo", "accuracy").alias("ci_low"), F.coalesce("hi", "accuracy").alias("ci_high"))
-
-
-def _poisson(u: Column) -> Column:
-    """A Poisson(1) count of a uniform value."""
-    out, p, total = F.lit(0), 0.36787944117144233, 0.36787944117144233
-    for k in range(1, 12):
-        out = F.when(u >= total, k).otherwise(out)
-        p /= k
-        total += p
-    return out
+    group = F.struct(*[F.col(k) for k in keys]) if keys else F.lit(0)
+    docs = docs.select(F.xxhash64(group).alias("g"), group.alias("keys"), F.col(cluster).alias("doc"), "s", "c")
+    total = docs.groupBy("g", "keys").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("c").alias("n"), (F.sum("s") / F.sum("c")).alias("accuracy"))
+    docs = docs.join(total.select("g", "n_docs"), "g")
+
+    def small(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("doc")
+        m = draw_counts(len(pdf), rounds, seed)
+        lo, hi = np.quantile(m @ pdf["s"].to_numpy() / (m @ pdf["c"].to_numpy()), [0.025, 0.975])
+        return pd.DataFrame({"g": pdf["g"].iloc[:1], "lo": lo, "hi": hi})
+
+    def large(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, np.ndarray] = {}
+        step = np.arange(1, rounds + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)
+        for pdf in batches:
+            for at in range(0, len(pdf), 500):
+                part = pdf.iloc[at : at + 500]
+                with np.errstate(over="ignore"):
+                    h = part["h"].to_numpy(np.int64).view(np.uint64)[:, None] + step[None, :]
+                    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                    u = (h ^ (h >> np.uint64(31))) / 2.0**64
+                m = np.searchsorted(_POISSON, u, "right")
+                for g in part["g"].unique():
+                    own = (part["g"] == g).to_numpy()
+                    s, c = part["s"].to_numpy()[own] @ m[own], part["c"].to_numpy()[own] @ m[own]
+                    sums[g] = sums.get(g, 0) + np.stack([s, c])
+        for g, x in sums.items():
+            yield pd.DataFrame({"g": g, "b": np.arange(rounds), "s": x[0], "c": x[1]})
+
+    if rounds:
+        few = docs.filter((F.col("n_docs") > 1) & (F.col("n_docs") <= max_docs)).select("g", "doc", "s", "c")
+        many = docs.filter(F.col("n_docs") > max_docs).select("g", F.xxhash64("doc").alias("h"), "s", "c")
+        means = many.mapInPandas(large, "g long, b int, s long, c long").groupBy("g", "b").agg((F.sum("s") / F.sum("c")).alias("mean"))
+        ci = few.groupBy("g").applyInPandas(small, "g long, lo double, hi double").unionByName(
+            means.groupBy("g").agg(F.expr("percentile(mean, 0.025)").alias("lo"), F.expr("percentile(mean, 0.975)").alias("hi")))
+        total = total.join(ci, "g", "left")
+    else:
+        total = total.withColumn("lo", F.lit(None).cast("double")).withColumn("hi", F.lit(None).cast("double"))
+    return total.select(*[F.col(f"keys.{k}").alias(k) for k in keys], "n_docs", "n", "accuracy", F.coalesce("lo", "accuracy").alias("ci_low"), F.coalesce("hi", "accuracy").alias("ci_high"))
+
+
+#: Cumulated Poisson(1) probabilities.
+_POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(20)])
 
 
 def frontier(cells: DataFrame, keys: list[str], margin: float = 3.0) -> DataFrame:
@@ -84,7 +104,7 @@ def kappa(rows: DataFrame, a: str, b: str, keys: list[str] | None = None) -> Dat
     ca = r.groupBy(*keys, F.col(a).alias("label")).agg(F.count(F.lit(1)).alias("x"))
     cb = r.groupBy(*keys, F.col(b).alias("label")).agg(F.count(F.lit(1)).alias("y"))
     prod = ca.join(cb, [*keys, "label"]).groupBy(*keys).agg(F.sum(F.col("x") * F.col("y")).alias("xy"))
-    j = both.join(prod, keys, "left") if keys else both.join(prod)
+    j = both.join(prod, keys, "left") if keys else both.withColumn("__k", F.lit(1)).join(prod.withColumn("__k", F.lit(1)), "__k")
     expected = F.coalesce("xy", F.lit(0)) / (F.col("n") * F.col("n"))
     j = j.withColumn("expected", expected)
     k = F.when(F.col("expected") == 1, (F.col("observed") == 1).cast("double")).otherwise((F.col("observed") - F.col("expected")) / (1 - F.col("expected")))
@@ -121,16 +141,3 @@ def transitions(rows: DataFrame, pairs: tuple[tuple[str, str], ...], by: str | N
     else:
         return pooled
     return detail.unionByName(pooled)
-
-
-def nearest_rank(values: Column, q: float) -> Column:
-    """The value at place round(q * (n - 1)) of the sorted array, halves to even; small groups only."""
-    s = F.sort_array(values)
-    return F.get(s, F.bround(F.lit(q) * (F.size(s) - 1)).cast("int"))
-
-
-def exact_rank(rows: DataFrame, keys: list[str], value: str, q: float) -> DataFrame:
-    """keys, n, value at place round(q * (n - 1)): by row numbers, for groups of any size up to a task's sort."""
-    w = Window.partitionBy(*keys)
-    r = rows.withColumn("__n", F.count(F.lit(1)).over(w)).withColumn("__i", F.row_number().over(w.orderBy(value)) - 1)
-    return r.filter(F.col("__i") == F.bround(F.lit(q) * (F.col("__n") - 1)).cast("int")).select(*keys, F.col("__n").alias("n"), F.col(value))

@@ -227,7 +227,7 @@ def _filters(spark, d):
 @query("label_stamp", _CORPUS + " SELECT question_id, coalesce(l.bin_label, '') AS bin_label, l.doc_id IS NOT NULL AS matched FROM c LEFT JOIN doc_labels l USING (doc_id)")
 def _stamp(spark, d):
     dim = table(spark, d, "doc_labels").select("doc_id", F.col("bin_label").alias("b"), F.lit(True).alias("m"))
-    j = corpus(spark, d).join(F.broadcast(dim), "doc_id", "left")
+    j = corpus(spark, d).join(dim, "doc_id", "left")
     return j.select("question_id", F.coalesce("b", F.lit("")).alias("bin_label"), F.coalesce("m", F.lit(False)).alias("matched"))
 
 
@@ -403,7 +403,7 @@ def _rbest(spark, d):
 @query("retrieval_by_bin")
 def _rbin(spark, d):
     dim = table(spark, d, "doc_labels").select("doc_id", "bin_label")
-    q = corpus(spark, d).select(F.col("question_id").alias("query_id"), "doc_id").join(F.broadcast(dim), "doc_id", "left")
+    q = corpus(spark, d).select(F.col("question_id").alias("query_id"), "doc_id").join(dim, "doc_id", "left")
     return retrieval.summary(_prf(spark, d).join(q, "query_id").withColumn("bin_label", F.coalesce("bin_label", F.lit(""))), ["retriever", "k", "bin_label"])
 
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..operators import facts, stats
+from ..operators.percentiles import exact_percentiles, nearest_even
+from ..session import cut_lineage
 
 DT, RUNG = "doc_type", "representation"
 PAIRS = (("TL", "TLV"), ("T", "TL"), ("T", "TLV"))
@@ -143,7 +145,7 @@ def scale(j: DataFrame, weights: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"), (F.sum(F.col("correct").cast("long")) / F.count(F.lit(1))).alias("accuracy"),
         F.round(F.avg("latency_s") * 1000, 3).alias("latency_ms"), F.max("peak_vram_bytes").alias("peak_vram_bytes"))
     w = weights.groupBy("model_spec").agg(F.sum("weights_bytes").alias("weights_bytes"), F.max("method").alias("method"))
-    return r.join(F.broadcast(w), "model_spec", "left")
+    return r.join(w, "model_spec", "left")
 
 
 def quantization(j: DataFrame, keys: tuple[str, ...] = (DT,), default: str = facts.DEFAULT_SPEC) -> DataFrame:
@@ -151,17 +153,16 @@ def quantization(j: DataFrame, keys: tuple[str, ...] = (DT,), default: str = fac
     r = facts.for_base(j, "oracle").withColumn("quant", S.quant_of(F.col("model_spec"))).filter(S.base_spec(F.col("model_spec")) == default)
     a = r.groupBy(*keys, "quant").agg(F.count(F.lit(1)).alias("n"), (F.sum(F.col("correct").cast("long")) / F.count(F.lit(1))).alias("accuracy"), F.max("peak_vram_bytes").alias("vram"))
     base = a.filter("quant = '16bit'").select(*keys, F.col("accuracy").alias("ba"), F.col("vram").alias("bv"))
-    joined = a.join(base, list(keys), "left") if keys else a.join(base, how="left")
+    joined = a.join(base, list(keys), "left")
     return joined.select(*keys, "quant", "n", "accuracy", "vram", ((F.col("accuracy") - F.col("ba")) * 100).alias("acc_delta"), (F.col("vram") - F.col("bv")).alias("vram_delta"))
 
 
 def vram_headroom(j: DataFrame) -> DataFrame:
     """Model x rung x resolution: greatest memory, the value at rank round(.95 (n-1)), room below 16 384 MB."""
-    r = j.filter("peak_vram_bytes > 0")
     key = ["model_spec", RUNG, "visual_resolution"]
-    top = r.groupBy(*key).agg(F.max("peak_vram_bytes").alias("max_bytes"))
-    p = stats.exact_rank(r, key, "peak_vram_bytes", 0.95).withColumnRenamed("peak_vram_bytes", "p95_bytes")
-    return top.join(p, key).withColumn("headroom_mb", 16384 - F.col("max_bytes") / 1e6)
+    p = exact_percentiles(cut_lineage(j.select(*key, "peak_vram_bytes")), key, ["peak_vram_bytes"], (0.95, 1.0), rank=nearest_even)
+    top, p95 = F.col("p100").cast("long"), F.col("p95").cast("long")
+    return p.select(*key, "n", top.alias("max_bytes"), p95.alias("p95_bytes"), (16384 - top / 1e6).alias("headroom_mb"))
 
 
 def oom_frontier(rows: DataFrame) -> DataFrame:
@@ -195,16 +196,16 @@ def scan_vs_digital(j: DataFrame, labels: DataFrame) -> DataFrame:
     return stats.accuracy(r, [DT, RUNG, "scan_label"])
 
 
-def routing(j: DataFrame, margin: float = 3.0) -> DataFrame:
-    """Accuracy, prefill and latency of uniform and routed policies; the routed one takes each doc_type's frontier rung."""
+def routing(j: DataFrame, classifier_s: float = 0.0) -> DataFrame:
+    """Accuracy, prefill and latency of uniform and routed policies; the routed ones take each doc_type's frontier rung, the predicted one pays the classifier's seconds, too."""
     o = oracle(j)
     chosen = headline_frontier(j)
     routed = o.join(F.broadcast(chosen), DT).filter(F.col(RUNG) == F.col("rung")).drop("rung")
-    parts = [("uniform_cheapest", o.filter(F.col(RUNG) == "T")), ("uniform_strongest", o.filter(F.col(RUNG) == "TLV")), ("oracle_routing", routed)]
+    parts = [("uniform_cheapest", o.filter(F.col(RUNG) == "T")), ("uniform_strongest", o.filter(F.col(RUNG) == "TLV")), ("oracle_routing", routed), ("predicted_routing", routed)]
     out = None
     for name, r in parts:
         one = r.agg(F.count(F.lit(1)).alias("n"), (F.sum(F.col("correct").cast("long")) / F.count(F.lit(1))).alias("accuracy"),
-                    F.round(F.avg("prefill_latency_s") * 1000, 3).alias("prefill_ms"), F.round(F.avg("latency_s") * 1000, 3).alias("latency_ms")).select(F.lit(name).alias("policy"), "*")
+                    F.round(F.avg("prefill_latency_s") * 1000, 3).alias("prefill_ms"), F.round((F.avg("latency_s") + (classifier_s if name == "predicted_routing" else 0.0)) * 1000, 3).alias("latency_ms")).select(F.lit(name).alias("policy"), "*")
         out = one if out is None else out.unionByName(one)
     return out
 

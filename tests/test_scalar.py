@@ -86,12 +86,13 @@ def test_numbers(spark):
 
 
 def test_draws_follow_the_seeded_generator():
-    rnd = random.Random(0)
-    want = [rnd.choice(list("abcde")) for _ in range(15)]
-    got = [(b, k, m) for b, k, m in S.draw_table(5, 3, 0)]
-    for b in range(3):
-        part = want[b * 5 : b * 5 + 5]
-        assert {(k, m) for x, k, m in got if x == b} == {("abcde".index(c), part.count(c)) for c in set(part)}
+    for n, rounds, seed in ((5, 3, 0), (1, 2, 0), (135, 20, 0), (922, 3, 7), (1024, 2, 1)):
+        rnd = random.Random(seed)
+        want = [[0] * n for _ in range(rounds)]
+        for b in range(rounds):
+            for _ in range(n):
+                want[b][rnd.choice(range(n))] += 1
+        assert S.draw_counts(n, rounds, seed).tolist() == want
     items = list("abcdefg")
     random.Random(3).shuffle(items)
     order = S.shuffle_order(7, 3)
