@@ -75,3 +75,31 @@ QUERIES = {
     "p2_merged_days": p2_merged_days,
     "p2_merged_runs": p2_merged_runs,
 }
+
+
+# p1 as SQL: unwrap a list that was written as a string, mark ' / ', then take the members by one pattern
+_D = r",;|\t\r\n\f、，；｜"
+_QUOTED = r'"(?:[^"\\]|\\.|"")*"'
+_SINGLE = r"'(?:[^'\\]|\\.|'\p{L})*'"
+_PAREN = r"\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\)"
+_PLAIN = rf"[^{_D}\s\"“„«'(\x{{1F}}]"
+_MEMBER = rf"(?:{_QUOTED}|“[^”]*”|«[^»]*»|{_SINGLE})|(?:{_PAREN}|{_PLAIN}['’]{_PLAIN}|{_PLAIN}|[ ]+{_PAREN}|[ ]+{_PLAIN})+"
+
+
+def _lit(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+_P1 = f"""
+WITH q AS (SELECT question_id, arg_min(evidence_sources, ingested_at) AS f FROM questions WHERE question_id IS NOT NULL GROUP BY 1),
+a AS (SELECT question_id, trim(f, E' \\t\\r\\n\\u00a0') AS t FROM q WHERE f IS NOT NULL),
+b AS (SELECT question_id, t, CASE WHEN regexp_matches(t, '^"\\s*[\\[{{(].*[\\]}})]\\s*"$') AND contains(t, '\\"') THEN regexp_replace(t[2:-2], '\\\\(["\\\\/])', '\\1', 'g') ELSE t END AS u
+      FROM a WHERE lower(t) NOT IN ('', 'none', 'nan', 'null') AND NOT regexp_matches(t, '^[\\[({{]\\s*[\\])}}]$')),
+c AS (SELECT question_id, regexp_replace(regexp_replace(trim(u), '^[\\[{{](.*)[\\]}}]$', '\\1', 's'), '^\\(\\s*([''"“].*)\\)$', '\\1', 's') AS v FROM b),
+d AS (SELECT question_id, regexp_extract_all(regexp_replace(v, '(\\s)/(\\s)', '\\1' || chr(31) || '\\2', 'g'), {_lit(_MEMBER)}) AS ms FROM c),
+e AS (SELECT question_id, [CASE WHEN regexp_matches(m, '^".*"$') THEN replace(regexp_replace(m[2:-2], '\\\\(.)', '\\1', 'g'), '""', '"') WHEN regexp_matches(m, '^(''.*''|“.*”|«.*»)$') THEN regexp_replace(m[2:-2], '\\\\(.)', '\\1', 'g') ELSE m END
+       for m in [trim(x) for x in ms]] AS ms FROM d),
+g AS (SELECT question_id, [replace(x, chr(31), '/') for x in [trim(y) for y in ms] if x <> ''] AS ms FROM e)
+SELECT question_id, generate_subscripts(ms, 1)::INT AS pos, unnest(ms) AS evidence_source FROM g
+"""
+ORACLE["p1_found"] = _P1
