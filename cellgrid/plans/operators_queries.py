@@ -524,3 +524,84 @@ def _wrate(spark, d):
 def _inspect(spark, d):
     j = judged(spark, d).filter(~F.col("correct") & (F.col("base") == "oracle") & (F.col("representation") == "TLV"))
     return j.select("seq", "question_id", "condition").orderBy("question_id", "seq").limit(50)
+
+
+# -- phases ---------------------------------------------------------------------------
+
+@query("judge_phase", sql.facts("SELECT seq, st = 'ok' AND correct AS correct, st = 'ok' AND abstained AS abstained FROM p2 WHERE prediction_key NOT IN (SELECT prediction_key FROM predictions WHERE run_tag = 'ladder-base')"))
+def _phase(spark, d):
+    """The rows of one run count as judged already; all others are judged, failed ones passed through."""
+    from ..operators import phases
+
+    p = preds(spark, d)
+    c = [F.col(x) for x in ("condition", "doc_id", "model_spec", "page_indices", "question_id", "representation", "visual_resolution")]
+    known = p.filter("run_tag = 'ladder-base'").select(S.prediction_key(*c, judge=F.lit("stub")).alias("result_key"))
+    return phases.judge_phase(p, table(spark, d, "questions"), known).select("seq", "correct", "abstained")
+
+
+@query("failed_rows", f"SELECT seq, {ST} AS status FROM predictions WHERE {ST} <> 'ok'")
+def _failed(spark, d):
+    from ..operators import phases
+
+    return phases.select_failed(preds(spark, d)).select("seq", "status")
+
+
+@query("classifier_rows", "SELECT doc_id, bin_label AS gold_bin, 'mixed-modality' AS predicted_bin, bin_label = 'mixed-modality' AS correct_bin FROM doc_labels WHERE doc_id IN (SELECT doc_id FROM questions)")
+def _classifier(spark, d):
+    from ..operators import phases
+
+    c = phases.classify_documents(table(spark, d, "questions"), table(spark, d, "doc_labels"), F.lit("a mixed page"))
+    return c.select("doc_id", "gold_bin", "predicted_bin", "correct_bin")
+
+
+@query("metadata_whitelist", "SELECT seq, coalesce(len(list_filter(map_keys(metadata), lambda k: k IN ('source_dataset', 'output_truncated', 'max_new_tokens', 'prompt_template_version', 'quantization'))), 0) AS kept FROM predictions")
+def _meta(spark, d):
+    from ..operators import phases
+
+    return preds(spark, d).select("seq", F.coalesce(F.size(phases.kept_metadata(F.coalesce("metadata", F.create_map().cast("map<string,string>")))), F.lit(0)).cast("long").alias("kept"))
+
+
+@query("build_status", f"SELECT run_tag, count(*) AS rows, count(*) FILTER ({ST} = 'ok') AS ok, count(*) FILTER (regexp_matches(coalesce(text, ''), '[\\p{{L}}\\p{{N}}]')) AS with_text, count(*) FILTER (coalesce(oom_occurred, false)) AS oom FROM predictions GROUP BY 1")
+def _build(spark, d):
+    from ..operators import phases
+
+    return phases.build_status(preds(spark, d))
+
+
+@query("documents_by_type", _CORPUS + ", x AS (SELECT doc_id, arg_min(doc_type, question_id) FILTER (doc_type IS NOT NULL) AS doc_type, count(DISTINCT doc_type) AS types FROM c GROUP BY 1) SELECT doc_type, count(*) AS docs, count(*) FILTER (types > 1) AS conflicts FROM x GROUP BY 1")
+def _bytype(spark, d):
+    from ..operators import phases
+
+    c = corpus(spark, d)
+    first = c.filter("doc_type is not null").groupBy("doc_id").agg(F.min_by("doc_type", "question_id").alias("t"))
+    return phases.documents_by_type(c.drop("doc_type").join(c.select("question_id", "doc_type"), "question_id").join(first, "doc_id", "left").select("doc_id", "question_id", F.coalesce("doc_type", "t").alias("doc_type")))
+
+
+@query("resolution_verdict", f"""WITH r AS (SELECT model_spec, visual_resolution, count(*) FILTER ({ST} = 'oom') AS oom, max(peak_vram_bytes) AS peak, CASE visual_resolution WHEN 'high' THEN 752640 WHEN 'med' THEN 501760 ELSE 313600 END AS cap FROM predictions WHERE visual_resolution IN ('high', 'med', 'low') GROUP BY ALL)
+SELECT model_spec, arg_max(visual_resolution, cap) FILTER (oom = 0) AS highest_ok, coalesce(arg_max(visual_resolution, cap) FILTER (oom = 0 AND peak / 1e6 < 16384), arg_min(visual_resolution, cap)) AS highest_fitting FROM r GROUP BY 1""")
+def _res(spark, d):
+    from ..operators import phases
+
+    return phases.resolution_verdict(preds(spark, d), S.PIXEL_CAPS)
+
+
+@query("doc_type_backfill", _CORPUS + ", f AS (SELECT doc_id, arg_min(doc_type, question_id) AS t FROM c WHERE trim(coalesce(doc_type, '')) <> '' GROUP BY 1) SELECT question_id, CASE WHEN trim(coalesce(doc_type, '')) = '' THEN t ELSE doc_type END AS doc_type FROM c LEFT JOIN f USING (doc_id)")
+def _backtype(spark, d):
+    from ..operators import phases
+
+    c = corpus(spark, d)
+    return phases.backfill_doc_type(c.select("question_id", "doc_id", "doc_type"), c).select("question_id", "doc_type")
+
+
+@query("gold_page_check", _CORPUS + f", {_NP} SELECT question_id, list_bool_and([p < np.pages for p in c.pg]) AS inside FROM c JOIN np ON np.doc_id = c.doc_id WHERE len(c.pg) > 0")
+def _goldcheck(spark, d):
+    from ..operators import phases
+
+    n = table(spark, d, "doc_pages").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    c = corpus(spark, d).filter(F.size("pages") > 0).join(n, "doc_id")
+    return c.select("question_id", phases.gold_in_range(F.col("pages"), F.col("n")).alias("inside"))
+
+
+@query("evidence_overlap", "SELECT question_id, count(DISTINCT representation) AS rungs FROM predictions WHERE len(evidence_sources) > 0 GROUP BY 1")
+def _overlap(spark, d):
+    return preds(spark, d).filter(F.size("evidence_sources") > 0).groupBy("question_id").agg(F.countDistinct("representation").alias("rungs"))
