@@ -346,15 +346,19 @@ def examine(pages: DataFrame, scanned: DataFrame, lex: Lexicon) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lx = shared.value
         for pdf in batches:
-            rows = [page(lx, list(r.lines), r.heads, r.numbers, r.xfirst, r.xlast) for r in pdf.itertuples()]
+            rows = [page(lx, list(r.lines), r.heads, r.numbers, r.xfirst, r.xlast, r.page_index == 0) for r in pdf.itertuples()]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "page_index": pdf["page_index"], "span_no": [[n for n, _ in f] for f, _ in rows],
                                 "noise": [[k for _, k in f] for f, _ in rows], "text": [t for _, t in rows]})
 
     return p.mapInPandas(run, RESULT)
 
 
-def page(lex: Lexicon, lines: list[str], heads, numbers, after: str | None, before: str | None) -> tuple[list[tuple[int, str]], str]:
-    """Findings of one page and its running text. after: the next page's first body line; before: the last body line of the page before."""
+def page(lex: Lexicon, lines: list[str], heads, numbers, after: str | None, before: str | None, first: bool = False) -> tuple[list[tuple[int, str]], str]:
+    """Findings of one page and its running text. after: the next page's first body line; before: the last body line of the page before.
+
+    A paragraph ends at a blank span, around a heading, after the title of the first page, and at a
+    line that closes a sentence well before the width of the page's lines.
+    """
     heads = set() if heads is None else {int(x) for x in heads}
     numbers = (set() if numbers is None else {int(x) for x in numbers}) - heads
     found = [(i, "header") for i in heads] + [(i, "page_number") for i in numbers]
@@ -364,10 +368,15 @@ def page(lex: Lexicon, lines: list[str], heads, numbers, after: str | None, befo
     held: tuple[str, str] | None = None if cut is None else (cut[0], "")  # a broken word still open
     skip = cut is not None and cut[2]
     last_place = -1
+    width = max((len(lines[i]) for i in body), default=0)
     for k, i in enumerate(body):
         tokens = lines[i].split()
-        if last_place >= 0 and (any(not lines[j].strip() for j in range(last_place + 1, i)) and held is None or _heading(lines[i]) or _heading(lines[last_place])):
-            out.append([])
+        if last_place >= 0 and held is None:
+            above = lines[last_place].rstrip()
+            gap = any(not lines[j].strip() for j in range(last_place + 1, i))
+            title = first and k == 1 and above[-1].isalnum() and not lines[i].lstrip()[0].islower()
+            if gap or title or _heading(lines[i]) or _heading(above) or above[-1] in ".!?" and len(above) < 0.8 * width:
+                out.append([])
         last_place = i
         nxt = lines[body[k + 1]] if k + 1 < len(body) else after
         cut = _breaks(lex, lines[i], nxt) if nxt else None

@@ -68,6 +68,12 @@ def test_empty(spark):
     assert run(spark, [], [("a",)]) == ([], {}) and run(spark, [("a", 0, ["x"])], [])[0] == []
 
 
+def test_paragraphs():
+    lines = ["Acme Works: Output 2003", "The committee approved several hundred litres of reserve for", "storage racks.", "Failures near orchards measured several litres of reserve with", "operators.", "", "1.2 Reserve", "The committee approved"]
+    text = page(lex(), lines, None, None, None, None, True)[1].split("\n\n")
+    assert [p.split()[0] for p in text] == ["Acme", "The", "Failures", "1.2", "The"]
+
+
 def test_page_alone():
     assert page(lex(), [], None, None, None, None) == ([], "")
     assert page(lex(), ["several litr-"], None, None, None, None) == ([], "several litr-")
