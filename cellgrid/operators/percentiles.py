@@ -106,9 +106,11 @@ def _narrow(rows: DataFrame, live: DataFrame, keys: list[str], parts: int, left:
     spans = live.groupBy(*keys, "lo", "hi").agg(F.count(F.lit(1)).alias("__k")).drop("__k")
     cond = reduce(lambda a, b: a & b, [F.col(f"r.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys])
     inside = (F.col("value") >= F.col("lo")) & (F.col("value") <= F.col("hi"))
-    piece = F.least(
-        F.floor((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * parts), F.lit(parts - 1)
-    ).cast("int")
+    # midpoints by ratio while an interval spans magnitudes, else by difference: stalls cost no extra passes
+    by_ratio = (F.ln("value") - F.ln("lo")) / (F.ln("hi") - F.ln("lo"))
+    by_difference = (F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo"))
+    share = F.when(F.col("hi") / F.col("lo") > 4, by_ratio).otherwise(by_difference)
+    piece = F.least(F.floor(share * parts), F.lit(parts - 1)).cast("int")
     if left <= BROADCAST_ROWS:
         joined = rows.alias("r").join(F.broadcast(spans).alias("s"), cond & inside)
     else:  # too many groups to broadcast: spread each key over salts, so that no task gets a hot group whole

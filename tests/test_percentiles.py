@@ -45,6 +45,13 @@ def test_merged_within_the_error(spark):
             assert abs(math.log(got["a"][name] / brute(v, q))) <= math.log1p(0.01) + 1e-9
 
 
+def test_many_magnitudes_end_soon(spark):
+    rows = [("g", 10.0**k) for k in range(-300, 300, 3)] + [("g", 5e-324), ("g", 1.7e308)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    got = exact_percentiles(df, ["g"], ["x"], QS).first()
+    assert (got.p50, got.p99) == (brute([v for _, v in rows], 0.5), brute([v for _, v in rows], 0.99))
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "g string, day string, x double")
     assert exact_percentiles(df, ["g"], ["x"]).count() == 0
