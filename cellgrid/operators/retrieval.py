@@ -108,12 +108,28 @@ def fallback_scores(pages: DataFrame, queries: DataFrame) -> DataFrame:
     return q.join(p, "doc_id").select("query_id", "doc_id", "page", F.round(s, 6).alias("score"))
 
 
-def rankings(scores: DataFrame) -> DataFrame:
-    """query_id, ranking: all pages in rank order (a document's pages, no more)."""
+def _listed(scores: DataFrame) -> DataFrame:
     r = scores.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "page"))).alias("r"))
     return r.select("query_id", F.col("r.page").alias("ranking"))
 
 
+def rankings(scores: DataFrame, k: int) -> DataFrame:
+    """query_id, ranking: the k best pages in rank order; the rest is dropped before the shuffle."""
+    return _listed(ranked(scores, k))
+
+
+def rule_rankings(scores: DataFrame, gold: DataFrame, distractors: int) -> DataFrame:
+    """query_id, ranking, gold: the gold pages and the best other ones that a rule can use, in rank order.
+
+    A rule looks at no other page, so a document of any length gives a short list.
+    """
+    g = gold.select("query_id", F.explode("gold").alias("page"), F.lit(True).alias("own"))
+    s = scores.join(g, ["query_id", "page"], "left").withColumn("own", F.coalesce("own", F.lit(False)))
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "page")
+    rest = s.filter(~F.col("own")).withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= max(distractors, 1)).drop("__n")
+    return _listed(s.filter("own").unionByName(rest)).join(gold, "query_id")
+
+
 def oracle_ranking(gold: Column, pages: Column) -> Column:
     """Gold pages in range first, in evidence order, then the rest ascending."""
     every = F.when(pages > 0, F.sequence(F.lit(0), pages - 1)).otherwise(F.array().cast("array<int>"))

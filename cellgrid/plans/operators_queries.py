@@ -189,7 +189,7 @@ def _key(spark, d):
     return preds(spark, d).select("seq", S.prediction_key(*c).alias("key"))
 
 
-@query("key_agreement")
+@query("key_agreement", ORACLE["prediction_key"].replace("SELECT seq, sha256", "SELECT sha256").replace(" AS key FROM", " = prediction_key AS equal, count(*) AS n FROM") + " GROUP BY 1")
 def _agree(spark, d):
     """How many recorded keys the computed ones equal."""
     c = [F.col(x) for x in ("condition", "doc_id", "model_spec", "page_indices", "question_id", "representation", "visual_resolution")]
@@ -351,7 +351,11 @@ def _bm(spark, d):
     return retrieval.ranked(retrieval.bm25(pages(spark, d), page_questions(spark, d)), 5)
 
 
-@query("bm25_okapi")
+_OK = _BM.replace("qt AS (SELECT query_id", "i0 AS (SELECT doc_id, tok, ln((n - df + 0.5) / (df + 0.5)) AS idf FROM df JOIN st USING (doc_id)), im AS (SELECT doc_id, avg(idf) AS mean FROM i0 GROUP BY 1), idf AS (SELECT doc_id, tok, CASE WHEN idf < 0 THEN mean * 0.25 ELSE idf END AS idf FROM i0 JOIN im USING (doc_id)), qt AS (SELECT query_id", 1).replace(
+    "sum(qn * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf", "sum(qn * idf * tf").replace("FROM qt JOIN df USING (doc_id, tok)", "FROM qt JOIN idf USING (doc_id, tok)")
+
+
+@query("bm25_okapi", _OK + " SELECT query_id, doc_id, page, score, rank FROM rk WHERE rank <= 5")
 def _okapi(spark, d):
     return retrieval.ranked(retrieval.bm25(pages(spark, d), page_questions(spark, d), okapi=True), 5)
 
@@ -370,8 +374,8 @@ def _gold(spark, d):
 
 
 def _prf(spark, d):
-    r = retrieval.rankings(retrieval.bm25(pages(spark, d), page_questions(spark, d)))
-    f = retrieval.rankings(retrieval.fallback_scores(pages(spark, d), page_questions(spark, d)))
+    r = retrieval.rankings(retrieval.bm25(pages(spark, d), page_questions(spark, d)), 5)
+    f = retrieval.rankings(retrieval.fallback_scores(pages(spark, d), page_questions(spark, d)), 5)
     u = r.join(f.withColumnRenamed("ranking", "other"), "query_id")
     ks = (1, 3, 5)
     out = retrieval.evaluate(r, _gold(spark, d), "bm25", ks).unionByName(retrieval.evaluate(f, _gold(spark, d), "lexical", ks))
@@ -400,7 +404,11 @@ def _rbest(spark, d):
     return retrieval.best_k(retrieval.summary(_prf(spark, d), ["retriever", "k"]))
 
 
-@query("retrieval_by_bin")
+_BIN = _PRF.replace("m AS (SELECT retriever, k, len", "m AS (SELECT retriever, k, coalesce(l.bin_label, '') AS bin_label, len").replace("ON c.question_id = hj.query_id)", "ON c.question_id = hj.query_id LEFT JOIN doc_labels l ON l.doc_id = c.doc_id)").replace(
+    "e AS (SELECT retriever, k,", "e AS (SELECT retriever, k, bin_label,").replace("s AS (SELECT retriever, k, count", "s AS (SELECT retriever, k, bin_label, count").replace("FROM e GROUP BY 1, 2)", "FROM e GROUP BY 1, 2, 3)")
+
+
+@query("retrieval_by_bin", _BIN + " SELECT * FROM s")
 def _rbin(spark, d):
     dim = table(spark, d, "doc_labels").select("doc_id", "bin_label")
     q = corpus(spark, d).select(F.col("question_id").alias("query_id"), "doc_id").join(dim, "doc_id", "left")
@@ -438,10 +446,10 @@ def _oracle(spark, d):
     return c.select("question_id", F.array_join(retrieval.oracle_ranking(F.col("pages"), F.col("n")), ",").alias("ranking"))
 
 
-def _rule_query(rule: str):
+def _rule_query(rule: str, distractors: int):
     def run(spark, d):
-        r = retrieval.rankings(retrieval.bm25(pages(spark, d), page_questions(spark, d)))
-        j = r.join(_gold(spark, d), "query_id").withColumn("base", F.lit(rule))
+        scores = retrieval.bm25(pages(spark, d), page_questions(spark, d))
+        j = retrieval.rule_rankings(scores, _gold(spark, d), distractors).withColumn("base", F.lit(rule))
         p = S.pageset_parts(F.col("base"))
         out = pageset.by_rule(F.col("ranking"), F.col("gold"), p["gold_mode"], p["gold_count"], p["distractors"], p["policies"])
         return j.select("query_id", F.coalesce(F.array_join(out["pages"], ","), F.lit("")).alias("pages"), out["status"].alias("status"), out["reason"].alias("reason"))
@@ -450,9 +458,9 @@ def _rule_query(rule: str):
 
 
 _RULE = _BM + f""", {_PG}, rl AS (SELECT query_id, list(page ORDER BY rank) AS ranking FROM rk GROUP BY 1), z AS (SELECT query_id, list_filter(ranking, lambda p: list_contains(pg, p)) AS g, list_filter(ranking, lambda p: NOT list_contains(pg, p)) AS o FROM rl JOIN c ON c.question_id = rl.query_id)"""
-QUERIES["pageset_drop_top"] = _rule_query("pageset:r=bm25:g=drop_top-1:d=0")
+QUERIES["pageset_drop_top"] = _rule_query("pageset:r=bm25:g=drop_top-1:d=0", 0)
 ORACLE["pageset_drop_top"] = _RULE + " SELECT query_id, CASE WHEN len(g) > 1 THEN array_to_string(list_sort(g[2:]), ',') ELSE '' END AS pages, CASE WHEN len(g) > 1 THEN 'ok' ELSE 'error' END AS status, CASE WHEN len(g) = 0 THEN 'no gold pages' WHEN len(g) = 1 THEN 'gold pool too small' ELSE '' END AS reason FROM z"
-QUERIES["pageset_distractors"] = _rule_query("pageset:r=bm25:g=all:d=3")
+QUERIES["pageset_distractors"] = _rule_query("pageset:r=bm25:g=all:d=3", 3)
 ORACLE["pageset_distractors"] = _RULE + " SELECT query_id, CASE WHEN len(g) > 0 THEN array_to_string(list_sort(list_concat(g, o[1:3])), ',') ELSE '' END AS pages, CASE WHEN len(g) > 0 THEN 'ok' ELSE 'error' END AS status, CASE WHEN len(g) = 0 THEN 'no gold pages' ELSE '' END AS reason FROM z"
 
 
@@ -475,7 +483,9 @@ def _ptext(spark, d):
     return table(spark, d, "doc_pages").select("doc_id", "page_index", F.length(t).alias("chars"), F.md5(t).alias("digest"))
 
 
-@query("representation_parts")
+@query("representation_parts", f"""WITH p AS (SELECT page_index, {_PT} AS t FROM doc_pages), x AS (SELECT length(t) AS n, trim(t) <> '' AS has, length((page_index + 1)::VARCHAR) AS d FROM p), l AS (SELECT d, n, CASE WHEN has THEN 7 + n ELSE 0 END AS t, CASE WHEN has THEN 20 + 2 * n ELSE 11 + n END AS tl FROM x)
+SELECT 'T' AS representation, count(*) AS pages, sum(t)::BIGINT AS chars, 0::BIGINT AS images FROM l UNION ALL SELECT 'TL', count(*), sum(tl)::BIGINT, 0 FROM l UNION ALL SELECT 'TLV', count(*), sum(tl + 9)::BIGINT, count(*) FROM l
+UNION ALL SELECT 'TLVi', count(*), sum(19 + d + n)::BIGINT, count(*) FROM l UNION ALL SELECT 'V', count(*), 7 * count(*), count(*) FROM l""")
 def _parts(spark, d):
     """Every page as each rung, the text length and images per rung."""
     p = table(spark, d, "doc_pages").withColumn("t", retrieval.page_text(F.col("text_spans")))
@@ -485,7 +495,10 @@ def _parts(spark, d):
     return g.groupBy("representation").agg(F.count(F.lit(1)).alias("pages"), F.sum(F.length(represent.prompt_text(F.col("parts")))).alias("chars"), F.sum(F.size(F.filter("parts", lambda x: x["kind"] == "image"))).alias("images"))
 
 
-@query("prompt_assembly")
+_MODES = ", ".join("({}, {})".format(*["'" + x.replace("'", "''") + "'" for x in (m, represent.INSTRUCTIONS[m])]) for m in S.MODES)
+
+
+@query("prompt_assembly", _CORPUS + f", m(mode, lead) AS (VALUES {_MODES}) SELECT question_id, mode, CASE WHEN lead <> '' THEN lead || chr(10) || chr(10) ELSE '' END || 'Question: ' || question || chr(10) || chr(10) || 'Answer:' AS prompt FROM c CROSS JOIN m")
 def _prompts(spark, d):
     c = corpus(spark, d).select("question_id", F.col("question"), F.explode(F.array(*[F.lit(m) for m in S.MODES])).alias("mode"))
     return c.select("question_id", "mode", represent.prompt(F.col("mode"), F.col("question"), F.lit("")).alias("prompt"))
