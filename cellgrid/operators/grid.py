@@ -43,24 +43,36 @@ def select(c: DataFrame, scan: str = "any", pool: str = "all", hop: str | int =
     return c.filter(in_pool(pool)).filter(in_hop(hop))
 
 
-def coherent_draw(c: DataFrame, group: str, target: int, seed: int = 0, cap: bool = False) -> DataFrame:
+#: Documents of a group up to which the seeded generator itself orders them.
+SHUFFLED = 200_000
+
+
+def coherent_draw(c: DataFrame, group: str, target: int, seed: int = 0, cap: bool = False, shuffled: int = SHUFFLED) -> DataFrame:
     """Whole documents in a seeded shuffle per group until the target is reached; groups at or below it stay whole.
 
-    The shuffle depends only on the seed and the number of documents, so it is joined by rank.
+    The shuffle depends only on the seed and the number of documents, so it is joined by
+    rank. Groups of more than `shuffled` documents take the order of a seeded hash, of which
+    the first `target` documents suffice: they are found before the shuffle.
     """
+    key = lambda a, b: F.col(f"{a}.{group}").eqNullSafe(F.col(f"{b}.{group}"))
     docs = c.groupBy(group, "doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("question_id").alias("first"))
+    totals = docs.groupBy(group).agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("total"))
+    d = docs.alias("d").join(totals.alias("t"), key("d", "t")).select("d.*", "docs", "total")
     w = Window.partitionBy(group)
-    docs = docs.withColumn("docs", F.count(F.lit(1)).over(w)).withColumn("total", F.sum("n").over(w)).withColumn("i", F.row_number().over(w.orderBy("first", "doc_id")) - 1)
-    sizes = [r[0] for r in docs.filter(F.col("total") > target).select("docs").distinct().collect()]
+    some = d.filter((F.col("total") > target) & (F.col("docs") <= shuffled)).withColumn("i", F.row_number().over(w.orderBy("first", "doc_id")) - 1)
+    sizes = [r[0] for r in totals.filter((F.col("total") > target) & (F.col("docs") <= shuffled)).select("docs").distinct().collect()]
     rows = [(n, i, p) for n in sizes for i, p in enumerate(S.shuffle_order(n, seed))]
-    places = c.sparkSession.createDataFrame(rows, "docs long, i int, place int")
-    d = docs.join(places, ["docs", "i"], "left").withColumn("place", F.coalesce("place", "i"))
+    some = some.join(c.sparkSession.createDataFrame(rows, "docs long, i int, place int"), ["docs", "i"]).select(group, "doc_id", "n", "place")
+    many = d.filter((F.col("total") > target) & (F.col("docs") > shuffled))
+    many = many.withColumn("place", F.row_number().over(w.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id")) - 1).filter(F.col("place") < target)
+    ordered = some.unionByName(many.select(group, "doc_id", "n", "place"))
     before = F.coalesce(F.sum("n").over(w.orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    kept = d.withColumn("before", before).filter((F.col("total") <= target) | (F.col("before") < target)).select(group, "doc_id", "place")
-    key = F.col(f"c.{group}").eqNullSafe(F.col(f"k.{group}")) & (F.col("c.doc_id") == F.col("k.doc_id"))
-    out = c.alias("c").join(kept.alias("k"), key).select("c.*", F.col("k.place").alias("place"))
+    taken = ordered.withColumn("before", before).filter(F.col("before") < target).select(group, "doc_id", "place")
+    whole = d.filter(F.col("total") <= target).select(group, "doc_id", F.lit(0).alias("place"))
+    kept = taken.unionByName(whole)
+    out = c.alias("c").join(kept.alias("k"), key("c", "k") & (F.col("c.doc_id") == F.col("k.doc_id"))).select("c.*", F.col("k.place").alias("place"))
     if cap:
-        out = out.withColumn("__n", F.row_number().over(Window.partitionBy(group).orderBy("place", "question_id"))).filter(F.col("__n") <= target).drop("__n")
+        out = out.withColumn("__n", F.row_number().over(w.orderBy("place", "question_id"))).filter(F.col("__n") <= target).drop("__n")
     return out.drop("place")
 
 

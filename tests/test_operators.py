@@ -129,6 +129,8 @@ def test_draw_is_whole_documents(spark):
     random.Random(0).shuffle(order)
     assert {r.doc_id for r in big} == {f"d{i}" for i in order[:3]}
     assert sum(r.grp == "g" for r in grid.coherent_draw(df, "grp", 7, cap=True).collect()) == 7
+    hashed = [r for r in grid.coherent_draw(df.withColumn("grp", F.lit(None).cast("string")), "grp", 7, shuffled=2).collect()]
+    assert len(hashed) == 9 and all(sum(r.doc_id == d for r in hashed) == 3 for d in {r.doc_id for r in hashed})
 
 
 def test_representation(spark):
