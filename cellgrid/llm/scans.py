@@ -195,6 +195,7 @@ class Lexicon:
         order = np.argsort(h, kind="stable")
         self.keys, self.at = h[order], np.array(at, np.int32)[order]
         self.known: dict[tuple[str, str], str | None] = {}
+        self.clean: set[str] = set()  # tokens of known words that stand, whatever goes before
 
     def candidates(self, word: str) -> set[str]:
         h = _hash(list(_deletes(word[:10])))
@@ -245,7 +246,11 @@ class Lexicon:
         """Whether a word broken into left and right is one word without its mark."""
         a = re.split(r"[-‐‑]", left.lower())[-1]
         b = re.split(r"[^\w@]", right.lower())[0]
-        return self.counts.get(f"{a}-{b}", 0) <= self.counts.get(a + b, 0)
+        for x, y in ((a, b), (self.repair(a) or a, self.repair(b) or b)):
+            with_mark, without = self.counts.get(f"{x}-{y}", 0), self.counts.get(x + y, 0)
+            if with_mark or without:
+                return with_mark <= without
+        return True
 
 
 def _lines(pages: DataFrame, spans: str, *keys: str) -> DataFrame:
@@ -258,13 +263,19 @@ def lexicon(pages: DataFrame, spans: str = "text_spans", share: float = SHARE, l
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n: Counter[str] = Counter()
+        known: dict[str, list[str]] = {}  # tokens repeat
         for pdf in batches:
+            if len(known) > 300_000:
+                known.clear()
             for lines in pdf["lines"]:
                 for words in line_words(list(lines)):
                     before = ""
                     for t in words:
-                        ps = [p.lower() for p in parts(t)]
-                        n.update(ps)
+                        ps = known.get(t)
+                        if ps is None:
+                            ps = known[t] = [p.lower() for p in parts(t)]
+                        for p in ps:
+                            n[p] += 1
                         n[""] += len(ps)
                         if len(ps) > 1 and "-" in t:
                             n["-".join(ps)] += 1
@@ -444,10 +455,15 @@ def _breaks(lex: Lexicon, line: str | None, nxt: str) -> tuple[str, str, bool] |
 
 def _fix(lex: Lexicon, token: str, before: str) -> tuple[str, bool]:
     """The token with its misread words repaired, and whether there were any."""
-    wrong = False
+    if token in lex.clean:
+        return token, False
+    wrong, whole, read = False, True, token
     for w in parts(token):
+        whole = whole and w.lower() in lex.counts
         r = lex.repair(w, before)
         if r is not None:
             shaped = r.upper() if w.isupper() and len(w) > 1 else r.capitalize() if w[0].isupper() else r
             token, wrong = token.replace(w, shaped, 1), True
+    if whole and not wrong and len(lex.clean) < 300_000:
+        lex.clean.add(read)
     return token, wrong

@@ -74,6 +74,12 @@ def test_paragraphs():
     assert [p.split()[0] for p in text] == ["Acme", "The", "Failures", "1.2", "The"]
 
 
+def test_compound_with_a_misread_part():
+    lx = lex()
+    lx.counts["longer"] = 9
+    assert not lx.joined("long", "tcrm") and not lx.joined("long", "term") and lx.joined("comm", "ittee") and lx.joined("comm", "itfee")
+
+
 def test_page_alone():
     assert page(lex(), [], None, None, None, None) == ([], "")
     assert page(lex(), ["several litr-"], None, None, None, None) == ([], "several litr-")
