@@ -215,20 +215,22 @@ def fit(flat: np.ndarray, stops: np.ndarray, dense: np.ndarray, y: np.ndarray, s
     wh, wd = np.zeros((K, DIM)), np.zeros((K, DENSE))
     gh, gd = np.full((K, DIM), 1e-4), np.full((K, DENSE), 1e-4)
     size = np.maximum(np.diff(stops), 1)
-    for r in range(rounds):
-        rnd.shuffle(train)
-        for b in range(0, len(train), 512):
-            at = train[b : b + 512]
-            idx = np.concatenate([flat[stops[i] : stops[i + 1]] for i in at])
-            row = np.repeat(np.arange(len(at)), np.diff(stops)[at])
-            scale = 1 / np.sqrt(size[at])
+    # the batches keep their rows, so what each of them touches is worked out once
+    batches = []
+    for b in range(0, len(train), 512):
+        at = train[b : b + 512]
+        slots, inv = np.unique(np.concatenate([flat[stops[i] : stops[i + 1]] for i in at]), return_inverse=True)
+        row = np.repeat(np.arange(len(at)), np.diff(stops)[at])
+        batches.append((at, slots, inv, row, 1 / np.sqrt(size[at])))
+    for _ in range(rounds):
+        for b in rnd.permutation(len(batches)):
+            at, slots, inv, row, scale = batches[b]
             for k in range(K):
-                z = np.bincount(row, wh[k][idx], minlength=len(at)) * scale + dense[at] @ wd[k]
+                z = np.bincount(row, wh[k][slots][inv], minlength=len(at)) * scale + dense[at] @ wd[k]
                 e = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[at, k]
-                g = np.bincount(idx, (e * scale)[row], minlength=DIM) / len(at)
-                hot = np.nonzero(g)[0]
-                gh[k][hot] += g[hot] ** 2
-                wh[k][hot] -= 0.15 * g[hot] / np.sqrt(gh[k][hot])
+                g = np.bincount(inv, (e * scale)[row], minlength=len(slots)) / len(at)
+                gh[k][slots] += g**2
+                wh[k][slots] -= 0.15 * g / np.sqrt(gh[k][slots])
                 d = dense[at].T @ e / len(at) + 1e-5 * wd[k]
                 gd[k] += d**2
                 wd[k] -= 0.15 * d / np.sqrt(gd[k])
