@@ -5,8 +5,7 @@ seats of every category's minimum come first, then the globally smallest priorit
 the sample is full. A category offers no more seats than it has rows, so the seats of an
 exhausted one go to the next priorities by themselves.
 
-The seats are drawn on a table of at most categories x sample_rows rows, never on the
-data. The rows of a category get a random order (a seeded hash of the key) as row numbers
+The seats come from the counts alone, never from the data. The rows of a category get a random order (a seeded hash of the key) as row numbers
 within (category, slice of the hash), plus the counts of the slices before: no task sorts
 a whole category, however large. A row is in the sample when its number is within its
 category's seats.
@@ -20,6 +19,10 @@ all kept and the sample is larger; targets of a repeated category count once.
 
 from __future__ import annotations
 
+import heapq
+import math
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,20 +55,52 @@ def _members(rows: DataFrame, key: str, order: str, labels: list[str], keep: lis
     return one.dropna(subset=[f"__k{i}" for i in range(len(labels))])
 
 
+def divide(cats: list[tuple[str, int, int, int]], total: int) -> dict[str, int]:
+    """Seats of (name, weight, minimum, available): minima first, then the smallest (k - 1/2) / weight.
+
+    The count of priorities up to a bound is a closed form, so the bound is bisected and
+    only ties at it are handed out one by one, in name order: no seat is listed.
+    """
+    seats = {n: min(m, a) for n, _, m, a in cats}
+    left = total - sum(seats.values())
+    open_ = [(n, w, seats[n], a) for n, w, _, a in cats if w > 0 and a > seats[n]]
+    if left <= 0 or not open_:
+        return seats
+    upto = lambda bound: {n: min(max(math.floor(bound * w + Fraction(1, 2)), f), a) for n, w, f, a in open_}
+    count = lambda bound: sum(upto(bound).values()) - sum(f for _, _, f, _ in open_)
+    lo, hi = Fraction(0), max(Fraction(2 * a + 1, 2 * w) for _, w, _, a in open_)
+    if count(hi) <= left:
+        return seats | upto(hi)
+    # priorities are at least 1 / (2 w v) apart unless equal
+    gap = Fraction(1, 4 * max(w for _, w, _, _ in open_) ** 2)
+    while hi - lo > gap:
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if count(mid) <= left else (lo, mid)
+    seats |= upto(lo)
+    rest = left - count(lo)
+    queue = [(Fraction(2 * seats[n] + 1, 2 * w), n, w, a) for n, w, _, a in open_ if seats[n] < a]
+    heapq.heapify(queue)
+    for _ in range(rest):
+        if not queue:
+            break
+        _, n, w, a = heapq.heappop(queue)
+        seats[n] += 1
+        if seats[n] < a:
+            heapq.heappush(queue, (Fraction(2 * seats[n] + 1, 2 * w), n, w, a))
+    return seats
+
+
 def allocate(cats: DataFrame, available: DataFrame, labels: list[str]) -> DataFrame:
-    """cats with available, seats and short (rows wanted but not there)."""
+    """cats with available, seats and short (rows wanted but not there); the stated targets are few and go through the driver."""
     ks = [f"__k{i}" for i in range(len(labels))]
     c = cats.join(F.broadcast(available), ks, "left").withColumn("available", F.coalesce("available", F.lit(0).cast("long")))
-    most = F.least("available", F.greatest("sample_rows", "min_rows"))
-    seats = c.filter(most > 0).select(*ks, "target_pct", "min_rows", "sample_rows", F.explode(F.sequence(F.lit(1).cast("long"), most)).alias("k"))
-    seats = seats.filter((F.col("target_pct") > 0) | (F.col("k") <= F.col("min_rows")))
-    floor = (F.col("k") <= F.col("min_rows")).cast("int")
-    priority = F.when(F.col("target_pct") > 0, (F.col("k") - 0.5) / F.col("target_pct"))
-    order = Window.orderBy(F.desc("floor"), F.asc_nulls_last("priority"), *ks, "k")
-    # the seats of all categories: bounded by categories x sample_rows, whatever the data
-    ranked = seats.withColumn("floor", floor).withColumn("priority", priority).withColumn("place", F.row_number().over(order))
-    given = ranked.filter((F.col("floor") == 1) | (F.col("place") <= F.col("sample_rows"))).groupBy(*ks).agg(F.count(F.lit(1)).alias("seats"))
-    out = c.join(given, ks, "left").withColumn("seats", F.coalesce("seats", F.lit(0).cast("long")))
+    rows = c.select(*ks, "target_pct", "min_rows", "sample_rows", "available").collect()
+    name = {"\x1f".join(r[k] for k in ks): r for r in rows}
+    stated = [(n, r.target_pct or 0, r.min_rows or 0, r.available) for n, r in sorted(name.items())]
+    seats = divide(stated, max((r.sample_rows or 0 for r in rows), default=0))
+    kind = ", ".join(f"{k} string" for k in ks) + ", seats long"
+    given = cats.sparkSession.createDataFrame([(*n.split("\x1f"), v) for n, v in seats.items()], kind)
+    out = c.join(F.broadcast(given), ks, "left").withColumn("seats", F.coalesce("seats", F.lit(0).cast("long")))
     return out.withColumn("short", F.greatest(F.col("wanted") - F.col("available"), F.lit(0).cast("long")))
 
 

@@ -1,7 +1,8 @@
 import math
+import random
 from collections import Counter
 
-from cellgrid.llm.proportions import draw
+from cellgrid.llm.proportions import divide, draw
 
 TARGETS = [("A b", "x-y", 50, 2, 20), ("C", "x-y", 30, 2, 20), ("D", "z", 20, 2, 20), ("E", "z", 0, 3, 20), ("F", "z", 0, 1, 20)]
 KIND = "doc_type string, bin_label string, target_pct int, min_rows int, sample_rows long"
@@ -40,6 +41,19 @@ def test_draw(spark):
     assert rep["A b"].wanted == max(2, math.ceil(0.5 * 20))
 
 
+def test_divide_against_listing_every_seat():
+    rnd = random.Random(1)
+    for _ in range(300):
+        cats = [(f"c{i}", rnd.choice([0, 1, 1, 2, 3, 5, 10]), rnd.randrange(4), rnd.randrange(40)) for i in range(rnd.randrange(1, 7))]
+        total = rnd.randrange(0, 120)
+        want = {n: min(m, a) for n, _, m, a in cats}
+        rest = sorted(((2 * k - 1) / (2 * w), n, k) for n, w, m, a in cats if w for k in range(min(m, a) + 1, a + 1))
+        for _, n, _ in rest[: max(0, total - sum(want.values()))]:
+            want[n] += 1
+        assert divide(cats, total) == want, (cats, total)
+    assert divide([("a", 50, 0, 10**12), ("b", 50, 3, 10**12)], 10**11) == {"a": 5 * 10**10, "b": 5 * 10**10}
+
+
 def test_empty_tables(spark):
     q = spark.createDataFrame([], "question_id string, doc_type string, bin_label string, doc_id string, t long")
     t = spark.createDataFrame(TARGETS, KIND)
