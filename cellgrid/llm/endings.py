@@ -46,7 +46,6 @@ _NUM = re.compile(r"\d[\d.,]*\d|\d")
 _NAME = re.compile(r"[^\W\d_a-zà-öø-ÿα-ωά-ώа-я぀-鿿][^\W\d_]*(?:[-'’][^\W\d_]+)*")
 _TAIL = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\xad\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u200b\u200c\u200d\u200e\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff"
 _CLOSED = re.compile(r"(?:[.!?。！？…]|[.!?。]?[)\]\"”»’']|```)[)\]\"”»’'*_`]*$")
-_FIGURE = re.compile(r"\d\.$")
 _LABEL = re.compile(r"(?:^|\n)\s*\**(?:final )?answer\s*:?\**\s*[\"']*$", re.IGNORECASE)
 _B = np.uint64(0x9E3779B97F4A7C15)
 _BI = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -149,7 +148,9 @@ class Contexts:
             up = np.cumprod(np.full(n + 1, _B, np.uint64))
             self.down = np.cumprod(np.full(n + 1, _BI, np.uint64))
             self.sums = np.concatenate([[np.uint64(0)], np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * up[:n])])
-        starts = self.ends - np.fromiter(map(len, shaped), np.int64, len(shaped))
+        sizes = np.fromiter(map(len, shaped), np.int64, len(shaped))
+        self.lengths = sizes - KS[0]  # of the reduced texts
+        starts = self.ends - sizes
         inside = np.ones(n + 1, bool)
         for k in range(KS[0]):  # places within the padding
             inside[starts + k] = False
@@ -241,7 +242,7 @@ class Model:
         rows = np.arange(len(texts))
         n, over = np.maximum(n[rows, pick], 0), np.maximum(over[rows, pick], 0)
         odds = np.log10((n - over + 0.5) / (over + 0.05))
-        whole = np.fromiter(map(len, map(shape, texts)), np.int64, len(texts)) < np.array(KS)[pick]
+        whole = c.lengths < np.array(KS)[pick]
         wn, won = self.counts(f[:, -1])
         wn = wn - 1
         go = np.where((f[:, -1] != 0) & (wn >= WORD_LEAST), 1 - won / np.maximum(wn, 1), 0.0)
@@ -279,7 +280,7 @@ def train(texts: DataFrame, text: str = "text", complete: DataFrame | None = Non
         seen = np.zeros(1 << _BITS, bool)
         for pdf in batches:
             ts = _prepare(pdf["t"])
-            ts += [t[:-1] for t in ts if _FIGURE.search(t)]
+            ts += [t[:-1] for t in ts if t[-1] == "." and t[-2:-1].isdigit()]
             for a, b in slices(ts):
                 seen[(Contexts(ts[a:b]).finals().ravel() & mask).astype(np.int64)] = True
         yield pd.DataFrame({"slot": np.nonzero(seen)[0].astype(np.int64)})
@@ -333,8 +334,8 @@ def describe(model: Model, raw: list[str | None]) -> pd.DataFrame:
     """has_text, closed, figure, lang, odds, go, whole of each text."""
     has = np.array([visible(t) for t in raw], bool)
     ts = [trimmed(t) if v else "" for t, v in zip(raw, has)]
-    figure = np.array([bool(_FIGURE.search(t)) for t in ts], bool)
-    closed = np.array([not visible(t) or bool(_CLOSED.search(t)) for t in ts], bool) & ~figure
+    figure = np.array([t[-1:] == "." and t[-2:-1].isdigit() for t in ts], bool)
+    closed = np.array([not t or bool(_CLOSED.search(t[-16:])) or not visible(t) for t in ts], bool) & ~figure
     langs = [language(t) for t in ts]
     ts = [t[:-1] if f else t for t, f in zip(ts, figure)]  # a point after a digit may be a decimal point
     parts = [model.scores(ts[a:b]) for a, b in slices(ts)] or [model.scores([])]

@@ -113,16 +113,19 @@ class Features:
     """Hashed n-grams and dense features of pairs."""
 
     def __init__(self) -> None:
-        self.ids: dict[str, int] = {}
+        self.ids: dict[str, tuple[str, bool, bool, int]] = {}
         self.asked: dict[str, tuple[list[str], frozenset[str], str]] = {}
 
-    def _id(self, w: str) -> int:
-        i = self.ids.get(w)
-        if i is None:
+    def _token(self, raw: str) -> tuple[str, bool, bool, int]:
+        """word, whether it is a figure, whether it is capitalised, id."""
+        t = self.ids.get(raw)
+        if t is None:
             if len(self.ids) > 300_000:
                 self.ids.clear()
-            i = self.ids[w] = xxhash.xxh64_intdigest("#" if w[0].isdigit() else w) & 0x7FFFFFFFFFFFFFFF
-        return i
+            w = raw.lower() if raw.isalpha() else raw.lower().translate(_POINTS)
+            figure = w[:1].isdigit()
+            t = self.ids[raw] = w, figure, raw[0].isupper(), xxhash.xxh64_intdigest("#" if figure else w) & 0x7FFFFFFFFFFFFFFF
+        return t
 
     def _question(self, q: str) -> tuple[list[str], frozenset[str], str]:
         known = self.asked.get(q)
@@ -137,21 +140,25 @@ class Features:
         """(hashed ids, their offsets, dense matrix)."""
         n = len(texts)
         rows, ids, sizes = [], [], []
-        one = self._id
+        one, seen = self._token, self.ids.get
         for q, t, lang in zip(questions, texts, ends["lang"]):
             asked, aset, lq = self._question(q)
-            body = _LEAD.sub("", t)
-            raw = _TOKEN.findall(body)
-            words = [w.lower() if w.isalpha() else w.lower().translate(_POINTS) for w in raw]
+            body = _LEAD.sub("", t) if ":" in t[:60] or "." in t[:60] else t
+            ids.append(2)
+            words = []
             numbers = names = novel = 0
-            shows = shout = False
-            for r, w in zip(raw, words):
-                figure = w[:1].isdigit()
+            shows = False
+            for r in _TOKEN.findall(body):
+                w, figure, upper, i = seen(r) or one(r)
+                words.append(w)
+                if w:
+                    ids.append(i)
                 shows |= figure
                 if w not in aset:
                     novel += 1
                     numbers += figure
-                    names += r[0].isupper()
+                    names += upper
+            ids.append(3)
             if names and body.isupper():
                 names = 0
             tset = set(words)
@@ -161,9 +168,6 @@ class Features:
             k = len(words)
             rows.append((1.0, cover, novel, min(numbers, 3) / 3, min(names, 5) / 5, novel / max(k, 1), differ, bool(lt), shows, k, cover >= 0.95,
                          cover >= 0.95 and not numbers and names <= 2, numbers > 0, k == 0, k <= 3, k > 40, differ and k > 3))
-            ids.append(2)
-            ids.extend([one(w) for w in words if w])
-            ids.append(3)
             sizes.append(len(ids))
         d = np.zeros((n, DENSE))
         if n:
