@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import random
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 from pyspark.sql import Column
@@ -324,23 +324,28 @@ def wait_text(seconds: Column) -> Column:
 # -- seeded draws -----------------------------------------------------------------------
 
 
-def draw_counts(n: int, rounds: int, seed: int) -> np.ndarray:
-    """rounds x n: how often each of n places is drawn in each round of n draws by Python's seeded choice().
+def draws(n: int, rounds: int, seed: int) -> Iterator[np.ndarray]:
+    """The n * rounds places that Python's seeded choice() draws from n places, in order, in pieces of about a million.
 
     choice() takes the upper bits of successive 32-bit outputs and skips those out of range;
-    the same stream is read here as a whole array.
+    the same stream is read here as arrays.
     """
     _, state, _ = random.Random(seed).getstate()
     words = np.random.MT19937()
     words.state = {"bit_generator": "MT19937", "state": {"key": np.array(state[:-1], np.uint64), "pos": state[-1]}}
-    shift, need, got, have = np.uint64(32 - n.bit_length()), n * rounds, [], 0
-    while have < need:
-        raw = words.random_raw(max(1024, int((need - have) * 1.2))) >> shift
-        raw = raw[raw < n]
-        got.append(raw)
-        have += len(raw)
-    places = np.concatenate(got)[:need].astype(np.int64)
-    return np.bincount(np.repeat(np.arange(rounds), n) * n + places, minlength=need).reshape(rounds, n)
+    shift, left = np.uint64(32 - n.bit_length()), n * rounds
+    while left:
+        raw = words.random_raw(min(1 << 20, max(1024, int(left * 1.2)))) >> shift
+        raw = raw[raw < n][:left].astype(np.int64)
+        left -= len(raw)
+        if len(raw):
+            yield raw
+
+
+def draw_counts(n: int, rounds: int, seed: int) -> np.ndarray:
+    """rounds x n: how often each of n places is drawn in each round of n draws by Python's seeded choice()."""
+    places = np.concatenate(list(draws(n, rounds, seed)))
+    return np.bincount(np.repeat(np.arange(rounds), n) * n + places, minlength=n * rounds).reshape(rounds, n)
 
 
 def shuffle_order(n: int, seed: int) -> list[int]:

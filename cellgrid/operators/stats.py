@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import RUNGS, draw_counts, rank_of
+from ..functions.scalar import RUNGS, draws, rank_of
 
 
 def _share(flag: str | Column) -> Column:
@@ -34,58 +33,52 @@ def accuracy_with_total(rows: DataFrame, detail: str, keys: list[str]) -> DataFr
 def bootstrap(rows: DataFrame, keys: list[str], rounds: int = 1000, seed: int = 0, max_docs: int = 2000, cluster: str = "doc_id") -> DataFrame:
     """keys, n_docs, n, accuracy, ci_low, ci_high: document-level bootstrap.
 
-    Groups of up to max_docs documents (a task gets at most that many rows of a group) take
-    the draws of the seeded generator itself, documents in sorted order. Larger groups give
-    each document a Poisson count per round from a hash of its id, which the draws approach;
-    their sums are made where the documents are, and only groups x rounds sums are shuffled.
+    Every group takes the draws of the seeded generator itself, documents in sorted order,
+    whatever its size. They are read a piece at a time beside two numbers a document, so a
+    task holds 16 bytes for each document of one group; ids stay behind at the sort.
+    max_docs changes nothing; callers still name it.
     """
     docs = rows.groupBy(*keys, cluster).agg(F.sum(F.col("correct").cast("long")).alias("s"), F.count(F.lit(1)).alias("c"))
     group = F.struct(*[F.col(k) for k in keys]) if keys else F.lit(0)
     docs = docs.select(F.xxhash64(group).alias("g"), group.alias("keys"), F.col(cluster).alias("doc"), "s", "c")
     total = docs.groupBy("g", "keys").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("c").alias("n"), (F.sum("s") / F.sum("c")).alias("accuracy"))
-    docs = docs.join(total.select("g", "n_docs"), "g")
 
-    def small(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("doc")
-        m = draw_counts(len(pdf), rounds, seed)
-        lo, hi = np.quantile(m @ pdf["s"].to_numpy() / (m @ pdf["c"].to_numpy()), [0.025, 0.975])
-        return pd.DataFrame({"g": pdf["g"].iloc[:1], "lo": lo, "hi": hi})
-
-    def large(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[int, np.ndarray] = {}
-        step = np.arange(1, rounds + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)
+    def bounds(g: int, parts: list[np.ndarray]) -> pd.DataFrame:
+        x = np.concatenate(parts, axis=1)
+        n = x.shape[1]
+        if n < 2:
+            return pd.DataFrame({"g": [], "lo": [], "hi": []})
+        sums, at = np.zeros((2, rounds)), 0
+        for places in draws(n, rounds, seed):
+            first = at // n
+            starts = np.concatenate([[0], np.arange((first + 1) * n, at + len(places), n) - at])
+            for i in (0, 1):
+                sums[i, first : first + len(starts)] += np.add.reduceat(x[i][places], starts)
+            at += len(places)
+        lo, hi = np.quantile(sums[0] / sums[1], [0.025, 0.975])
+        return pd.DataFrame({"g": [g], "lo": lo, "hi": hi})
+
+    def drawn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, parts = None, []
         for pdf in batches:
-            for at in range(0, len(pdf), 500):
-                part = pdf.iloc[at : at + 500]
-                with np.errstate(over="ignore"):
-                    h = part["h"].to_numpy(np.int64).view(np.uint64)[:, None] + step[None, :]
-                    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-                    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-                    u = (h ^ (h >> np.uint64(31))) / 2.0**64
-                m = np.searchsorted(_POISSON, u, "right")
-                for g in part["g"].unique():
-                    own = (part["g"] == g).to_numpy()
-                    s, c = part["s"].to_numpy()[own] @ m[own], part["c"].to_numpy()[own] @ m[own]
-                    sums[g] = sums.get(g, 0) + np.stack([s, c])
-        for g, x in sums.items():
-            yield pd.DataFrame({"g": g, "b": np.arange(rounds), "s": x[0], "c": x[1]})
+            for g, part in pdf.groupby("g", sort=False):
+                if g != now and parts:
+                    yield bounds(now, parts)
+                    parts = []
+                now = g
+                parts.append(part[["s", "c"]].to_numpy(np.int64).T)
+        if parts:
+            yield bounds(now, parts)
 
     if rounds:
-        few = docs.filter((F.col("n_docs") > 1) & (F.col("n_docs") <= max_docs)).select("g", "doc", "s", "c")
-        many = docs.filter(F.col("n_docs") > max_docs).select("g", F.xxhash64("doc").alias("h"), "s", "c")
-        means = many.mapInPandas(large, "g long, b int, s long, c long").groupBy("g", "b").agg((F.sum("s") / F.sum("c")).alias("mean"))
-        ci = few.groupBy("g").applyInPandas(small, "g long, lo double, hi double").unionByName(
-            means.groupBy("g").agg(F.expr("percentile(mean, 0.025)").alias("lo"), F.expr("percentile(mean, 0.975)").alias("hi")))
-        total = total.join(ci, "g", "left")
+        tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        ordered = docs.select("g", "doc", "s", "c").repartition(tasks, "g").sortWithinPartitions("g", F.asc_nulls_last("doc")).select("g", "s", "c")
+        total = total.join(ordered.mapInPandas(drawn, "g long, lo double, hi double"), "g", "left")
     else:
         total = total.withColumn("lo", F.lit(None).cast("double")).withColumn("hi", F.lit(None).cast("double"))
     return total.select(*[F.col(f"keys.{k}").alias(k) for k in keys], "n_docs", "n", "accuracy", F.coalesce("lo", "accuracy").alias("ci_low"), F.coalesce("hi", "accuracy").alias("ci_high"))
 
 
-#: Cumulated Poisson(1) probabilities.
-_POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(20)])
-
-
 def frontier(cells: DataFrame, keys: list[str], margin: float = 3.0) -> DataFrame:
     """keys, rung: the cheapest rung whose upper bound reaches the best accuracy less the margin."""
     m = margin / 100 if margin > 1 else margin

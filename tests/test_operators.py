@@ -54,6 +54,17 @@ def test_bootstrap_against_python(spark):
     assert abs(wide.ci_low - lo) < 0.12 and abs(wide.ci_high - hi) < 0.12
 
 
+def test_bootstrap_takes_the_seeded_draws_at_any_size(spark):
+    rnd = random.Random(5)
+    docs = {f"d{i:05d}": [float(rnd.random() < 0.6) for _ in range(rnd.randrange(1, 4))] for i in range(2500)}
+    df = spark.createDataFrame([(g, d, v == 1.0) for g in "gh" for d, vs in docs.items() for v in vs if g == "g" or d < "d00012"], "g string, doc_id string, correct boolean")
+    for rounds, max_docs in ((30, 2000), (500, 5)):
+        got = {r.g: r for r in stats.bootstrap(df, ["g"], rounds=rounds, max_docs=max_docs).collect()}
+        for g, own in (("g", docs), ("h", {d: v for d, v in docs.items() if d < "d00012"})):
+            lo, hi = brute_bootstrap(own, rounds, 0)
+            assert abs(got[g].ci_low - lo) < 1e-12 and abs(got[g].ci_high - hi) < 1e-12
+
+
 def test_frontier(spark):
     cells = [("g", "T", 0.5, 0.6), ("g", "TL", 0.58, 0.7), ("g", "TLV", 0.7, 0.75), ("g", "V", 0.72, 0.8), ("h", "T", 0.7, 0.71), ("h", "V", 0.71, 0.75)]
     df = spark.createDataFrame(cells, "g string, representation string, accuracy double, ci_high double")
