@@ -158,3 +158,16 @@ def test_profile(spark):
     assert profile.invalid_labels(s, "m", ("x", "y"), multi=True).select("bad").collect()[0].bad == "z"
     t = spark.createDataFrame([("m", "lin.weight", [4, 8]), ("m", "embed.weight", [4, 2]), ("m", "bias", [3])], "model string, name string, shape array<int>")
     assert profile.weight_bytes(t, 8).first().bytes == 32 + 16 + 6
+
+
+def test_oracle_ranking_keeps_questions_of_many_pages(spark, tmp_path):
+    from cellgrid.plans.operators_queries import QUERIES
+
+    given = {"a": ("['3', '1', '3']", "d", ""), "b": ("[4]", "d", ""), "c": ("[]", "d", ""), "e": ("[9, 2, 0]", "d", "longdocurl"), "f": ("[1, 2]", "none", "")}
+    rows = [(q, 1, d, p, s, *[None] * 7) for q, (p, d, s) in given.items()]
+    rest = [c for c in grid.QUESTION if c not in ("question_id", "doc_id", "evidence_pages", "source_dataset", "evidence_sources")]
+    kinds = ", ".join(f"{c} string" for c in rest) + ", evidence_sources string"
+    spark.createDataFrame(rows, f"question_id string, ingested_at long, doc_id string, evidence_pages string, source_dataset string, {kinds}").write.parquet(f"{tmp_path}/questions.parquet")
+    spark.createDataFrame([("d", i) for i in range(4)], "doc_id string, page int").write.parquet(f"{tmp_path}/doc_pages.parquet")
+    got = {r.question_id: r.ranking for r in QUERIES["oracle_ranking"](spark, str(tmp_path)).collect()}
+    assert got == {"a": "2,0,1,3", "b": "3,0,1,2", "c": "0,1,2,3", "e": "2,0,1,3"}
