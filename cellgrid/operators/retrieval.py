@@ -7,6 +7,10 @@ beyond the top-k window, which is limited before its shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,12 +96,61 @@ def max_sim(query: Column, page: Column) -> Column:
     return F.aggregate(each, F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0)))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query_id, page, score, rank: the k most similar vectors to each of a stated, small set of queries (broadcast in one block)."""
-    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    s = vectors.join(F.broadcast(q)).filter(F.col("vec_id") != F.col("query_id"))
-    s = s.select("query_id", F.col("vec_id").alias("page"), F.round(cosine(F.col("q"), F.col("embedding")), 6).alias("score"))
-    return ranked(s, k)
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, block: int = 1024) -> DataFrame:
+    """query_id, page, score, rank: the k most similar vectors to each query, those of its own id aside.
+
+    Both sides go in blocks of `block` rows; a task takes a pair of blocks and keeps the k best of each of
+    its queries, so neither side is ever held whole. Scores as in cosine(); a vector with a null in it
+    counts as empty, a row without an id is no page and no query.
+    """
+    kind = vectors.schema["vec_id"].dataType.simpleString()
+
+    def side(df: DataFrame, a: str) -> DataFrame:
+        def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for at in range(0, len(pdf), block):
+                    part = pdf.iloc[at : at + block]
+                    yield pd.DataFrame({f"{a}_ids": [part["vec_id"].to_numpy()], f"{a}_sizes": [part["v"].map(len).to_numpy(np.int32)], f"{a}_flat": [np.concatenate(part["v"].to_list())]})
+
+        v = F.col("embedding").cast("array<double>")
+        whole = F.when(F.forall(v, lambda x: x.isNotNull()), v).otherwise(F.array().cast("array<double>")).alias("v")
+        return df.filter("vec_id is not null").select("vec_id", whole).mapInPandas(packed, f"{a}_ids array<{kind}>, {a}_sizes array<int>, {a}_flat array<double>")
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                score = np.round(_cosines(r.q_sizes, r.q_flat, r.v_sizes, r.v_flat), 6) + 0.0
+                by_id = np.argsort(r.v_ids, kind="stable")
+                ids, score = r.v_ids[by_id], score[:, by_id]
+                own = r.q_ids[:, None] == ids[None, :]
+                order = np.argsort(np.where(own, np.inf, np.where(np.isnan(score), -np.inf, -score)), axis=1, kind="stable")[:, : max(k, 0)]
+                at = np.arange(len(score))[:, None]
+                some = ~own[at, order]
+                yield pd.DataFrame({"query_id": np.broadcast_to(r.q_ids[:, None], order.shape)[some], "page": ids[order][some], "score": score[at, order][some]})
+
+    pairs = side(vectors, "v").crossJoin(side(queries, "q"))
+    return ranked(pairs.mapInPandas(best, f"query_id {kind}, page {kind}, score double"), k)
+
+
+def _cosines(q_sizes: np.ndarray, q_flat: np.ndarray, v_sizes: np.ndarray, v_flat: np.ndarray) -> np.ndarray:
+    """cosine() of every query and vector of two blocks, one product per pair of lengths."""
+    out = np.zeros((len(q_sizes), len(v_sizes)))
+
+    def rows(sizes: np.ndarray, flat: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        start = np.cumsum(sizes) - sizes
+        return [(i, flat[start[i][:, None] + np.arange(n)]) for n in np.unique(sizes) if n for i in [np.flatnonzero(sizes == n)]]
+
+    others = rows(v_sizes, v_flat)
+    for i, x in rows(q_sizes, q_flat):
+        for j, y in others:
+            n = min(x.shape[1], y.shape[1])
+            a, b = x[:, :n], y[:, :n]
+            na, nb = np.sqrt((a * a).sum(1)), np.sqrt((b * b).sum(1))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                c = a @ b.T / (na[:, None] * nb[None, :])
+            c[(na == 0)[:, None] | (nb == 0)[None, :]] = 0.0
+            out[np.ix_(i, j)] = c
+    return out
 
 
 def fallback_scores(pages: DataFrame, queries: DataFrame) -> DataFrame:

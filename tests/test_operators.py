@@ -171,3 +171,34 @@ def test_oracle_ranking_keeps_questions_of_many_pages(spark, tmp_path):
     spark.createDataFrame([("d", i) for i in range(4)], "doc_id string, page int").write.parquet(f"{tmp_path}/doc_pages.parquet")
     got = {r.question_id: r.ranking for r in QUERIES["oracle_ranking"](spark, str(tmp_path)).collect()}
     assert got == {"a": "2,0,1,3", "b": "3,0,1,2", "c": "0,1,2,3", "e": "2,0,1,3"}
+
+
+def test_nearest_in_blocks_against_python(spark, tmp_path):
+    import math
+
+    from cellgrid.plans.operators_queries import QUERIES
+
+    rnd = random.Random(6)
+    vecs = {i: [rnd.randrange(-3, 4) for _ in range(3 if i % 7 else 5)] for i in range(90)} | {90: [], 91: [0.0, 0.0], 92: None, 93: [1.0, None]}
+    df = spark.createDataFrame([(i, [None if x is None else float(x) for x in v] if v is not None else None, i % 3) for i, v in vecs.items()], "vec_id long, embedding array<float>, label int").repartition(3)
+    df.write.parquet(f"{tmp_path}/embeddings.parquet")
+
+    def cos(a, b):
+        a, b = [[] if v is None or None in v else v for v in (a, b)]
+        n = min(len(a), len(b))
+        na, nb = (math.sqrt(sum(x * x for x in v[:n])) for v in (a, b))
+        return round(sum(x * y for x, y in zip(a, b)) / (na * nb), 6) if na and nb else 0.0
+
+    def brute(q, k):
+        s = sorted((-cos(vecs[q], v), i) for i, v in vecs.items() if i != q)
+        return [(i, -x, r) for r, (x, i) in enumerate(s[:k], 1)]
+
+    def listed(out):
+        got = {}
+        for r in sorted(out.collect(), key=lambda r: r["rank"]):
+            got.setdefault(r.query_id, []).append((r.page, r.score, r["rank"]))
+        return got
+
+    assert listed(QUERIES["cosine_topk"](spark, str(tmp_path))) == {q: brute(q, 10) for q in range(0, 90, 20)}
+    assert listed(retrieval.nearest(df, df, 4, block=8)) == {q: brute(q, 4) for q in vecs}
+    assert listed(retrieval.nearest(df, df.filter("vec_id < 5"), 200)) == {q: brute(q, 200) for q in range(5)}
