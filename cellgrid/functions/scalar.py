@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import random
+from array import array
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -356,3 +357,10 @@ def shuffle_order(n: int, seed: int) -> list[int]:
     for p, i in enumerate(items):
         place[i] = p
     return place
+
+
+def shuffled_first(n: int, seed: int, k: int) -> array:
+    """The items at the first k places of n items after a seeded shuffle."""
+    items = array("i", range(n))
+    random.Random(seed).shuffle(items)
+    return items[: max(k, 0)]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,29 +46,28 @@ def select(c: DataFrame, scan: str = "any", pool: str = "all", hop: str | int =
     return c.filter(in_pool(pool)).filter(in_hop(hop))
 
 
-#: Documents of a group up to which the seeded generator itself orders them.
-SHUFFLED = 200_000
-
-
-def coherent_draw(c: DataFrame, group: str, target: int, seed: int = 0, cap: bool = False, shuffled: int = SHUFFLED) -> DataFrame:
+def coherent_draw(c: DataFrame, group: str, target: int, seed: int = 0, cap: bool = False, shuffled: int = 200_000) -> DataFrame:
     """Whole documents in a seeded shuffle per group until the target is reached; groups at or below it stay whole.
 
-    The shuffle depends only on the seed and the number of documents, so it is joined by
-    rank. Groups of more than `shuffled` documents take the order of a seeded hash, of which
-    the first `target` documents suffice: they are found before the shuffle.
+    The shuffle depends only on the seed and the number of documents, so a task makes it once for each such
+    number (4 bytes a document) and it is joined by rank. The first `target` places suffice, as a document has a
+    question at least. shuffled changes nothing; callers still name it.
     """
     key = lambda a, b: F.col(f"{a}.{group}").eqNullSafe(F.col(f"{b}.{group}"))
     docs = c.groupBy(group, "doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("question_id").alias("first"))
     totals = docs.groupBy(group).agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("total"))
     d = docs.alias("d").join(totals.alias("t"), key("d", "t")).select("d.*", "docs", "total")
     w = Window.partitionBy(group)
-    some = d.filter((F.col("total") > target) & (F.col("docs") <= shuffled)).withColumn("i", F.row_number().over(w.orderBy("first", "doc_id")) - 1)
-    sizes = [r[0] for r in totals.filter((F.col("total") > target) & (F.col("docs") <= shuffled)).select("docs").distinct().collect()]
-    rows = [(n, i, p) for n in sizes for i, p in enumerate(S.shuffle_order(n, seed))]
-    some = some.join(c.sparkSession.createDataFrame(rows, "docs long, i int, place int"), ["docs", "i"]).select(group, "doc_id", "n", "place")
-    many = d.filter((F.col("total") > target) & (F.col("docs") > shuffled))
-    many = many.withColumn("place", F.row_number().over(w.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id")) - 1).filter(F.col("place") < target)
-    ordered = some.unionByName(many.select(group, "doc_id", "n", "place"))
+    some = d.filter(F.col("total") > target).withColumn("i", F.row_number().over(w.orderBy("first", "doc_id")) - 1)
+
+    def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for n in pdf["docs"]:
+                first = S.shuffled_first(int(n), seed, target)
+                yield pd.DataFrame({"docs": n, "i": first, "place": range(len(first))})
+
+    sizes = totals.filter(F.col("total") > target).select("docs").distinct()
+    ordered = some.join(sizes.mapInPandas(places, "docs long, i int, place int"), ["docs", "i"]).select(group, "doc_id", "n", "place")
     before = F.coalesce(F.sum("n").over(w.orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     taken = ordered.withColumn("before", before).filter(F.col("before") < target).select(group, "doc_id", "place")
     whole = d.filter(F.col("total") <= target).select(group, "doc_id", F.lit(0).alias("place"))

@@ -202,3 +202,13 @@ def test_nearest_in_blocks_against_python(spark, tmp_path):
     assert listed(QUERIES["cosine_topk"](spark, str(tmp_path))) == {q: brute(q, 10) for q in range(0, 90, 20)}
     assert listed(retrieval.nearest(df, df, 4, block=8)) == {q: brute(q, 4) for q in vecs}
     assert listed(retrieval.nearest(df, df.filter("vec_id < 5"), 200)) == {q: brute(q, 200) for q in range(5)}
+
+
+def test_draw_is_the_seeded_shuffle_at_any_size(spark):
+    df = spark.createDataFrame([(f"q{i:02d}", f"d{i // 3}", g) for g in "gh" for i in range(24 if g == "g" else 60)], "question_id string, doc_id string, grp string")
+    for shuffled in (2, 200_000):
+        got = grid.coherent_draw(df, "grp", 7, seed=3, shuffled=shuffled).collect()
+        for g, n in (("g", 8), ("h", 20)):
+            firsts = sorted((min(f"q{i:02d}" for i in range(60) if i // 3 == d), f"d{d}") for d in range(n))
+            random.Random(3).shuffle(firsts)
+            assert {r.doc_id for r in got if r.grp == g} == {d for _, d in firsts[:3]}
