@@ -4,20 +4,22 @@ Look-alike classes are computed by union-find over strings: single code points,
 decompositions, and hand-listed cross-script letters. The relation is transitive, so a
 full-width Cyrillic-looking letter, its plain form and its Latin twin land in one class.
 Of each class the member that is most frequent in the corpus is the representative (ties:
-ASCII first, then the lower code point). Text is rewritten by a multi-pattern automaton,
-greedily, the longest pattern at each place, then composed (NFC), and rewritten again
-while that changes it.
+ASCII first, then the lower code point); only the class of blanks always takes the plain
+one. Text is rewritten by a multi-pattern automaton, greedily, the longest pattern at each
+place, then composed (NFC), and rewritten again while that changes it.
 
 What a reader can tell apart stays apart: letter case, digits against letters, accents,
 raised, lowered, circled and stacked forms are never joined.
 
 `frequencies` counts code points over all texts in one scan (vectorised, at most one row
 per code point and task is shuffled). `Folder` is built on the driver from these counts;
-its size is bounded by Unicode, not by the data.
+its size is bounded by Unicode, not by the data. A process builds the automaton of a
+folder once and keeps it for its later tasks.
 
-`lookalike_pairs` compares fixed-size digests of the forms. Exact copies form one class
-each; only classes with a differing partner are expanded, so a form that a third of all
-rows share costs no more than its result.
+`lookalike_classes` compares fixed-size digests of the forms: one row per document that has
+a twin, with its class and the number of its links. `lookalike_pairs` expands the classes.
+Exact copies form one group each, and the rows of a form are spread over salts before they
+meet the mixed forms, so a form that a third of all rows share costs no more than its result.
 
 Defined results: null text gives a null form and no pair; a text without a visible
 character gives an empty form and no pair; a row repeated with the same id is one
@@ -101,15 +103,18 @@ def _alike(c: str) -> str | None:
     return s
 
 
+#: The automata of this process, by the counts they were made for.
+_MADE: dict[bytes, tuple] = {}
+#: Parts that the rows of one form are spread over.
+SALTS = 16
+
+
 class Folder:
     """Rewrites text into the representative form. Picklable; the automaton is built once per process."""
 
     def __init__(self, counts: dict[str, int] | None = None) -> None:
         self.counts = counts or {}
-        self._made: tuple | None = None
-
-    def __getstate__(self) -> dict:
-        return {"counts": self.counts, "_made": None}
+        self.name = md5(repr(sorted(self.counts.items())).encode("utf-8", "surrogatepass")).digest()
 
     def classes(self) -> dict[str, str]:
         """pattern -> representative, for every pattern that is not its own."""
@@ -134,7 +139,7 @@ class Folder:
             # a string member (the letters of a ligature, a letter and its accent) is its parts' choice
             strings = sorted((m for m in members if len(m) > 1), key=lambda m: (not m.isascii(), len(m), m))
             ligature = next((m for m in strings if not any(unicodedata.combining(x) for x in m)), None)
-            rep = ligature or max(single, key=lambda m: (m.isascii() and not m.isspace() or m == " ", self.counts.get(m, 0), -ord(m)))
+            rep = ligature or max(single, key=lambda m: (m == " ", self.counts.get(m, 0), m.isascii(), -ord(m)))
             best |= {m: rep for m in members if m != rep}
         # transitive through the parts: decompose, rewrite each part, compose again, until it stands
         def settle(t: str) -> str:
@@ -154,7 +159,7 @@ class Folder:
 
     def _machine(self) -> tuple:
         """The automaton; its transitions over single code points as a table; what needs the automaton itself."""
-        if self._made is None:
+        if self.name not in _MADE:
             classes = self.classes()
             auto = ahocorasick.Automaton()
             step = np.arange(0x110000, dtype=np.uint32)
@@ -175,8 +180,10 @@ class Folder:
             hard[0x200D] |= 2
             for c in "\r\x85\u2028\u2029\x0b\x0c":
                 hard[ord(c)] |= 1
-            self._made = auto, step, hard
-        return self._made
+            while len(_MADE) >= 4:
+                _MADE.pop(next(iter(_MADE)))
+            _MADE[self.name] = auto, step, hard
+        return _MADE[self.name]
 
     def rewrite(self, text: str) -> str:
         """One greedy pass of the automaton."""
@@ -298,14 +305,18 @@ def _symbol(c: str) -> bool:
 
 
 def frequencies(df: DataFrame, text: str = "text") -> DataFrame:
-    """ch, n: how often each code point beyond ASCII letters occurs, over all texts."""
+    """cp, n: how often each code point occurs, over all texts."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(0x110000, np.int64)
         for pdf in batches:
-            data = "".join(t for t in pdf["t"] if t is not None and not t.isascii()).encode("utf-32-le", "surrogatepass")
-            if data:
-                total += np.bincount(np.frombuffer(data, np.uint32), minlength=0x110000)
+            texts = [t for t in pdf["t"] if t is not None]
+            for a, b in slices(texts):
+                data = "".join(texts[a:b])
+                plain = data.isascii()
+                codes = np.frombuffer(data.encode("ascii"), np.uint8) if plain else np.frombuffer(data.encode("utf-32-le", "surrogatepass"), np.uint32)
+                n = np.bincount(codes)
+                total[: len(n)] += n
         at = np.nonzero(total)[0]
         yield pd.DataFrame({"cp": at.astype(np.int64), "n": total[at]})
 
@@ -330,8 +341,8 @@ def normalize(df: DataFrame, text: str = "text", out: str = "form", folder: Fold
     return df.withColumn(out, form(F.col(f"`{text}`")))
 
 
-def lookalike_pairs(df: DataFrame, key: str = "doc_id", text: str = "text", folder: Folder | None = None) -> DataFrame:
-    """<key>_a, <key>_b with a < b: texts of one form that differ in a character."""
+def _mixed(df: DataFrame, key: str, text: str, folder: Folder | None) -> DataFrame:
+    """form, copy, id of every document whose form another text shares."""
     folder = folder or corpus_folder(df, text)
 
     @F.pandas_udf("binary")
@@ -345,12 +356,27 @@ def lookalike_pairs(df: DataFrame, key: str = "doc_id", text: str = "text", fold
         .filter("id is not null and form is not null")
     )
     members = cut_lineage(docs)
-    mixed = members.groupBy("form").agg(F.min("copy").alias("lo"), F.max("copy").alias("hi")).filter("lo <> hi").select("form")
-    members = members.join(mixed, "form", "left_semi").select("form", "copy", "id")
-    copies = members.select("form", "copy").distinct()
+    mixed = members.groupBy("form").agg(F.min("copy").alias("lo"), F.max("copy").alias("hi")).filter("lo <> hi")
+    mixed = mixed.select("form", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = members.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    return salted.join(mixed, ["form", "salt"], "left_semi").select("form", "copy", "id").distinct()
+
+
+def lookalike_classes(df: DataFrame, key: str = "doc_id", text: str = "text", folder: Folder | None = None) -> DataFrame:
+    """key, class_id, links: every document with a twin, its class, and how many documents look the same and differ in a character."""
+    m = _mixed(df, key, text, folder)
+    copies = m.groupBy("form", "copy").agg(F.count(F.lit(1)).alias("c"))
+    whole = copies.groupBy("form").agg(F.sum("c").alias("n"))
+    links = copies.join(whole, "form").select("form", "copy", (F.col("n") - F.col("c")).alias("links"))
+    return m.join(links, ["form", "copy"]).select(F.col("id").alias(key), F.lower(F.hex("form")).alias("class_id"), "links")
+
+
+def lookalike_pairs(df: DataFrame, key: str = "doc_id", text: str = "text", folder: Folder | None = None) -> DataFrame:
+    """<key>_a, <key>_b with a < b: texts of one form that differ in a character."""
+    m = cut_lineage(_mixed(df, key, text, folder))
+    copies = m.select("form", "copy").distinct()
     twins = copies.alias("x").join(copies.alias("y"), (F.col("x.form") == F.col("y.form")) & (F.col("x.copy") < F.col("y.copy")))
     twins = twins.select(F.col("x.copy").alias("cx"), F.col("y.copy").alias("cy"), F.col("x.form").alias("form"))
-    m = members.select("form", "copy", "id").distinct()
     pairs = twins.join(m.alias("a"), (F.col("cx") == F.col("a.copy")) & (twins["form"] == F.col("a.form"))).select(
         "cy", twins["form"].alias("f"), F.col("a.id").alias("p")
     ).join(m.alias("b"), (F.col("cy") == F.col("b.copy")) & (F.col("f") == F.col("b.form"))).select("p", F.col("b.id").alias("q"))

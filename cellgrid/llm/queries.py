@@ -15,6 +15,11 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.lookalike_pairs(table(spark, sf_dir, "documents"))
 
 
+def p9_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that has a twin, its class and the number of its links."""
+    return lookalike.lookalike_classes(table(spark, sf_dir, "documents"))
+
+
 def p9_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text in the consistent form."""
     return lookalike.normalize(table(spark, sf_dir, "documents"), "text", "form").select("doc_id", "form")
@@ -128,7 +133,11 @@ QUERIES = {
     "p6_found": p6_found,
     "p6_rates": p6_rates,
     "p7_ids": p7_ids,
-    "p8_found": p8_found, "p9_found": p9_found, "p9_forms": p9_forms}
+    "p8_found": p8_found,
+    "p9_found": p9_found,
+    "p9_classes": p9_classes,
+    "p9_forms": p9_forms,
+}
 ORACLE: dict[str, str] = {
     "p4_found": _P4 + "SELECT doc_type, bin_label FROM want WHERE available < wanted",
     "p4_report": _P4_REPORT,

@@ -3,7 +3,7 @@ import itertools
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from cellgrid.llm.lookalike import Folder, UnionFind, lookalike_pairs, native, normalize
+from cellgrid.llm.lookalike import Folder, UnionFind, frequencies, lookalike_classes, lookalike_pairs, native, normalize
 
 F = Folder({})
 SAME = [
@@ -36,6 +36,8 @@ def test_table_equals_automaton(texts):
 
 
 def test_frequency_chooses_the_representative():
+    assert Folder({"а": 9, "a": 8}).form("pace") == "pаce" and Folder({"а": 8, "a": 8}).form("а") == "a"
+    assert Folder({"а": 9}).form("á") == Folder({"а": 9}).form("а́") and Folder({"\u00a0": 9}).form("a\u00a0b") == "a b"
     assert Folder({"µ": 1, "μ": 9}).form("µ") == "μ"
     assert Folder({"µ": 9, "μ": 1}).form("μ") == "µ"
 
@@ -60,6 +62,10 @@ def test_pairs_against_brute_force(spark):
             (10, "x" * 50000), (11, "x" * 49999 + "х"), (None, "abc")]
     df = spark.createDataFrame([(*r, "z") for r in rows], "doc_id long, text string, form string")
     assert sorted(map(tuple, lookalike_pairs(df).collect())) == brute(rows)
-    assert lookalike_pairs(df.limit(0)).count() == 0
+    assert lookalike_pairs(df.limit(0)).count() == lookalike_classes(df.limit(0)).count() == 0
+    links = {r.doc_id: (r.class_id, r.links) for r in lookalike_classes(df).collect()}
+    want = {i: sum(i in p for p in brute(rows)) for i in {x for p in brute(rows) for x in p}}
+    assert {i: n for i, (_, n) in links.items()} == want and links[1][0] == links[8][0] != links[10][0]
+    assert {chr(r.cp): r.n for r in frequencies(df.filter("doc_id < 9")).collect()}["b"] == 4
     out = {r.doc_id: r.form for r in normalize(df, "text", "form").collect() if r.doc_id}
     assert out[4] is None and out[5] == "" and out[2] == "abc"
