@@ -1,32 +1,30 @@
-"""A sample whose category shares match given targets.
+"""A sample whose category shares match given target proportions.
 
-Divisor method: the k-th seat of a category with weight w has priority (k - 1/2) / w; the
-seats of every category's minimum come first, then the globally smallest priorities until
-the sample is full. A category offers no more seats than it has rows, so the seats of an
-exhausted one go to the next priorities by themselves.
+Divisor method: the rows of a category are numbered in a random order (a seeded hash of the
+key); the row of rank k has the priority (k - 1/2) / target. The rows of every category's
+minimum come first, then the rows of the globally smallest priorities until the sample is
+full. A category that has no rows left offers no priorities, so its seats go to the next
+ones by themselves.
 
-The seats come from the counts alone, never from the data. The rows of a category get a random order (a seeded hash of the key) as row numbers
-within (category, slice of the hash), plus the counts of the slices before: no task sorts
-a whole category, however large. A row is in the sample when its number is within its
-category's seats.
+Ranks are row numbers within (category, slice of the hash), plus the counts of the slices
+before: no task sorts a whole category, however large. The bound that the globally smallest
+priorities end at is their exact order statistic, found by counting passes (see
+percentiles); rows that tie at the bound, one per category at most, are taken by name.
 
 Defined results: labels that differ in case, blanks or hyphens are one; null or blank
 labels are no category; a key counts once (its first delivery, ties by the least labels);
 null keys are left out; ties in the hash are broken by the key; categories without rows
 are reported with what they lack; if the minima alone exceed the sample size, they are
-all kept and the sample is larger; targets of a repeated category count once.
+all kept and the sample is larger; of a repeated category the least row counts.
 """
 
 from __future__ import annotations
 
-import heapq
-import math
-from fractions import Fraction
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..operators.percentiles import exact_percentiles
+from ..session import broadcast_if_small, cut_lineage
 
 #: Slices that a category's hash range is cut into; a slice is ordered by one task.
 SLICES = 4096
@@ -41,7 +39,9 @@ def label_key(c: Column) -> Column:
 def categories(targets: DataFrame, labels: list[str]) -> DataFrame:
     """One row per category of the targets table, with its key columns __k0.. and wanted rows."""
     keys = [label_key(F.col(l)).alias(f"__k{i}") for i, l in enumerate(labels)]
-    t = targets.select(*labels, "target_pct", "min_rows", "sample_rows", *keys).dropDuplicates([f"__k{i}" for i in range(len(labels))])
+    row = ["target_pct", "min_rows", "sample_rows", *labels]
+    t = targets.select(*keys, F.struct(*row).alias("t")).groupBy(*[f"__k{i}" for i in range(len(labels))]).agg(F.min("t").alias("t"))
+    t = t.select(*[f"__k{i}" for i in range(len(labels))], "t.*").select(*labels, "target_pct", "min_rows", "sample_rows", *[f"__k{i}" for i in range(len(labels))])
     share = F.ceil(F.col("target_pct") * F.col("sample_rows") / F.lit(100.0))
     return t.withColumn("wanted", F.greatest(F.coalesce("min_rows", F.lit(0)).cast("long"), share.cast("long")))
 
@@ -55,53 +55,36 @@ def _members(rows: DataFrame, key: str, order: str, labels: list[str], keep: lis
     return one.dropna(subset=[f"__k{i}" for i in range(len(labels))])
 
 
-def divide(cats: list[tuple[str, int, int, int]], total: int) -> dict[str, int]:
-    """Seats of (name, weight, minimum, available): minima first, then the smallest (k - 1/2) / weight.
-
-    The count of priorities up to a bound is a closed form, so the bound is bisected and
-    only ties at it are handed out one by one, in name order: no seat is listed.
-    """
-    seats = {n: min(m, a) for n, _, m, a in cats}
-    left = total - sum(seats.values())
-    open_ = [(n, w, seats[n], a) for n, w, _, a in cats if w > 0 and a > seats[n]]
-    if left <= 0 or not open_:
-        return seats
-    upto = lambda bound: {n: min(max(math.floor(bound * w + Fraction(1, 2)), f), a) for n, w, f, a in open_}
-    count = lambda bound: sum(upto(bound).values()) - sum(f for _, _, f, _ in open_)
-    lo, hi = Fraction(0), max(Fraction(2 * a + 1, 2 * w) for _, w, _, a in open_)
-    if count(hi) <= left:
-        return seats | upto(hi)
-    # priorities are at least 1 / (2 w v) apart unless equal
-    gap = Fraction(1, 4 * max(w for _, w, _, _ in open_) ** 2)
-    while hi - lo > gap:
-        mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if count(mid) <= left else (lo, mid)
-    seats |= upto(lo)
-    rest = left - count(lo)
-    queue = [(Fraction(2 * seats[n] + 1, 2 * w), n, w, a) for n, w, _, a in open_ if seats[n] < a]
-    heapq.heapify(queue)
-    for _ in range(rest):
-        if not queue:
-            break
-        _, n, w, a = heapq.heappop(queue)
-        seats[n] += 1
-        if seats[n] < a:
-            heapq.heappush(queue, (Fraction(2 * seats[n] + 1, 2 * w), n, w, a))
-    return seats
-
-
-def allocate(cats: DataFrame, available: DataFrame, labels: list[str]) -> DataFrame:
-    """cats with available, seats and short (rows wanted but not there); the stated targets are few and go through the driver."""
-    ks = [f"__k{i}" for i in range(len(labels))]
-    c = cats.join(F.broadcast(available), ks, "left").withColumn("available", F.coalesce("available", F.lit(0).cast("long")))
-    rows = c.select(*ks, "target_pct", "min_rows", "sample_rows", "available").collect()
-    name = {"\x1f".join(r[k] for k in ks): r for r in rows}
-    stated = [(n, r.target_pct or 0, r.min_rows or 0, r.available) for n, r in sorted(name.items())]
-    seats = divide(stated, max((r.sample_rows or 0 for r in rows), default=0))
-    kind = ", ".join(f"{k} string" for k in ks) + ", seats long"
-    given = cats.sparkSession.createDataFrame([(*n.split("\x1f"), v) for n, v in seats.items()], kind)
-    out = c.join(F.broadcast(given), ks, "left").withColumn("seats", F.coalesce("seats", F.lit(0).cast("long")))
-    return out.withColumn("short", F.greatest(F.col("wanted") - F.col("available"), F.lit(0).cast("long")))
+def _numbered(members: DataFrame, cats: DataFrame, n: int, ks: list[str], key: str) -> DataFrame:
+    """members with place (the rank within the category), base (within the minimum) and priority."""
+    per_slice = members.groupBy(*ks, "__s").agg(F.count(F.lit(1)).alias("c"))
+    before = Window.partitionBy(*ks).orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
+    # categories x slices rows at most
+    per_slice = cut_lineage(per_slice.withColumn("before", F.coalesce(F.sum("c").over(before), F.lit(0))).drop("c"))
+    rank = F.row_number().over(Window.partitionBy(*ks, "__s").orderBy("__h", key))
+    ranked = members.withColumn("__r", rank).join(broadcast_if_small(per_slice, per_slice.count()), [*ks, "__s"])
+    ranked = ranked.withColumn("place", (F.col("__r") + F.col("before")).cast("long")).drop("__r", "before", "__s")
+    told = broadcast_if_small(cats.select(*ks, "target_pct", "min_rows"), n)
+    priority = F.when(F.col("target_pct") > 0, (F.col("place") - 0.5) / F.col("target_pct"))
+    base = F.col("place") <= F.coalesce("min_rows", F.lit(0))
+    return ranked.join(told, ks).withColumn("base", base).withColumn("priority", priority).drop("target_pct", "min_rows")
+
+
+def _kept(numbered: DataFrame, total: int, ks: list[str]) -> DataFrame:
+    """The rows of the sample: minima, then the smallest priorities; ties by name."""
+    least = numbered.filter("base")
+    more = numbered.filter("not base and priority is not null")
+    counted = numbered.agg(F.sum(F.col("base").cast("long")).alias("b"), F.sum((~F.col("base") & F.col("priority").isNotNull()).cast("long")).alias("m")).first()
+    left = max(total - (counted.b or 0), 0)
+    if left >= (counted.m or 0):
+        return least.unionByName(more)
+    if not left:
+        return least
+    bound = exact_percentiles(more, [], ["priority"], (0.5,), rank=lambda n, q: F.lit(left).cast("long")).first()["p50"]
+    under = more.filter(F.col("priority") < bound)
+    # a category has one row of a priority, so the tied rows are as few as the categories
+    tied = more.filter(F.col("priority") == bound).withColumn("__t", F.row_number().over(Window.orderBy(*ks))).filter(F.col("__t") <= left - under.count()).drop("__t")
+    return least.unionByName(under).unionByName(tied)
 
 
 def draw(
@@ -109,23 +92,25 @@ def draw(
 ) -> tuple[DataFrame, DataFrame]:
     """(sample, report). sample: key, keep.., labels.. as in targets, place, priority; report: labels.. and counts."""
     ks = [f"__k{i}" for i in range(len(labels))]
-    cats = F.broadcast(categories(targets, labels))
+    cats = cut_lineage(categories(targets, labels))
+    told = cats.agg(F.count(F.lit(1)).alias("n"), F.max("sample_rows").alias("total")).first()
+    names = broadcast_if_small(cats.select(*ks), told.n)
     h = F.xxhash64(F.col(key).cast("string"), F.lit(seed))
     members = cut_lineage(
-        _members(rows, key, order, labels, keep).join(cats.select(*ks), ks, "left_semi")
+        _members(rows, key, order, labels, keep).join(names, ks, "left_semi")
         .withColumn("__h", h).withColumn("__s", F.pmod(F.shiftright("__h", 40), F.lit(slices)).cast("int"))
     )
-    per_slice = members.groupBy(*ks, "__s").agg(F.count(F.lit(1)).alias("c"))
-    before = Window.partitionBy(*ks).orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
-    per_slice = cut_lineage(per_slice.withColumn("before", F.coalesce(F.sum("c").over(before), F.lit(0))))
-    available = per_slice.groupBy(*ks).agg(F.sum("c").alias("available"))
-    report = cut_lineage(allocate(cats, available, labels))
-    open_slices = per_slice.join(F.broadcast(report.select(*ks, "seats", "target_pct", *labels)), ks).filter(F.col("before") < F.col("seats"))
-    # categories x slices rows at most, so the broadcast is bounded
-    chosen = members.join(F.broadcast(open_slices), [*ks, "__s"])
-    number = F.row_number().over(Window.partitionBy(*ks, "__s").orderBy("__h", key)) + F.col("before")
-    sample = chosen.withColumn("place", number).filter(F.col("place") <= F.col("seats"))
-    priority = F.when(F.col("target_pct") > 0, (F.col("place") - 0.5) / F.col("target_pct"))
+    numbered = cut_lineage(_numbered(members, cats, told.n, ks, key))
+    kept = cut_lineage(_kept(numbered, told.total or 0, ks))
+    there = numbered.groupBy(*ks).agg(F.max("place").alias("available"))
+    seats = kept.groupBy(*ks).agg(F.count(F.lit(1)).alias("seats"))
+    # one row per category on either side
+    zero = F.lit(0).cast("long")
+    report = cats.join(there, ks, "left").join(seats, ks, "left").select(
+        *labels, "target_pct", "min_rows", "sample_rows", "wanted", F.coalesce("available", zero).alias("available"), F.coalesce("seats", zero).alias("seats"),
+        # short: its last rank is under what was wanted
+        F.greatest(F.col("wanted") - F.coalesce("available", zero), zero).alias("short"),
+    )
     clash = [c for c in keep if c not in labels]
-    sample = sample.select(key, *clash, *labels, F.col("place").cast("long").alias("place"), priority.alias("priority"))
-    return sample, report.select(*labels, "target_pct", "min_rows", "sample_rows", "wanted", "available", "seats", "short")
+    sample = kept.drop(*[l for l in labels if l in keep]).join(broadcast_if_small(cats.select(*ks, *labels), told.n), ks)
+    return sample.select(key, *clash, *labels, "place", "priority"), report

@@ -2,7 +2,7 @@ import math
 import random
 from collections import Counter
 
-from cellgrid.llm.proportions import divide, draw
+from cellgrid.llm.proportions import draw
 
 TARGETS = [("A b", "x-y", 50, 2, 20), ("C", "x-y", 30, 2, 20), ("D", "z", 20, 2, 20), ("E", "z", 0, 3, 20), ("F", "z", 0, 1, 20)]
 KIND = "doc_type string, bin_label string, target_pct int, min_rows int, sample_rows long"
@@ -41,17 +41,20 @@ def test_draw(spark):
     assert rep["A b"].wanted == max(2, math.ceil(0.5 * 20))
 
 
-def test_divide_against_listing_every_seat():
+def test_seats_against_listing_every_row(spark):
     rnd = random.Random(1)
-    for _ in range(300):
-        cats = [(f"c{i}", rnd.choice([0, 1, 1, 2, 3, 5, 10]), rnd.randrange(4), rnd.randrange(40)) for i in range(rnd.randrange(1, 7))]
-        total = rnd.randrange(0, 120)
+    for total, minima in ((17, (0, 2, 1, 5)), (60, (3, 0, 0, 0)), (3, (2, 2, 2, 2)), (1000, (0, 0, 0, 1)), (24, (0, 0, 0, 0))):
+        cats = [(f"c{i}", w, m, a) for i, (w, m, a) in enumerate(zip((10, 20, 20, 50), minima, (40, 3, 30, 12)))]
+        q = spark.createDataFrame([(f"{n}-{k}", n, "z", "d", rnd.randrange(9)) for n, _, _, a in cats for k in range(a)], "question_id string, doc_type string, bin_label string, doc_id string, t long")
+        t = spark.createDataFrame([(n, "z", w, m, total) for n, w, m, _ in cats], KIND)
+        sample, report = draw(q, t, "question_id", "t", ["doc_type", "bin_label"], ["doc_id", "t"], slices=3)
         want = {n: min(m, a) for n, _, m, a in cats}
-        rest = sorted(((2 * k - 1) / (2 * w), n, k) for n, w, m, a in cats if w for k in range(min(m, a) + 1, a + 1))
-        for _, n, _ in rest[: max(0, total - sum(want.values()))]:
+        rest = sorted(((k - 0.5) / w, n) for n, w, m, a in cats for k in range(min(m, a) + 1, a + 1))
+        for _, n in rest[: max(0, total - sum(want.values()))]:
             want[n] += 1
-        assert divide(cats, total) == want, (cats, total)
-    assert divide([("a", 50, 0, 10**12), ("b", 50, 3, 10**12)], 10**11) == {"a": 5 * 10**10, "b": 5 * 10**10}
+        got = sample.collect()
+        assert Counter(r.doc_type for r in got) == Counter(want) == Counter({r.doc_type: r.seats for r in report.collect()}), (total, minima)
+        assert all(r.priority == (r.place - 0.5) / dict((n, w) for n, w, _, _ in cats)[r.doc_type] for r in got)
 
 
 def test_empty_tables(spark):
