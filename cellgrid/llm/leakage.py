@@ -1,22 +1,26 @@
 """Evaluation texts inside training text, by q-gram filtration and banded alignment.
 
-A case is a run of at least WINDOW words of an item, one word in WINDOW replaced at most.
-Both sides are folded alike: look-alike form, lower case, punctuation dropped, one blank
-between words.
+A case is a run of at least WINDOW words of an item with at most one edit: a word replaced,
+left out or put in between. Both sides are folded alike: look-alike form, lower case,
+punctuation dropped, words broken at a line end joined, one blank between words; a sign
+that stands as a word of its own (a parted per cent sign) stays a word.
 
-Filtration. A replaced word leaves, on one of its sides, at least half of the other words
-of the window untouched. So a true region holds an unbroken stretch of as many shared
-character q-grams as the shortest such half has places (the bound of the edit budget; it
-is at least 4 for q = 8, whatever the words). Stretches below the bound are dropped; what
-remains is counted per item in overlapping diagonal bands, and bands below the item's own
-bound are dropped too. Neither step loses a case.
+Filtration. One edit leaves, on one of its sides, at least half of the other words of the
+window untouched. So a true region holds an unbroken stretch of as many shared character
+q-grams as the shortest such half has places (the bound of the edit budget; it is at least
+4 for q = 8, whatever the words). Stretches below the bound are dropped; what remains is
+counted per item in overlapping diagonal bands, and bands below the item's own bound are
+dropped too.
 
-Verification. The word diagonals of a surviving band are aligned word by word and a case
-is reported when some WINDOW consecutive places differ in at most one.
+Verification. Each word diagonal of a surviving band is aligned with itself (a replaced
+word) and with the diagonals next to it (a word left out or put in), which is the whole
+band that a budget of one edit can reach.
 
-The items are a stated query set. They are taken in blocks of BLOCK, so what is sent with
-the tasks has a fixed size; the corpus is read once per block and never shuffled, only the
-found pairs are. Everything runs on arrays of a batch of texts.
+The items are a stated query set, taken in blocks of BLOCK characters, so what is sent with
+the tasks has a fixed size. Where they need more than one block, the corpus is still read
+once: a bitmap of the q-grams of all items keeps the stretches that can hold a case, with
+WINDOW words on either side, and the blocks are searched over these. The corpus is never
+shuffled, only the found pairs are. Everything runs on arrays of a batch of texts.
 
 Defined results: null and empty texts leak nothing; an item with fewer than WINDOW words
 on a side finds nothing by that side; an item that a document holds twice is one row.
@@ -24,19 +28,32 @@ on a side finds nothing by that side; an item that a document holds twice is one
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
-from functools import reduce
+from functools import cache, reduce
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .lookalike import Folder, slices
 
-WINDOW, Q, BAND, BLOCK = 12, 8, 64, 4000
+WINDOW, Q, BAND, BLOCK = 12, 8, 64, 4_000_000
+#: Bits of the bitmap of all items' q-grams: eight and more a q-gram, within these bounds.
+BITS = (16, 27)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _GONE = 0x110000
+_SIGNS = np.array([ord(c) for c in "%‰°§$€£¥№"], np.uint32)
+_BROKEN = re.compile(r"(?<=[^\W_])[-‐‑¬\u00ad][ \t]*[\r\n]\s*(?=[^\W_])")
+
+
+@cache
+def folded_letters() -> tuple[Folder, np.ndarray]:
+    """The folder and the letter table of this process."""
+    return Folder({}), _letters()
 
 
 def _letters() -> np.ndarray:
@@ -55,11 +72,18 @@ def _letters() -> np.ndarray:
 class Words:
     """A batch of folded texts as one stream of code points, and its words."""
 
-    def __init__(self, folder: Folder, letters: np.ndarray, texts: list[str]) -> None:
-        forms = folder.forms(texts)
+    def __init__(self, texts: list[str]) -> None:
+        folder, letters = folded_letters()
+        forms = folder.forms([_BROKEN.sub("", t) if "\n" in t or "\r" in t else t for t in texts])
         blank = np.array([32], np.uint32)
         sizes = np.array([len(f) + 1 for f in forms], np.int64)
-        codes = letters[np.concatenate([x for f in forms for x in (f, blank)])] if forms else blank[:0]
+        raw = np.concatenate([x for f in forms for x in (f, blank)]) if forms else blank[:0]
+        codes = letters[raw]
+        sign = np.isin(raw, _SIGNS)
+        if sign.any():  # a token of signs alone stays a word
+            token = np.cumsum(codes == 32)
+            solid = np.bincount(token, (codes != _GONE) & (codes != 32))
+            codes[sign & (solid[token] == 0)] = ord("%")
         text = np.repeat(np.arange(len(forms)), sizes)
         keep = codes != _GONE
         codes, text = codes[keep], text[keep]
@@ -94,9 +118,9 @@ class Words:
 class Index:
     """The q-grams of a block of item texts."""
 
-    def __init__(self, folder: Folder, letters: np.ndarray, keys: list[int], texts: list[str]) -> None:
+    def __init__(self, keys: list[int], texts: list[str]) -> None:
         self.keys = np.array(keys)
-        self.w = w = Words(folder, letters, texts)
+        self.w = w = Words(texts)
         first = np.searchsorted(w.word_text, np.arange(len(texts)), "left")
         last = np.searchsorted(w.word_text, np.arange(len(texts)), "right")
         self.first, self.last = first, last
@@ -129,10 +153,7 @@ class Index:
         at, lo = at[known], lo[known]
         if not len(at):
             return []
-        # unbroken stretches of shared q-grams that reach the bound
-        new = np.concatenate([[True], np.diff(at) > 1])
-        run = np.cumsum(new) - 1
-        long = np.bincount(run)[run] >= self.least
+        long = _stretches(at, self.least)
         at, lo = at[long], lo[long]
         hi = np.searchsorted(self.grams, g[at], "right")
         n = hi - lo
@@ -158,13 +179,106 @@ class Index:
         return sorted(out)
 
     def _aligned(self, d: Words, t: int, k: int, s: int) -> bool:
-        """Whether words of text t and item k, shifted by s, agree in some window but for one place."""
+        """Whether text t and item k agree in some window but for one edit, by the diagonal s and those next to it."""
         a, b = np.searchsorted(d.word_text, [t, t + 1])
-        lo, hi = max(a, self.first[k] + s), min(b, self.last[k] + s)
-        if hi - lo < WINDOW:
-            return False
-        same = np.concatenate([[0], np.cumsum(d.words[lo:hi] == self.w.words[lo - s : hi - s])])
-        return bool((same[WINDOW:] - same[:-WINDOW] >= WINDOW - 1).any())
+        first, last = self.first[k], self.last[k]
+        item, n = self.w.words[first:last], last - first
+        same = np.zeros((3, n + 1), bool)  # diagonals s - 1, s, s + 1 by item word
+        for x in range(3):
+            at = s + x - 1 + first
+            lo, hi = max(a, at), min(b, at + n)
+            if lo < hi:
+                same[x, lo - at : hi - at] = d.words[lo:hi] == item[lo - at : hi - at]
+        lo, hi = max(a, first + s) - first - s, min(b, last + s) - first - s
+        if hi - lo >= WINDOW:
+            total = np.concatenate([[0], np.cumsum(same[1, lo:hi])])
+            if (total[WINDOW:] - total[:-WINDOW] >= WINDOW - 1).any():
+                return True
+        upto = [_runs(x[:n]) for x in same]  # equal words that end at, start at an item word
+        since = [_runs(x[:n][::-1])[::-1] for x in same]
+        for x, y in ((1, 0), (2, 1)):  # a word of the item left out: the diagonal falls
+            u, v = upto[x][: n - 2], since[y][2:]
+            if n > 2 and ((u > 0) & (v > 0) & (u + v + 1 >= WINDOW)).any():
+                return True
+        for x, y in ((1, 2), (0, 1)):  # a word put in: the diagonal rises
+            u, v = upto[x][: n - 1], since[y][1:]
+            if n > 1 and ((u > 0) & (v > 0) & (u + v >= WINDOW)).any():
+                return True
+        return False
+
+
+def _runs(same: np.ndarray) -> np.ndarray:
+    """The number of places in a row, up to each place, where same holds."""
+    n = np.arange(1, len(same) + 1)
+    return n - np.maximum.accumulate(np.where(same, 0, n)) if len(same) else n
+
+
+def _stretches(at: np.ndarray, least: int) -> np.ndarray:
+    """Which of the rising places stand in an unbroken stretch of at least so many."""
+    run = np.cumsum(np.concatenate([[True], np.diff(at) > 1])) - 1
+    return np.bincount(run)[run] >= least
+
+
+_INDEXES: dict[bytes, Index] = {}
+
+
+def _index(part: list[tuple[int, str]]) -> Index:
+    """The index of a block; a process keeps the last ones."""
+    name = xxhash.xxh3_128_digest(repr(part).encode("utf-8", "surrogatepass"))
+    if name not in _INDEXES:
+        while len(_INDEXES) >= 2:
+            _INDEXES.pop(next(iter(_INDEXES)))
+        _INDEXES[name] = Index([i for i, _ in part], [t for _, t in part])
+    return _INDEXES[name]
+
+
+def regions(docs: DataFrame, stated: DataFrame) -> DataFrame:
+    """k, t: the stretches of the texts of docs (k, t) that can hold a case of any stated item (i, t), with WINDOW words on either side."""
+
+    def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            ts = pdf["t"].tolist()
+            for a, b in slices(ts):
+                x = Index(list(range(b - a)), ts[a:b])
+                yield pd.DataFrame({"gram": np.unique(x.grams).view(np.int64), "least": x.least})
+
+    told = cut_lineage(stated.select("t").mapInPandas(grams, "gram long, least long").groupBy("gram").agg(F.min("least").alias("least")))
+    n, least = told.agg(F.count(F.lit(1)), F.min("least")).first()
+    bits = min(max(int(np.ceil(np.log2(max(n, 1) * 8))), BITS[0]), BITS[1])
+    # the bitmap, put together from pieces of 4 KB
+    place = f"(gram & {(1 << bits) - 1}L) + 1"
+    pieces = told.groupBy(F.expr(f"bitmap_bucket_number({place})").alias("b")).agg(F.expr(f"bitmap_construct_agg(bitmap_bit_position({place}))").alias("m")).collect()
+    mark = np.zeros(max(1 << bits, 1 << 15) // 8 + 4096, np.uint8)
+    for r in pieces:
+        mark[(r.b - 1) * 4096 : r.b * 4096] = np.frombuffer(bytes(r.m), np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(mark)
+    kind = docs.schema["k"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        table = shared.value
+        for pdf in batches:
+            texts, keys = pdf["t"].fillna("").tolist(), pdf["k"].tolist()
+            out: list[tuple] = []
+            for a, b in slices(texts):
+                d = Words(texts[a:b])
+                h = d.grams() & np.uint64((1 << bits) - 1)
+                at = np.nonzero(table[(h >> np.uint64(3)).astype(np.int64)] >> (h & np.uint64(7)).astype(np.uint8) & 1)[0]
+                if not len(at):
+                    continue
+                at = at[_stretches(at, least)]
+                if not len(at):
+                    continue
+                w = np.unique(np.concatenate([np.searchsorted(d.start, at, "right") - 1, np.searchsorted(d.start, at + Q - 1, "right") - 1]))
+                lo = np.maximum(w - WINDOW, np.searchsorted(d.word_text, d.word_text[w], "left"))
+                hi = np.minimum(w + WINDOW + 1, np.searchsorted(d.word_text, d.word_text[w], "right"))
+                new = np.concatenate([[True], (lo[1:] > hi[:-1]) | (d.word_text[w[1:]] != d.word_text[w[:-1]])])
+                first = np.nonzero(new)[0]
+                for x, y in zip(lo[first], np.maximum.reduceat(hi, first)):
+                    t = d.codes[d.start[x] : d.end[y - 1]].astype(np.uint32).tobytes().decode("utf-32-le", "surrogatepass")
+                    out.append((keys[a + d.word_text[x]], t))
+            yield pd.DataFrame(out, columns=["k", "t"])
+
+    return docs.mapInPandas(run, f"k {kind}, t string")
 
 
 def leaked(
@@ -175,29 +289,31 @@ def leaked(
     kind = docs.schema[key].dataType.simpleString()
     side = F.explode(F.array(*[F.concat_ws(" ", *[F.col(f"`{c}`") for c in s]) for s in sides]))
     stated = items.filter(F.col(item).isNotNull()).select(F.col(item).alias("i"), side.alias("t")).filter("t <> ''")
-    blocks: list[DataFrame] = []
-    batch: list[tuple[int, str]] = []
-    folder = Folder({})
+    rows = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").cast("string").alias("t")).filter("k is not null")
 
     def scan(part: list[tuple[int, str]]) -> DataFrame:
         shared = docs.sparkSession.sparkContext.broadcast(part)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            letters = _letters()
-            index = Index(folder, letters, [i for i, _ in shared.value], [t for _, t in shared.value])
+            index = _index(shared.value)
             for pdf in batches:
                 texts, keys = pdf["t"].fillna("").tolist(), pdf["k"].to_numpy()
-                pairs = [(a + p, q) for a, b in slices(texts) for p, q in index.search(Words(folder, letters, texts[a:b]))]
+                pairs = [(a + p, q) for a, b in slices(texts) for p, q in index.search(Words(texts[a:b]))]
                 at = np.array([p for p, _ in pairs], np.int64)
                 yield pd.DataFrame({key: keys[at], item: index.keys[np.array([q for _, q in pairs], np.int64)]})
 
-        rows = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").cast("string").alias("t")).filter("k is not null")
         return rows.mapInPandas(run, f"`{key}` {kind}, `{item}` long")
 
+    if (stated.agg(F.sum(F.length("t"))).first()[0] or 0) > block:
+        rows = cut_lineage(regions(rows, stated))
+    blocks: list[DataFrame] = []
+    batch: list[tuple[int, str]] = []
+    size = 0
     for r in stated.toLocalIterator():
-        batch.append((r.i, r.t))
-        if len(batch) == block:
+        if batch and size + len(r.t) > block:
             blocks.append(scan(batch))
-            batch = []
+            batch, size = [], 0
+        batch.append((r.i, r.t))
+        size += len(r.t)
     blocks.append(scan(batch))
     return reduce(DataFrame.unionByName, blocks).distinct()

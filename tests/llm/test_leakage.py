@@ -11,8 +11,29 @@ def words(t):
     return [w for w in re.sub(r"[^\w\s]|_", "", F.form(t).lower()).split() if w]
 
 
+def near(d, v):
+    """Whether a window of v stands in d but for one word replaced, left out or put in."""
+    for b in range(len(v) - 11):
+        w = v[b : b + 12]
+        for s in range(len(d) - 10):
+            part = d[s : s + 12]
+            if len(part) == 12 and sum(x == y for x, y in zip(part, w)) >= 11:
+                return True
+            for c in range(1, 11):
+                if d[s : s + c] == w[:c] and d[s + c : s + 11] == w[c + 1 :]:
+                    return True
+                if d[s : s + c] == w[:c] and d[s + c + 1 : s + 13] == w[c:]:
+                    return True
+    return False
+
+
 def brute(docs, items):
     """Every alignment of every pair, word by word."""
+    return {(i, k) for i, t in docs for k, q, a, p in items for side in (" ".join(x for x in (q, a) if x), p) if near(words(t or ""), words(side or ""))}
+
+
+def plain(docs, items):
+    """Replaced words alone."""
     out = set()
     for i, t in docs:
         d = words(t or "")
@@ -44,16 +65,30 @@ def test_against_brute_force(spark):
             s = rnd.randrange(0, max(1, len(src) - n))
             part = src[s : s + n]
             for _ in range(rnd.choice([0, 1, 1, 2])):
-                part[rnd.randrange(len(part))] = rnd.choice(["REPLACED", "z", "averyveryveryverylongreplacementwordindeedmorethanthirtytwochars"])
+                at = rnd.randrange(len(part))
+                part[at : at + rnd.choice([1, 1, 0])] = rnd.choice([["REPLACED"], ["z"], ["averyveryveryverylongreplacementwordindeedmorethanthirtytwochars"], []])
             t += [w.upper() + rnd.choice(["", ",", ";"]) for w in part] + text(5)
         docs.append((i, rnd.choice([" ", "\n", "  "]).join(t).replace("e", rnd.choice(["e", "е", "ｅ"]))))
-    docs += [(900, None), (901, ""), (902, "ABCDEFGHIJKLMNOP".replace("", " ")), (903, " ".join(["pad"] * 40000) + " " + items[0][3])]
-    got = leaked(
-        spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, item_id long"),
-        spark.createDataFrame(items, "item_id long, question string, answer string, passage string"), block=7,
-    )
-    rows = sorted(map(tuple, got.collect()))
-    assert rows == sorted(brute(docs, items)) and len(rows) > 20
+    docs += [(900, None), (901, ""), (902, "ABCDEFGHIJKLMNOP".replace("", " ")), (903, " ".join(["pad"] * 400) + " " + items[0][3])]
+    d = spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, item_id long")
+    i = spark.createDataFrame(items, "item_id long, question string, answer string, passage string")
+    want = sorted(brute(docs, items))
+    assert len(want) > 20 and set(want) > plain(docs, items)
+    for block in (10**6, 300):
+        assert sorted(map(tuple, leaked(d, i, block=block).collect())) == want
+
+
+def test_layout_and_signs(spark):
+    v = "the delta of the river gained 23 % against 41 % near Wonk-Labs in the spring of 2011 by count"
+    i = spark.createDataFrame([(1, None, None, v)], "item_id long, question string, answer string, passage string")
+    docs = {
+        1: "x " + v.replace("delta", "del-\nta").replace("near", "ne-\n   ar") + " y", 2: v.replace("river", "stream"), 3: v.replace("spring", "wet spring"), 4: v.replace(" of the river", ""),
+        5: " ".join(v.split()[:7] + v.split()[8:13]), 6: " ".join(v.split()[:9]), 7: " ".join(v.split()[4:16]).replace("against", "over"), 8: "> " + v.replace(" gained", "\n> gained").replace("near", "\n> near"),
+        9: "lead " * 200000 + v, 10: v.replace("41", "4 1 0").replace("Wonk-Labs", "W onk"),
+    }
+    d = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    for block in (10**6, 50):
+        assert {r.doc_id for r in leaked(d, i, block=block).collect()} == {1, 2, 3, 4, 5, 7, 8, 9}
 
 
 def test_empty(spark):
