@@ -8,40 +8,49 @@ value for each text comes from its longest context with enough support, its own
 left out; a text is cut when the odds of going on against ending exceed the threshold of its
 language and column, or when the open word all but always goes on.
 
-Three passes over the column: the contexts that texts end in are marked in a bitmap of
-fixed size; all places with a marked context are counted (vectorised, combined per batch
-and again before the shuffle); the texts are scored. Only contexts with a share of at
-least SHARE of all places are kept, so the model that is sent with the tasks is bounded
-by the inverse of that share, whatever the size of the corpus.
+The model is a table on the cluster and has no bound that depends on the corpus: texts that
+end alike share one tail (a hash of the longest context and the open word); the contexts of
+all tails are marked in a bitmap, all places of all texts with a marked context are counted
+(vectorised, combined per batch and again before the shuffle), the counts are joined to the
+tails by key, and the odds of a tail to its texts. The bitmap only saves work: what it lets
+through in vain is dropped by the join. A context needs LEAST places (an open word
+WORD_LEAST), whatever the size of the corpus. No text is shuffled.
 
 Thresholds. For each language the histogram of the log-odds is taken over all texts
-without a closing mark; the threshold is its emptiest place between the two modes.
+without a closing mark; the threshold is its emptiest place between the two modes. Where a
+column with the number of units of each text is given (tokens, characters), texts whose
+number is much more frequent than its neighbours are likely to have met a limit there: their
+odds are raised by up to LIFT.
 
 Defined results: null texts, and texts without a letter or digit, are never cut and do not
 count as rows with text; a closing mark ends a text; a lone answer label at the end is not
 a cut; repeated rows are scored alike; unknown endings count as cut only by their
-shorter contexts.
+shorter contexts; a null number of units raises nothing.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import broadcast_if_small, cut_lineage
+from .languages import Languages, sampled
 from .lookalike import slices
 
 KS = (24, 16, 12, 9, 7, 5, 4, 3, 2)
-SHARE, LEAST = 5e-6, 30
-#: Least support of an open word.
-WORD_LEAST = 6
-_BITS = 22
+#: Least places of a context and of an open word: what a share can be told from.
+LEAST, WORD_LEAST = 30, 6
+#: Log-odds over which a text that is one context as a whole, and a text that ends in a decimal point, are cut; share of open words that go on.
+WHOLE, FIGURE, GO = 2.3, 2.0, 0.95
+#: Most that meeting a limit adds to the log-odds; how much more frequent than its neighbours a number of units must be.
+LIFT, SPIKE = 0.5, 4.0
+#: Bits of the bitmap of contexts: sixteen a context, within these bounds.
+BITS = (16, 27)
 _NUM = re.compile(r"\d[\d.,]*\d|\d")
 _NAME = re.compile(r"[^\W\d_a-zà-öø-ÿα-ωά-ώа-я぀-鿿][^\W\d_]*(?:[-'’][^\W\d_]+)*")
 _TAIL = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\xad\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u200b\u200c\u200d\u200e\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff"
@@ -56,8 +65,10 @@ def visible(text: str | None) -> bool:
 
 
 def trimmed(text: str) -> str:
-    """Without trailing blanks and without a lone answer label; a text in capitals in lower case."""
+    """Without trailing blanks, the hyphen of an open word and a lone answer label; a text in capitals in lower case."""
     t = text.rstrip(_TAIL)
+    if t[-1:] in "-‐‑" and t[-2:-1].isalpha():
+        t = t[:-1]  # a word that stops at its hyphen goes on
     if "answer" in t[-30:].lower():
         t = _LABEL.sub("", t).rstrip(_TAIL)
     return t.capitalize() if len(t) > 20 and t.isupper() else t
@@ -68,64 +79,6 @@ def shape(text: str) -> str:
     return _NAME.sub("N", _NUM.sub("0", text))
 
 
-# Frequent words that tell languages apart.
-STOP = {
-    "en": "the of and to in for was is are with by from on at this that which what how did not be has had does its an as we i cannot can t could "
-    "sorry between per according give a it such no here find able am out my me you there if or more than after before near who won when "
-    "only about were although since should moving page section table figure figures value number answer".split(),
-    "de": "der die das und den von im in zu für mit auf ist nicht wird laut nach einen eine einem des dem wie welchen war ich kann um bei sich "
-    "keine kein aus dazu genau leider betrug meldete an gab es welche hoch wir können waren über rund vergleicht ersetzte seite jahr".split(),
-    "fr": "le la les de des du et en pour dans est une un sur par au aux que qui selon ne pas je ce cette quelle quel à été a était il avec entre d l n "
-    "relevée relevé vaut soit plus depuis ont ici réponse peux près déjà mois après".split(),
-    "es": "el la los las de del y en para por con un una es se que no según al lo su cuánto qué fue como entre más esta este estas informó ha puede "
-    "puedo esa ese cuál valor hay a aquí indica tenían ya cerca después soy sido".split(),
-}
-_STOPS = {k: frozenset(v) for k, v in STOP.items()}
-_WORDS = re.compile(r"[^\W\d_]+")
-
-
-def language(text: str) -> str:
-    """en, de, fr, es, ru, el, ja, or '' where nothing speaks for one. Names and numbers do not count."""
-    if not text.isascii() and _OTHER.search(text):
-        n = {"ru": len(_CYRILLIC.findall(text)), "el": len(_GREEK.findall(text)), "ja": 2 * len(_KANA.findall(text))}
-        best = max(n, key=n.get)
-        if n[best] >= 6 and n[best] > 0.25 * sum(map(len, _LATIN.findall(text))):
-            return best
-    words = _WORDS.findall(text)
-    score = [0.0, 0.0, 0.0, 0.0]
-    low = 0
-    for w in words:
-        k = _SPEAKS.get(w)
-        if k is None:
-            k = _SPEAKS.get(w.lower(), ())
-            low += bool(k) or w.islower()
-        else:
-            low += 1
-        for i in k:
-            score[i] += 1
-    if not low:
-        return ""
-    top = sorted(score)
-    if top[3] - top[2] < 1:
-        for w in words:
-            if w.islower() and not w.isascii():
-                for i, k in enumerate(_STOPS):
-                    score[i] += 0.25 * sum(c in _MARKS.get(k, "") for c in w)
-        top = sorted(score)
-    return list(_STOPS)[score.index(top[3])] if top[3] >= 1 and top[3] > top[2] and (low > 1 or len(words) > 1) else ""
-
-
-_SPEAKS: dict[str, tuple[int, ...]] = {}
-for _i, _k in enumerate(STOP):
-    for _w in _STOPS[_k]:
-        _SPEAKS[_w] = (*_SPEAKS.get(_w, ()), _i)
-_OTHER = re.compile("[\u0370-\u052f\u1f00-\u1fff\u3040-\u30ff\u4e00-\u9fff]")
-_CYRILLIC, _GREEK, _KANA = re.compile("[\u0400-\u052f]"), re.compile("[\u0370-\u03ff\u1f00-\u1fff]"), re.compile("[\u3040-\u30ff\u4e00-\u9fff]")
-_LATIN = re.compile("[a-z\u00df-\u024f]+")
-# Letters that speak for a language.
-_MARKS = {"de": "äöüß", "fr": "çœèêà", "es": "ñíóú"}
-
-
 class Contexts:
     """Hashes of the contexts of a batch of texts."""
 
@@ -213,86 +166,122 @@ for _k in range(0x3000):
     _SOLID[_k], _DIGIT[_k] = chr(_k).isalnum(), chr(_k).isdigit()
 
 
-@dataclass
-class Model:
-    """Sorted keys with their counts; thresholds per language."""
-
-    keys: np.ndarray
-    n: np.ndarray
-    over: np.ndarray
-    least: int
-    thresholds: dict[str, float]
-
-    def counts(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
-        known = self.keys[at] == keys if len(self.keys) else np.zeros(keys.shape, bool)
-        return np.where(known, self.n[at] if len(self.keys) else 0, 0), np.where(known, self.over[at] if len(self.keys) else 0, 0)
-
-    def scores(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(log-odds of going on, share of open words that go on, whether the context holds the whole text)."""
-        if not texts:
-            return np.zeros(0), np.zeros(0), np.zeros(0, bool)
-        c = Contexts(texts)
-        f = c.finals()
-        n, over = self.counts(f[:, : len(KS)])
-        n, over = n - 1, over - 1  # without the text itself
-        good = n >= self.least
-        good[:, -1] |= ~good.any(axis=1)
-        pick = good.argmax(axis=1)
-        rows = np.arange(len(texts))
-        n, over = np.maximum(n[rows, pick], 0), np.maximum(over[rows, pick], 0)
-        odds = np.log10((n - over + 0.5) / (over + 0.05))
-        whole = c.lengths < np.array(KS)[pick]
-        wn, won = self.counts(f[:, -1])
-        wn = wn - 1
-        go = np.where((f[:, -1] != 0) & (wn >= WORD_LEAST), 1 - won / np.maximum(wn, 1), 0.0)
-        return odds, go, whole
-
-
-    def point_odds(self, texts: list[str]) -> np.ndarray:
-        """Log-odds that no sentence closes after the digit that a text (its point taken off) ends in."""
-        n, over = self.counts(Contexts(texts).finals()[:, : len(KS)])
-        closed, _ = self.counts(Contexts([t + "." for t in texts]).finals()[:, : len(KS)])
-        good = n - 1 >= self.least
-        pick, rows = good.argmax(axis=1), np.arange(len(texts))
-        n, closed = np.maximum(n[rows, pick] - 1, 0), np.maximum(np.maximum(closed, over)[rows, pick] - 1, 0)
-        return np.where(good.any(axis=1), np.log10(np.maximum(n - closed, 0) + 0.5) - np.log10(closed + 0.05), 0.0)
-
-
-def _key_frame(keys: np.ndarray, n: np.ndarray, over: np.ndarray) -> pd.DataFrame:
-    return pd.DataFrame({"key": keys.view(np.int64), "n": n.astype(np.int64), "over": over.astype(np.int64)})
+N = len(KS)
+
+
+def odds_of(n: np.ndarray, over: np.ndarray, wn: np.ndarray, won: np.ndarray, word: np.ndarray, length: np.ndarray, figure: np.ndarray, closed: np.ndarray) -> pd.DataFrame:
+    """odds, go, whole of tails. n, over, closed: counts by context; wn, won: those of the open word, where there is one."""
+    rows = np.arange(len(n))
+    n, over = n - 1, over - 1  # without the text itself
+    good = n >= LEAST
+    some = good.any(axis=1)
+    good[:, -1] |= ~some
+    pick = good.argmax(axis=1)
+    a, b = np.maximum(n[rows, pick], 0), np.maximum(over[rows, pick], 0)
+    odds = np.log10((a - b + 0.5) / (b + 0.05))
+    # a point after a digit: whether a sentence closes there
+    c = np.maximum(np.maximum(closed, over + 1)[rows, pick] - 1, 0)
+    point = np.where(some, np.log10(np.maximum(a - c, 0) + 0.5) - np.log10(c + 0.05), 0.0)
+    go = np.where(word & (wn - 1 >= WORD_LEAST), 1 - won / np.maximum(wn - 1, 1), 0.0)
+    return pd.DataFrame({"odds": np.where(figure, point, odds), "go": go, "whole": length < np.array(KS)[pick]})
 
 
 def _prepare(texts: pd.Series) -> list[str]:
     return [t for t in (trimmed(t) for t in texts if visible(t)) if visible(t)]
 
 
-def train(texts: DataFrame, text: str = "text", complete: DataFrame | None = None) -> Model:
-    """The model of a column. complete: one column of texts that are whole also without their closing mark."""
+#: Keys of a tail: its shape contexts, its open word, its length up to the longest context, and for decimal points the contexts with the point.
+KEYS = 2 * N + 2
+
+
+def describe(raw: list[str | None], lang: Languages) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
+    """(has_text, closed, figure, lang, tail of each text, tails, their keys). Closed texts have no tail."""
+    has = np.array([visible(t) for t in raw], bool)
+    ts = [trimmed(t) if v else "" for t, v in zip(raw, has)]
+    figure = np.array([t[-1:] == "." and t[-2:-1].isdigit() for t in ts], bool)
+    closed = np.array([not t or bool(_CLOSED.search(t[-16:])) or not visible(t) for t in ts], bool) & ~figure
+    langs: list[str] = []
+    for a, b in slices(ts):
+        langs += lang.judge(ts[a:b])[0]
+    d = pd.DataFrame({"has_text": has, "closed": closed, "figure": figure, "lang": pd.Series(langs, dtype=object)})
+    at = np.nonzero(~closed)[0]
+    if not len(at):
+        return d.assign(tail=pd.array([None] * len(d), "Int64")), np.zeros(0, np.uint64), np.zeros((0, KEYS), np.uint64)
+    made = []
+    for a, b in slices([ts[i] for i in at]):
+        own = [ts[i] for i in at[a:b]]
+        fig = figure[at[a:b]]
+        c = Contexts([t[:-1] if f else t for t, f in zip(own, fig)])
+        keys = np.zeros((len(own), KEYS), np.uint64)
+        keys[:, : N + 1] = c.finals()
+        keys[:, N + 1] = np.minimum(c.lengths, KS[0])
+        if fig.any():
+            keys[fig, N + 2 :] = Contexts([t for t, f in zip(own, fig) if f]).finals()[:, :N]
+        made.append(keys)
+    keys = np.concatenate(made)
+    with np.errstate(over="ignore"):
+        name = _mix(keys[:, 0] + _mix(keys[:, N], 7) + _mix(keys[:, N + 2], 9), 5)
+    tail = np.full(len(d), 0, np.int64)
+    tail[at] = name.view(np.int64)
+    names, first = np.unique(name, return_index=True)
+    return d.assign(tail=pd.array(np.where(closed, None, tail.astype(object)), "Int64")), names, keys[first]
+
+
+TAIL = "tail long, " + ", ".join(f"k{i} long" for i in range(KEYS))
+
+
+def _tail_frame(names: np.ndarray, keys: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"tail": names.view(np.int64)} | {f"k{i}": keys[:, i].view(np.int64) for i in range(KEYS)})
+
+
+def described(df: DataFrame, text: str, keep: list[str], lang: Languages) -> DataFrame:
+    """keep.., has_text, closed, figure, lang, tail, keys (of the first row of each tail in a batch)."""
+    shared = df.sparkSession.sparkContext.broadcast(lang)
+    kinds = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in keep)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            d, names, keys = describe(pdf["__text"].tolist(), shared.value)
+            first = ~d["tail"].duplicated() & d["tail"].notna()
+            held = pd.Series([None] * len(d), dtype=object)
+            by = dict(zip(names.view(np.int64).tolist(), keys.view(np.int64)))
+            at = np.nonzero(first.to_numpy(bool))[0]
+            held[at] = pd.Series([by[t] for t in d["tail"][at]], index=at, dtype=object)
+            yield pd.concat([pdf[keep].reset_index(drop=True), d.assign(keys=held)], axis=1)
+
+    return df.select(*keep, F.col(f"`{text}`").cast("string").alias("__text")).mapInPandas(
+        run, f"{kinds}has_text boolean, closed boolean, figure boolean, lang string, tail long, keys array<long>"
+    )
+
+
+def bitmap(keys: DataFrame) -> tuple[np.ndarray, int]:
+    """(bytes, bits) that mark the column key of keys; its size is bounded, whatever the number of keys."""
+    keys = cut_lineage(keys.distinct())
+    bits = min(max(int(np.ceil(np.log2(max(keys.count(), 1) * 16))), BITS[0]), BITS[1])
+    place = f"(key & {(1 << bits) - 1}L) + 1"
+    pieces = keys.groupBy(F.expr(f"bitmap_bucket_number({place})").alias("b")).agg(F.expr(f"bitmap_construct_agg(bitmap_bit_position({place}))").alias("m")).collect()
+    mark = np.zeros((1 << bits) // 8, np.uint8)
+    for r in pieces:
+        mark[(r.b - 1) * 4096 : r.b * 4096] = np.frombuffer(bytes(r.m), np.uint8)
+    return mark, bits
+
+
+def context_counts(texts: DataFrame, text: str, complete: DataFrame | None, keys: DataFrame) -> DataFrame:
+    """key, n, over: how often each context with a key in keys occurs, and ends a text, over all texts."""
     rows = texts.select(F.col(f"`{text}`").cast("string").alias("t"))
     if complete is not None:
         whole = complete.select(F.regexp_replace(F.trim(complete.columns[0]), r"[.?!。？]+$", "").alias("t"))
         rows = rows.unionByName(whole)
     rows = rows.filter("t is not null")
-    mask = np.uint64((1 << _BITS) - 1)
-
-    def finals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen = np.zeros(1 << _BITS, bool)
-        for pdf in batches:
-            ts = _prepare(pdf["t"])
-            ts += [t[:-1] for t in ts if t[-1] == "." and t[-2:-1].isdigit()]
-            for a, b in slices(ts):
-                seen[(Contexts(ts[a:b]).finals().ravel() & mask).astype(np.int64)] = True
-        yield pd.DataFrame({"slot": np.nonzero(seen)[0].astype(np.int64)})
+    mark, bits = bitmap(keys)
+    shared = texts.sparkSession.sparkContext.broadcast(mark)
+    low = np.uint64((1 << bits) - 1)
 
-    # at most 2^22 slots, whatever the corpus
-    slots = rows.mapInPandas(finals, "slot long").distinct().toPandas()["slot"].to_numpy()
-    bits = np.zeros(1 << _BITS, bool)
-    bits[slots] = True
-    shared = texts.sparkSession.sparkContext.broadcast(np.packbits(bits))
+    def marked(h: np.ndarray) -> np.ndarray:
+        slot = h & low
+        return (shared.value[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        mark = np.unpackbits(shared.value).astype(bool)
         for pdf in batches:
             ts = _prepare(pdf["t"])
             for a, b in slices(ts, 500_000):
@@ -300,10 +289,10 @@ def train(texts: DataFrame, text: str = "text", complete: DataFrame | None = Non
                 keys, over = [], []
                 for k in KS:
                     h = c.key(k, c.places)
-                    keep = mark[(h & mask).astype(np.int64)]
+                    keep = marked(h)
                     keys.append(h[keep])
                     over.append(c.over[keep])
-                keep = mark[(c.word_keys & mask).astype(np.int64)]
+                keep = marked(c.word_keys)
                 keys.append(c.word_keys[keep])
                 over.append(~c.word_open[keep])
                 # one sort of keys that carry their flag in the lowest bit
@@ -311,53 +300,67 @@ def train(texts: DataFrame, text: str = "text", complete: DataFrame | None = Non
                 k.sort()
                 first = np.nonzero(np.concatenate([[True], k[1:] >> np.uint64(1) != k[:-1] >> np.uint64(1)]))[0] if len(k) else np.zeros(0, np.int64)
                 ended = np.add.reduceat(k & np.uint64(1), first) if len(k) else k
-                yield _key_frame(k[first] & ~np.uint64(1), np.diff(np.concatenate([first, [len(k)]])), ended)
-                total = len(c.places)
-                yield _key_frame(np.zeros(1, np.uint64), np.array([total]), np.zeros(1))
+                n = np.diff(np.concatenate([first, [len(k)]]))
+                yield pd.DataFrame({"key": (k[first] & ~np.uint64(1)).view(np.int64), "n": n.astype(np.int64), "over": ended.astype(np.int64)})
 
-    counted = cut_lineage(
-        rows.mapInPandas(count, "key long, n long, over long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("over").alias("over"))
-    )
-    total = counted.filter("key = 0").agg(F.sum("n")).first()[0] or 0
-    least = max(LEAST, int(total * SHARE))
-    # words need little support; they are bounded by the share, too
-    kept = counted.filter((F.col("key") != 0) & (F.col("n") >= max(WORD_LEAST, int(total * SHARE / 5)))).toPandas()
-    keys = kept["key"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(keys)
-    return Model(keys[order], kept["n"].to_numpy(np.int64)[order], kept["over"].to_numpy(np.int64)[order], least, {})
-
-
-DEFAULT = 1.0
+    return rows.mapInPandas(count, "key long, n long, over long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("over").alias("over"))
 
 
-def describe(model: Model, raw: list[str | None]) -> pd.DataFrame:
-    """has_text, closed, figure, lang, odds, go, whole of each text."""
-    has = np.array([visible(t) for t in raw], bool)
-    ts = [trimmed(t) if v else "" for t, v in zip(raw, has)]
-    figure = np.array([t[-1:] == "." and t[-2:-1].isdigit() for t in ts], bool)
-    closed = np.array([not t or bool(_CLOSED.search(t[-16:])) or not visible(t) for t in ts], bool) & ~figure
-    langs = [language(t) for t in ts]
-    ts = [t[:-1] if f else t for t, f in zip(ts, figure)]  # a point after a digit may be a decimal point
-    parts = [model.scores(ts[a:b]) for a, b in slices(ts)] or [model.scores([])]
-    odds, go, whole = (np.concatenate(x) for x in zip(*parts))
-    at = np.nonzero(figure)[0]
-    if len(at):
-        odds[at] = model.point_odds([ts[i] for i in at])
-    return pd.DataFrame({"has_text": has, "closed": closed, "figure": figure, "lang": pd.Series(langs, dtype=object), "odds": odds, "go": go, "whole": whole})
-
-
-def score(df: DataFrame, model: Model, text: str, keep: list[str]) -> DataFrame:
-    """keep.., has_text, closed, figure, lang, odds, go, whole of every row."""
-    shared = df.sparkSession.sparkContext.broadcast(model)
-    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
+def tail_odds(tails: DataFrame, counts: DataFrame) -> DataFrame:
+    """tail, odds, go, whole: the counts joined to the keys of each tail."""
+    places = [i for i in range(KEYS) if i != N + 1]
+    keyed = tails.select("tail", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"k{i}").alias("key")) for i in places])).alias("e")).select("tail", "e.i", "e.key").filter("key <> 0")
+    found = keyed.join(counts, "key").groupBy("tail").agg(
+        *[F.max(F.when(F.col("i") == i, F.col("n"))).alias(f"n{i}") for i in [*range(N + 1), *range(N + 2, KEYS)]],
+        *[F.max(F.when(F.col("i") == i, F.col("over"))).alias(f"o{i}") for i in range(N + 1)],
+    )
+    told = tails.select("tail", F.col(f"k{N + 1}").alias("length"), (F.col(f"k{N}") != 0).alias("word"), (F.col(f"k{N + 2}") != 0).alias("figure"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.concat([pdf[keep].reset_index(drop=True), describe(shared.value, pdf["__text"].tolist())], axis=1)
+            x = pdf.fillna(0)
+            pick = lambda c, r: x[[f"{c}{i}" for i in r]].to_numpy(np.int64)
+            o = odds_of(pick("n", range(N)), pick("o", range(N)), x[f"n{N}"].to_numpy(np.int64), x[f"o{N}"].to_numpy(np.int64), x["word"].to_numpy(bool),
+                        x["length"].to_numpy(np.int64), x["figure"].to_numpy(bool), pick("n", range(N + 2, KEYS)))
+            yield pd.concat([pdf[["tail"]].reset_index(drop=True), o], axis=1)
+
+    return told.join(found, "tail", "left").mapInPandas(run, "tail long, odds double, go double, whole boolean")
+
+
+def prepare(df: DataFrame, text: str, keep: list[str], complete: DataFrame | None = None, lang: Languages | None = None, values: DataFrame | None = None,
+            extra: list[str] = ()) -> tuple[DataFrame, DataFrame, pd.DataFrame]:
+    """(the described rows of df, the odds of every tail, the scored texts of extra).
+
+    values: the table whose texts are counted (default: df); complete: one column of texts
+    that are whole also without their closing mark; extra: a bounded list.
+    """
+    lang = lang or sampled()
+    spark = df.sparkSession
+    rows = cut_lineage(described(df, text, keep, lang))
+    more, names, keys = describe(list(extra), lang)
+    tails = rows.filter("keys is not null").select("tail", *[F.col("keys")[i].alias(f"k{i}") for i in range(KEYS)])
+    tails = tails.unionByName(spark.createDataFrame(_tail_frame(names, keys), TAIL))
+    tails = cut_lineage(tails.groupBy("tail").agg(*[F.min(f"k{i}").alias(f"k{i}") for i in range(KEYS)]))
+    marks = tails.select(F.explode(F.array(*[F.col(f"k{i}") for i in range(KEYS) if i != N + 1])).alias("key")).filter("key <> 0")
+    odds = cut_lineage(tail_odds(tails, context_counts(df if values is None else values, text, complete, marks)))
+    more = more.assign(odds=-3.0, go=0.0, whole=False)
+    if len(names):
+        asked = spark.createDataFrame(pd.DataFrame({"tail": names.view(np.int64)}), "tail long")
+        own = odds.join(broadcast_if_small(asked, len(names)), "tail", "left_semi").toPandas().set_index("tail")
+        at = np.nonzero(more["tail"].notna())[0]
+        got = own.loc[more["tail"][at].astype(np.int64)]
+        for c in ("odds", "go", "whole"):
+            more.loc[at, c] = got[c].to_numpy()
+    return rows.drop("keys"), odds, more.drop(columns="tail")
+
+
+def attach(rows: DataFrame, odds: DataFrame) -> DataFrame:
+    """rows with odds, go and whole by their tail; those without a tail can only end there."""
+    scored = rows.join(broadcast_if_small(odds, odds.count()), "tail", "left").drop("tail")
+    return scored.withColumn("odds", F.coalesce("odds", F.lit(-3.0))).withColumn("go", F.coalesce("go", F.lit(0.0))).withColumn("whole", F.coalesce("whole", F.lit(False)))
 
-    return df.select(*keep, F.col(f"`{text}`").cast("string").alias("__text")).mapInPandas(
-        run, f"{kinds}, has_text boolean, closed boolean, figure boolean, lang string, odds double, go double, whole boolean"
-    )
+
+DEFAULT = 1.0
 
 
 def thresholds(scored: DataFrame) -> dict[str, float]:
@@ -379,24 +382,39 @@ def is_cut(limits: dict[str, float]) -> Column:
     limit = F.lit(DEFAULT)
     for lang, t in limits.items():
         limit = F.when(F.col("lang") == lang, t).otherwise(limit)
-    by_context = F.when(F.col("whole"), F.col("odds") > 2.3).otherwise(F.col("odds") > limit)
-    open_end = by_context | (F.col("go") > 0.95)
-    return F.col("has_text") & ~F.col("closed") & F.when(F.col("figure"), ~F.col("whole") & (F.col("odds") > 2)).otherwise(open_end)
+    by_context = F.when(F.col("whole"), F.col("odds") > WHOLE).otherwise(F.col("odds") > limit)
+    open_end = by_context | (F.col("go") > GO)
+    return F.col("has_text") & ~F.col("closed") & F.when(F.col("figure"), ~F.col("whole") & (F.col("odds") > FIGURE)).otherwise(open_end)
 
 
 def cut_flags(d: pd.DataFrame, limits: dict[str, float]) -> np.ndarray:
     """The same over a described batch."""
     limit = d["lang"].map(limits).fillna(DEFAULT).to_numpy(float)
     odds, whole = d["odds"].to_numpy(), d["whole"].to_numpy(bool)
-    open_end = np.where(whole, odds > 2.3, odds > limit) | (d["go"].to_numpy() > 0.95)
-    return d["has_text"].to_numpy(bool) & ~d["closed"].to_numpy(bool) & np.where(d["figure"].to_numpy(bool), ~whole & (odds > 2), open_end)
+    open_end = np.where(whole, odds > WHOLE, odds > limit) | (d["go"].to_numpy() > GO)
+    return d["has_text"].to_numpy(bool) & ~d["closed"].to_numpy(bool) & np.where(d["figure"].to_numpy(bool), ~whole & (odds > FIGURE), open_end)
+
+
+def limit_lift(scored: DataFrame, units: str) -> DataFrame:
+    """units, lift: numbers of units at which far more open texts end than at the neighbouring ones."""
+    n = scored.filter(f"has_text and not closed and `{units}` is not null").groupBy(F.col(f"`{units}`").cast("long").alias("u")).agg(F.count(F.lit(1)).alias("c"))
+    around = n.select(F.explode(F.array(*[F.col("u") + d for d in (-3, -2, -1, 1, 2, 3)])).alias("u"), "c").groupBy("u").agg((F.sum("c") / 6).alias("near"))
+    ratio = F.col("c") / F.greatest(F.coalesce("near", F.lit(0.0)), F.lit(1.0))
+    lift = F.least(F.log10(ratio), F.lit(1.0)) * LIFT
+    return n.join(around, "u", "left").filter((ratio >= SPIKE) & (F.col("c") >= LEAST)).select("u", lift.alias("lift"))
 
 
-def find_cut(df: DataFrame, text: str, keep: list[str], complete: DataFrame | None = None) -> DataFrame:
+def find_cut(df: DataFrame, text: str, keep: list[str], complete: DataFrame | None = None, units: str | None = None, lang: Languages | None = None) -> DataFrame:
     """keep.., has_text, lang, odds, cut."""
-    model = train(df, text, complete)
-    scored = cut_lineage(score(df, model, text, keep))
-    return scored.withColumn("cut", is_cut(thresholds(scored)))
+    held = [*keep, units] if units and units not in keep else keep
+    rows, known, _ = prepare(df, text, held, complete, lang)
+    scored = cut_lineage(attach(rows, known))
+    limits = thresholds(scored)
+    if units:
+        lifts = cut_lineage(limit_lift(scored, units))
+        scored = scored.join(broadcast_if_small(lifts, lifts.count()), F.col(f"`{units}`").cast("long") == F.col("u"), "left")
+        scored = scored.withColumn("odds", F.col("odds") + F.coalesce("lift", F.lit(0.0))).select(*keep, "has_text", "closed", "figure", "lang", "odds", "go", "whole")
+    return scored.withColumn("cut", is_cut(limits))
 
 
 def rates(found: DataFrame, source: str) -> DataFrame:

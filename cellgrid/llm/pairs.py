@@ -1,17 +1,21 @@
 """Broken prompt and response pairs.
 
 A multi-label linear classifier over hashed word n-grams of the response and dense features
-of the pair (share of the question repeated, content that the question lacks, languages of
-both sides, the ending). It is trained on responses that finished and hold an answer, and on
-defects made from them: cut at a random place, replaced by the question, paired with a
-question of another language, replaced by a refusal (from a small grammar in several
-languages, and the responses without content to questions known to be unanswerable). The
-threshold of each label is the one of the best F1 on the held-out part of these rows.
-
-The training rows are a bounded sample, the TRAIN least keys by hash; the classifier,
-whose size is fixed, is sent with the tasks. The ending model behind the label `truncated`
-is trained on all rows (see endings). Prediction is one join of the responses with the
-questions and one vectorised pass.
+of the pair: the share of the question repeated, content that the question lacks, the
+languages of both sides (see languages), and how the response ends (see endings). It is
+trained on responses that finished and hold an answer, and on defects made from them: cut
+at a random place inside a sentence, replaced by the question, paired with a question of
+another language, replaced by a refusal (the responses without content to questions known
+to be unanswerable, and a small grammar). The threshold of each label is the one of the
+best F1 on held-out rows; a question and all that was made from its responses stand on one
+side of that split.
+
+The training rows are a bounded sample: about TRAIN rows, those under a bound of a hash of
+their key; the classifier, whose size is fixed, is sent with the tasks. The model of
+endings and the one of languages are trained on all rows. Prediction is one join of the
+responses with the questions and one vectorised pass; what the linear classifier makes of
+the ending is added after the join with the odds of its tail, so no text is written or
+shuffled again.
 
 Defined results: rows whose status is neither ok nor null are left out; a null question (or
 none) can only give the defects that need no question; empty comes before all other
@@ -31,70 +35,53 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
-from .endings import Model, cut_flags, describe, language, score, thresholds, visible
+from ..session import broadcast_if_small, cut_lineage
+from .endings import attach, cut_flags, describe, is_cut, prepare, thresholds, visible
+from .languages import NAMES, SAMPLES, Languages, sampled
 from .lookalike import slices
 
-#: Labelled rows that the classifier is fitted on, at most.
+#: Labelled rows that the classifier is fitted on, about.
 TRAIN = 20_000
 DIM = 1 << 16
 LABELS = ("copy", "truncated", "refusal", "other_language")
-_LEAD = re.compile(r"^\W*(?:(?:final )?answer|based on the pages given|q|question|you asked)\s*[:.]\s*", re.IGNORECASE)
+#: A label before a response: up to five words and a colon.
+_LEAD = re.compile(r"^\W*(?:[^\W_]+[ \t]?){1,5}:\s*")
+_LABELS = re.compile(r"(?m)^[^\w\n]*(?:[^\W_]+[ \t]?){1,3}:")
 _QUOTED = re.compile(r'["“«„»][^"”»“«]{0,200}["”»“«]')
-_FRAME = re.compile(r"\b(?:answer|reasoning|evidence|step \d+(?:: read the evidence)?)\b\s*[:.]?", re.IGNORECASE)
 _TOKEN = re.compile(r"\d[\d.,]*|[぀-ヿ一-鿿]|[^\W\d_぀-ヿ一-鿿]+(?:['’][^\W\d_]+)*|[^\W_]")
 _POINTS = str.maketrans("", "", ".,'’")
 
-# A grammar of refusals. Each language: openings, objects, closings, whole phrases, verbs.
+# A small grammar of refusals in each language: openings, closings, whole phrases.
 REFUSALS = {
-    "en": (["I cannot {v}", "I can't {v}", "We could not {v}", "I am not able to {v}", "It was not possible to {v}", "I am unable to {v}", "Sorry, I won't {v}"],
-           ["find", "give", "read", "confirm", "derive", "determine", "answer", "tell"], ["this", "the value", "a reply", "that figure", "what you ask", "the question"],
-           ["here", "from the pages", "in this document", "on this basis", "with the evidence given", ""],
-           ["Not answerable", "No answer can be given", "The document does not say", "The information is not provided", "There is not enough information to answer", "Unknown", "Insufficient information",
-            "I'm sorry, but I cannot help with that", "As an AI I must decline", "This is not mentioned in the text", "Cannot be determined", "I do not know", "I would rather not guess"]),
-    "de": (["Ich kann {o} {w} nicht {v}", "Wir können {o} {w} nicht {v}", "Leider darf ich {o} {w} nicht {v}", "Es war nicht möglich, {o} {w} zu {v}"],
-           ["finden", "nennen", "bestätigen", "lesen", "beantworten"], ["die Zahl", "diesen Wert", "eine Antwort", "die Frage"], ["hier", "in diesem Auszug", "aus den Seiten"],
-           ["Nicht beantwortbar", "Die Frage lässt sich so nicht beantworten", "Die Frage kann nicht beantwortet werden", "Das Dokument enthält dazu keine Angabe", "Dazu liegt keine Information vor", "Leider kann ich dabei nicht helfen", "Das ist nicht bekannt"]),
-    "fr": (["Je ne peux pas {v} {o} {w}", "Je ne suis pas en mesure de {v} {o} {w}", "Il n'a pas été possible de {v} {o} {w}", "Nous ne pouvons pas {v} {o} {w}"],
-           ["trouver", "donner", "confirmer", "lire"], ["ce chiffre", "cette valeur", "une réponse"], ["ici", "dans l'extrait", "avec ces pages"],
-           ["Impossible de répondre", "Le document ne précise pas cela", "Pas de réponse possible", "Désolé, je ne peux pas aider", "Information insuffisante"]),
-    "es": (["No puedo {v} {o} {w}", "No soy capaz de {v} {o} {w}", "No ha sido posible {v} {o} {w}", "No podemos {v} {o} {w}"],
-           ["encontrar", "dar", "confirmar", "leer"], ["esa cifra", "ese valor", "una respuesta"], ["aquí", "en el extracto", "con estas páginas"],
-           ["No es posible responder", "El documento no indica esto", "Sin respuesta posible", "Lo siento, no puedo ayudar", "Información insuficiente"]),
-    "ru": (["Я не могу {v} {o} {w}", "Невозможно {v} {o} {w}"], ["найти", "назвать", "подтвердить"], ["это значение", "ответ"], ["здесь", "в документе"],
-           ["Ответ невозможен", "В документе это не указано", "К сожалению, я не могу помочь", "Недостаточно информации", "Неизвестно"]),
-    "el": (["Δεν μπορώ να {v} {o} {w}", "Δεν ήταν δυνατό να {v} {o} {w}"], ["βρω", "δώσω", "επιβεβαιώσω"], ["αυτή την τιμή", "απάντηση"], ["εδώ", "στο έγγραφο"],
-           ["Δεν απαντάται", "Το έγγραφο δεν το αναφέρει", "Λυπάμαι, δεν μπορώ να βοηθήσω", "Δεν υπάρχουν αρκετές πληροφορίες"]),
-    "ja": (["{o}は{w}{v}できません"], ["回答", "確認", "特定"], ["この値", "答え"], ["ここでは", "この文書では"],
-           ["回答できません", "文書には記載がありません", "申し訳ありませんが、お答えできません", "情報が不足しています", "不明です"]),
+    "en": (["I cannot say", "We are unable to answer", "I can't determine it", "It is impossible to tell"], ["from what is shown", "with this material", "because nothing is said about it", ""],
+           ["No answer", "There is no such information", "The pages are silent on this point", "Sorry, I have to decline", "Not stated", "I don't know"]),
+    "de": (["Ich kann das nicht sagen", "Wir wissen es nicht", "Das ist nicht zu ermitteln"], ["mit diesem Material", "weil nichts dazu dasteht", ""], ["Keine Antwort möglich", "Darüber steht nichts im Text", "Ich muss leider ablehnen"]),
+    "fr": (["Je ne sais pas", "Nous ne pouvons pas le dire", "Il est impossible de le savoir"], ["avec ces éléments", "car rien n'est dit à ce sujet", ""], ["Aucune réponse", "Le texte n'en parle pas", "Je dois refuser"]),
+    "es": (["No lo sé", "No podemos decirlo", "Es imposible saberlo"], ["con este material", "porque no se dice nada al respecto", ""], ["Ninguna respuesta", "El texto no habla de ello", "Debo negarme"]),
+    "it": (["Non lo so", "Non possiamo dirlo", "È impossibile saperlo"], ["con questo materiale", ""], ["Nessuna risposta", "Il testo non ne parla"]),
+    "pt": (["Não sei dizer", "Não podemos responder", "É impossível saber"], ["com este material", ""], ["Nenhuma resposta", "O texto não fala disso"]),
+    "nl": (["Ik kan dat niet zeggen", "Wij weten het niet", "Dat is niet te bepalen"], ["met dit materiaal", ""], ["Geen antwoord", "De tekst zegt er niets over"]),
+    "pl": (["Nie wiem", "Nie możemy tego powiedzieć"], ["na podstawie tego materiału", ""], ["Brak odpowiedzi", "Tekst o tym nie mówi"]),
+    "ru": (["Я не знаю", "Мы не можем этого сказать", "Это невозможно установить"], ["по этим материалам", ""], ["Ответа нет", "В тексте об этом ничего нет", "Вынужден отказаться"]),
+    "el": (["Δεν ξέρω", "Δεν μπορούμε να το πούμε"], ["με αυτό το υλικό", ""], ["Καμία απάντηση", "Το κείμενο δεν λέει τίποτα για αυτό"]),
+    "ja": (["これは分かりません", "お答えできません"], ["この資料では", ""], ["該当する情報はありません", "答えは示されていません"]),
+    "zh": (["无法回答", "我不知道"], [""], ["没有相关信息", "文中没有提到"]),
 }
-_AFTER = {
-    "en": [" Please supply more pages.", " Another section may hold it.", " See the full report."], "de": [" Bitte weitere Seiten senden.", " Vielleicht steht es an anderer Stelle."],
-    "fr": [" Merci d'envoyer d'autres pages.", " Voyez le rapport complet."], "es": [" Envíe otras páginas, por favor.", " Vea el informe completo."],
-}
-_BEFORE = ["", "", "", "Answer: ", "Based on the document: ", "Reasoning: "]
-_RESTATE = ["", "", "", "Q: ", "You asked: ", "Question: ", "Let me restate the question. ", "The question is: ", "To answer this: "]
 
 
 def refusal(rnd: np.random.Generator, lang: str) -> str:
-    heads, verbs, objects, places, whole = REFUSALS.get(lang) or REFUSALS["en"]
+    heads, places, whole = REFUSALS.get(lang) or REFUSALS["en"]
     pick = lambda xs: xs[int(rnd.integers(len(xs)))]
-    if rnd.random() < 0.3:
-        t = pick(whole)
-    else:
-        h = pick(heads)
-        t = h.format(v=pick(verbs), o=pick(objects), w=pick(places))
-        if "{o}" not in h:
-            t = f"{t} {pick(objects)} {pick(places)}".strip()
-    return pick(_BEFORE) + t + pick([".", ".", "", "!", " ."]) + (pick(_AFTER[lang]) if lang in _AFTER and rnd.random() < 0.4 else "")
-
-
-def restated(rnd: np.random.Generator, question: str) -> str:
-    """A response that only repeats the question."""
+    t = pick(whole) if rnd.random() < 0.4 else f"{pick(heads)} {pick(places)}".strip()
+    return pick(["", "", "", "Answer: "]) + t + pick([".", ".", "", "!"])
+
+
+def restated(rnd: np.random.Generator, question: str, lead: str = "") -> str:
+    """A response that only repeats the question, after words that answer nothing."""
     pick = lambda xs: xs[int(rnd.integers(len(xs)))]
     q = question.strip()
     q = pick([q, q, q.upper(), q.lower(), q.rstrip("?.") + pick(["", ".", "!"]), q.replace(" ", "  "), re.sub(r"[^\w\s]", "", q), f"{q} {q}", f'"{q}"'])
-    return pick(_RESTATE) + q + pick(["", "", "\nAnswer:", "\n", "..."])
+    return (lead and lead + pick([": ", ". ", ", "])) + q + pick(["", "", "\nAnswer:", "\n", "..."])
 
 
 def _flat(text: str) -> list[str]:
@@ -103,18 +90,19 @@ def _flat(text: str) -> list[str]:
 
 def said(text: str) -> str:
     """The response as its language is judged: labels and quoted titles left out."""
-    return _FRAME.sub(" ", _QUOTED.sub(" ", text))
+    return _LABELS.sub(" ", _QUOTED.sub(" ", text))
 
 
-DENSE = 20
+#: Dense features; the last AFTER of them are those of the ending: cut, closed, odds.
+DENSE, AFTER = 23, 3
 
 
 class Features:
-    """Hashed n-grams and dense features of pairs."""
+    """Hashed n-grams and dense features of pairs, but for those of the ending."""
 
-    def __init__(self) -> None:
+    def __init__(self, lang: Languages) -> None:
+        self.lang = lang
         self.ids: dict[str, tuple[str, bool, bool, int]] = {}
-        self.asked: dict[str, tuple[list[str], frozenset[str], str]] = {}
 
     def _token(self, raw: str) -> tuple[str, bool, bool, int]:
         """word, whether it is a figure, whether it is capitalised, id."""
@@ -127,32 +115,36 @@ class Features:
             t = self.ids[raw] = w, figure, raw[0].isupper(), xxhash.xxh64_intdigest("#" if figure else w) & 0x7FFFFFFFFFFFFFFF
         return t
 
-    def _question(self, q: str) -> tuple[list[str], frozenset[str], str]:
-        known = self.asked.get(q)
-        if known is None:
-            if len(self.asked) > 50_000:
-                self.asked.clear()
-            words = _flat(q)
-            known = self.asked[q] = words, frozenset(words), language(q)
-        return known
-
-    def __call__(self, questions: list[str], texts: list[str], ends: pd.DataFrame, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def __call__(self, questions: list[str], texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(hashed ids, their offsets, dense matrix)."""
         n = len(texts)
         rows, ids, sizes = [], [], []
         one, seen = self._token, self.ids.get
-        for q, t, lang in zip(questions, texts, ends["lang"]):
-            asked, aset, lq = self._question(q)
-            body = _LEAD.sub("", t) if ":" in t[:60] or "." in t[:60] else t
+        distinct = [*dict.fromkeys(questions)]
+        qlang, qscore, _ = self.lang.judge(distinct)
+        asked = {q: (frozenset(_flat(q)), l, k) for q, l, k in zip(distinct, qlang, qscore.argmax(axis=1).tolist())}
+        tlang, tscore, letters = self.lang.judge(texts)
+        other = [i for i, (q, l) in enumerate(zip(questions, tlang)) if l and l != asked[q][1]]
+        if other:  # without labels and titles
+            again, scores, left = self.lang.judge([said(texts[i]) for i in other])
+            tscore[other], letters[other] = scores, left
+            for i, l in zip(other, again):
+                tlang[i] = l
+        top = tscore.max(axis=1) if n else np.zeros(0)
+        for i, (q, t) in enumerate(zip(questions, texts)):
+            aset, lq, kq = asked[q]
+            lt = tlang[i]
+            head = t[:60]
+            body = _LEAD.sub("", t, 1) if ":" in head else t
             ids.append(2)
             words = []
             numbers = names = novel = 0
             shows = False
             for r in _TOKEN.findall(body):
-                w, figure, upper, i = seen(r) or one(r)
+                w, figure, upper, h = seen(r) or one(r)
                 words.append(w)
                 if w:
-                    ids.append(i)
+                    ids.append(h)
                 shows |= figure
                 if w not in aset:
                     novel += 1
@@ -163,18 +155,17 @@ class Features:
                 names = 0
             tset = set(words)
             cover = len(aset & tset) / len(aset) if aset else 0.0
-            lt = language(said(t)) if lang and lang != lq else lang
             differ = bool(lq and lt and lq != lt)
+            gap = min((top[i] - tscore[i, kq]) / (letters[i] + 10), 1.0) if lq else 0.0
             k = len(words)
             rows.append((1.0, cover, novel, min(numbers, 3) / 3, min(names, 5) / 5, novel / max(k, 1), differ, bool(lt), shows, k, cover >= 0.95,
-                         cover >= 0.95 and not numbers and names <= 2, numbers > 0, k == 0, k <= 3, k > 40, differ and k > 3))
+                         cover >= 0.95 and not numbers and names <= 2, numbers > 0, k == 0, k <= 3, k > 40, differ and k > 3, gap, gap * differ, differ and letters[i] >= 30))
             sizes.append(len(ids))
         d = np.zeros((n, DENSE))
         if n:
             m = np.array(rows, float)
-            d[:, :17] = m
+            d[:, : DENSE - AFTER] = m
             d[:, 2], d[:, 9] = np.minimum(np.log1p(m[:, 2]), 5) / 5, np.minimum(np.log1p(m[:, 9]), 5) / 5
-            d[:, 17], d[:, 18], d[:, 19] = cut, ends["closed"], np.clip(ends["odds"], -3, 3) / 3
         a = np.array(ids, np.uint64)
         stops = np.concatenate([[0], sizes]).astype(np.int64)
         row = np.repeat(np.arange(n), np.diff(stops))
@@ -199,22 +190,28 @@ class Classifier:
     limits: np.ndarray
     held_out: dict[str, float] = field(default_factory=dict)
 
-    def probabilities(self, flat: np.ndarray, stops: np.ndarray, dense: np.ndarray) -> np.ndarray:
+    def values(self, flat: np.ndarray, stops: np.ndarray, dense: np.ndarray) -> np.ndarray:
+        """The linear value of each label; what the ending adds comes on top where it is not in dense."""
         n = np.maximum(np.diff(stops), 1)
         out = np.zeros((len(dense), len(LABELS)))
         for k in range(len(LABELS)):
             sums = np.concatenate([[0.0], np.cumsum(self.hashed[k][flat])])
-            z = (sums[stops[1:]] - sums[stops[:-1]]) / np.sqrt(n) + dense @ self.dense[k]
-            out[:, k] = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+            out[:, k] = (sums[stops[1:]] - sums[stops[:-1]]) / np.sqrt(n) + dense @ self.dense[k]
         return out
 
+    def bound(self, k: int) -> float:
+        """The linear value that the threshold of a label stands for."""
+        return float(np.log(self.limits[k] / (1 - self.limits[k])))
+
 
-def fit(flat: np.ndarray, stops: np.ndarray, dense: np.ndarray, y: np.ndarray, seed: int = 1, rounds: int = 25) -> Classifier:
-    """Logistic regression per label (adaptive gradient steps on mini-batches), thresholds by held-out F1."""
+def fit(flat: np.ndarray, stops: np.ndarray, dense: np.ndarray, y: np.ndarray, groups: np.ndarray, seed: int = 1, rounds: int = 25) -> Classifier:
+    """Logistic regression per label (adaptive gradient steps on mini-batches), thresholds by F1 on the fifth of the groups that is held out."""
     rnd = np.random.default_rng(seed)
     n = len(dense)
     order = rnd.permutation(n)
-    held, train = order[: n // 5], order[n // 5 :]
+    names = np.unique(groups)
+    out = np.isin(groups[order], rnd.permutation(names)[: len(names) // 5])
+    held, train = order[out], order[~out]
     K = len(LABELS)
     wh, wd = np.zeros((K, DIM)), np.zeros((K, DENSE))
     gh, gd = np.full((K, DIM), 1e-4), np.full((K, DENSE), 1e-4)
@@ -241,7 +238,7 @@ def fit(flat: np.ndarray, stops: np.ndarray, dense: np.ndarray, y: np.ndarray, s
     c = Classifier(wh, wd, np.full(K, 0.5))
     fl = np.concatenate([flat[stops[i] : stops[i + 1]] for i in held]) if len(held) else flat[:0]
     st = np.concatenate([[0], np.cumsum(np.diff(stops)[held])])
-    p = c.probabilities(fl, st, dense[held])
+    p = 1 / (1 + np.exp(-np.clip(c.values(fl, st, dense[held]), -30, 30)))
     for k, name in enumerate(LABELS):
         best = max(np.linspace(0.1, 0.95, 18), key=lambda t: (_f1(p[:, k] >= t, y[held, k] > 0), -abs(t - 0.5)))
         c.limits[k] = best
@@ -254,118 +251,134 @@ def _f1(got: np.ndarray, want: np.ndarray) -> float:
     return 2 * hit / max(int(got.sum() + want.sum()), 1)
 
 
-def training_rows(sample: pd.DataFrame, seed: int = 1) -> tuple[list[str], list[str], np.ndarray, list[int]]:
-    """(questions, responses, labels, which were cut by hand) from rows question, text, is_unanswerable."""
+def _inside(t: str, end: int) -> bool:
+    """Whether a text that ends before this place ends inside a sentence."""
+    return t[end - 1] not in ".!?。！？\n" and t[end - 1 : end + 1].strip() != "" and t[end] not in ".!?。！？\n" and t[:end].rstrip()[-1:] not in ".!?:\n"
+
+
+def training_rows(sample: pd.DataFrame, lang: Languages, seed: int = 1) -> tuple[list[str], list[str], np.ndarray, np.ndarray]:
+    """(questions, responses, labels, the number of the question that each was made from) from rows question, text, is_unanswerable."""
     rnd = np.random.default_rng(seed)
     s = sample[np.array([isinstance(q, str) and visible(t) for q, t in zip(sample["question"], sample["text"])], bool)].reset_index(drop=True)
-    langs = [language(q) for q in s["question"]]
+    langs = lang.judge(s["question"].tolist())[0]
+    spoken = lang.judge([said(t) for t in s["text"]])[0]
+    numbers = {q: i for i, q in enumerate(dict.fromkeys(s["question"]))}
     by: dict[str, list[int]] = {}
     for i, l in enumerate(langs):
         by.setdefault(l, []).append(i)
-    qs, ts, ys, cuts = [], [], [], []
+    # words that answer nothing, to stand before a repeated question
+    idle = [w for t in s["text"][:2000] for w in t.split() if w.isalpha() and w.islower()] or ["so"]
+    pick = lambda xs: xs[int(rnd.integers(len(xs)))]
+    qs, ts, ys, groups = [], [], [], []
 
-    def add(q: str, t: str, *labels: str, cut: bool = False) -> None:
+    def add(i: int, q: str, t: str, *labels: str) -> None:
         qs.append(q)
         ts.append(t)
         ys.append([float(k in labels) for k in LABELS])
-        if cut:
-            cuts.append(len(qs) - 1)
+        groups.append(numbers[s["question"][i]])
 
-    tongues = [k for k in REFUSALS]
     for i, (q, t, u) in enumerate(zip(s["question"], s["text"], s["is_unanswerable"])):
-        l = langs[i]
-        lt = language(said(t))
+        l, lt = langs[i], spoken[i]
         digits = any(c.isdigit() for c in t)
+        flat, asked = set(_flat(t)), set(_flat(q))
+        repeats = sum(w in flat for w in asked) > 0.9 * len(asked)
+        differs = bool(l and lt and l != lt)
         if u is True:
-            if not digits and len(t) < 220 and len(_flat(t)) > 1 and (any(w.islower() for w in t.split()[1:]) or t.isupper()):
-                add(q, t, "refusal")
+            plain = any(w.islower() for w in t.split()[1:]) or t.isupper() or not any(w[:1].isupper() for w in t.split()[1:])
+            if not digits and not repeats and len(t) < 220 and len(flat) > 1 and plain:
+                add(i, q, t, "refusal", *(["other_language"] if differs else []))
             continue
-        repeats = sum(w in set(_flat(t)) for w in set(_flat(q))) > 0.9 * len(set(_flat(q)))
-        sound = (digits or len(_flat(t)) <= 3) and not repeats and not (l and lt and l != lt)
-        if not sound:
+        if not (digits or len(flat) <= 3) or repeats or differs:
             continue
-        add(q, t)
+        add(i, q, t)
         a = rnd.random()
         if a < 0.2 and len(t) > 80:
-            add(q, t[: int(rnd.integers(40, len(t) - 10))], "truncated", cut=True)
+            end = int(rnd.integers(40, len(t) - 10))
+            if _inside(t, end):
+                add(i, q, t[:end], "truncated")
         elif a < 0.4:
-            add(q, restated(rnd, q), "copy")
+            at = int(rnd.integers(len(idle)))
+            lead = " ".join(idle[at : at + int(rnd.integers(1, 7))]).capitalize() if rnd.random() < 0.6 else ""
+            add(i, q, restated(rnd, q, lead), "copy")
         elif a < 0.5:
-            add(q, f"{q} {t}")  # repeats the question and answers it
-        elif a < 0.7:
-            k = l if l in REFUSALS and rnd.random() < 0.8 else tongues[int(rnd.integers(len(tongues)))]
-            add(q, refusal(rnd, k), "refusal", *(["other_language"] if l and k != l else []))
-        elif a < 0.8:
-            add(q, f"{t} {refusal(rnd, l)}")  # an answer with a caveat
-        elif lt and len(by) > 1:
+            add(i, q, f"{q} {t}")  # repeats the question and answers it
+        elif a < 0.65:
+            k = l if l in REFUSALS and rnd.random() < 0.7 else pick([*REFUSALS])
+            add(i, q, refusal(rnd, k), "refusal", *(["other_language"] if l and k != l else []))
+        elif a < 0.75:
+            add(i, q, f"{t} {refusal(rnd, l)}")  # an answer with a caveat
+        elif a < 0.9:
             others = [k for k in by if k and k != lt]
-            if others:
-                k = others[int(rnd.integers(len(others)))]
-                add(s["question"][by[k][int(rnd.integers(len(by[k])))]], t, "other_language")
-    return qs, ts, np.array(ys).reshape(-1, len(LABELS)), cuts
-
-
-def train(sample: pd.DataFrame, endings: Model, limits: dict[str, float]) -> Classifier:
-    """The classifier from a bounded sample of finished pairs."""
-    qs, ts, y, cuts = training_rows(sample)
-    ends = describe(endings, ts)
+            if lt and others:
+                add(i, s["question"][pick(by[pick(others)])], t, "other_language")
+        elif l:
+            k = pick([x for x in NAMES if x != l])
+            say = pick([x for x in re.split(r"(?<=[.。?])\s*", SAMPLES[k]) if x])
+            add(i, q, f"{say} {pick(t.split())}" if digits else say, "other_language")
+    return qs, ts, np.array(ys).reshape(-1, len(LABELS)), np.array(groups, np.int64)
+
+
+def train(rows: tuple[list[str], list[str], np.ndarray, np.ndarray], ends: pd.DataFrame, limits: dict[str, float], lang: Languages) -> Classifier:
+    """The classifier from its training rows and how they end."""
+    qs, ts, y, groups = rows
     cut = cut_flags(ends, limits)
-    # what the ending model calls cut among the others may be truly cut: it is no negative
-    by_hand = np.zeros(len(ts), bool)
-    by_hand[cuts] = True
-    keep = np.nonzero(by_hand & cut | ~by_hand & ~(cut & (y.sum(axis=1) == 0)))[0]
-    f = Features()
-    parts = f([qs[i] for i in keep], [ts[i] for i in keep], ends.iloc[keep], cut[keep])
-    return fit(*parts, y[keep])
+    # what the ending model calls cut among sound responses is not known to be sound: it has no label and is left out
+    keep = np.nonzero((y.sum(axis=1) > 0) | ~cut)[0]
+    flat, stops, dense = Features(lang)([qs[i] for i in keep], [ts[i] for i in keep])
+    dense[:, DENSE - AFTER :] = np.stack([cut, ends["closed"], np.clip(ends["odds"].astype(float), -3, 3) / 3], axis=1)[keep]
+    return fit(flat, stops, dense, y[keep], groups[keep])
 
 
 EMPTY_LABEL = re.compile(r"^\W*(?:final )?answer\W*$", re.IGNORECASE)
 
 
-def judge(c: Classifier, ends: pd.DataFrame, cut: np.ndarray, f: Features, questions: list[str], texts: list[str | None], unanswerable: np.ndarray) -> list[str | None]:
-    """The defect of each pair, or None."""
-    full = ["" if t is None else t for t in texts]
-    p = c.probabilities(*f(questions, full, ends, cut)) >= c.limits
-    out: list[str | None] = []
-    for i, t in enumerate(full):
-        if not visible(t) or EMPTY_LABEL.match(t):
-            out.append("empty")
-        elif p[i, 0] and questions[i]:
-            out.append("copy")
-        elif p[i, 1]:
-            out.append("truncated")
-        elif p[i, 2]:
-            out.append(None if unanswerable[i] else "refusal")
-        else:
-            out.append("other_language" if p[i, 3] and questions[i] else None)
-    return out
-
-
-def find_defects(pairs: DataFrame, endings: Model, key: str = "seq", train_rows: int = TRAIN) -> DataFrame:
-    """key, defect. pairs: key, question, text, is_unanswerable, of finished rows."""
-    scored = cut_lineage(score(pairs.withColumn("__t", F.col("text")), endings, "__t", [key, "question", "text", "is_unanswerable"]))
-    limits = thresholds(scored)
-    usable = scored.filter("question is not null and has_text")
-    # about train_rows rows by hash, so that no task sends more than its share
-    part = min(1.0, train_rows / max(usable.count(), 1))
-    chosen = usable.filter(F.pmod(F.xxhash64(key, F.lit(11)), F.lit(1 << 30)) < int(part * (1 << 30)))
-    sample = chosen.select(key, "question", "text", "is_unanswerable").limit(2 * train_rows).toPandas().sort_values(key).reset_index(drop=True)
+def find_defects(
+    rows: DataFrame, asked: DataFrame, link: str = "question_id", key: str = "seq", values: DataFrame | None = None, complete: DataFrame | None = None,
+    lang: Languages | None = None, train_rows: int = TRAIN,
+) -> DataFrame:
+    """key, defect. rows: key, link, text, is_unanswerable of finished rows; asked: link (unique), question.
+
+    values: the table whose texts the ending model counts (default: rows); complete: see endings.
+    """
+    lang = lang or sampled()
+    spark = rows.sparkSession
+    asked = cut_lineage(asked.select(link, "question"))
+    told = broadcast_if_small(asked, asked.count())
+    part = min(1.0, train_rows / max(rows.count(), 1))
+    chosen = rows.filter(F.pmod(F.xxhash64(key, F.lit(11)), F.lit(1 << 30)) < int(part * (1 << 30))).filter("text is not null")
+    chosen = chosen.join(told, link).filter("question is not null").select(key, "question", "text", "is_unanswerable")
+    # the bound of the sample; a hash gives more than twice what was asked for only where keys repeat
+    sample = chosen.limit(2 * train_rows).toPandas().sort_values(key, kind="stable").reset_index(drop=True)
     sample["is_unanswerable"] = [x is True or x is np.True_ for x in sample["is_unanswerable"]]
-    shared = pairs.sparkSession.sparkContext.broadcast((train(sample, endings, limits), limits))
-    kind = pairs.schema[key].dataType.simpleString()
+    made = training_rows(sample, lang)
+    first, odds, ends = prepare(rows, "text", [], complete, lang, values, made[1])
+    limits = thresholds(attach(first, odds))
+    c = train(made, ends, limits, lang)
+    shared = spark.sparkContext.broadcast((c, lang))
+    kind = rows.schema[key].dataType.simpleString()
+    z = [f"z{k}" for k in range(len(LABELS))]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c, lim = shared.value
-        f = Features()
+        model, speech = shared.value
+        f = Features(speech)
         for pdf in batches:
-            qs = ["" if not isinstance(q, str) else q for q in pdf["question"]]
-            ts = [t if isinstance(t, str) else None for t in pdf["text"]]
-            un = np.array([x is True or x is np.True_ for x in pdf["is_unanswerable"]], bool)
-            cut = cut_flags(pdf, lim)
-            out: list[str | None] = []
-            for a, b in slices([t or "" for t in ts]):
-                out += judge(c, pdf.iloc[a:b], cut[a:b], f, qs[a:b], ts[a:b], un[a:b])
-            got = pd.DataFrame({key: pdf[key], "defect": pd.Series(out, index=pdf.index, dtype=object)})
-            yield got[got["defect"].notna()]
-
-    return scored.mapInPandas(run, f"`{key}` {kind}, defect string")
+            ts = [t if isinstance(t, str) else "" for t in pdf["text"]]
+            qs = [q if isinstance(q, str) else "" for q in pdf["question"]]
+            for a, b in slices(ts):
+                d, _, _ = describe(ts[a:b], speech)
+                v = model.values(*f(qs[a:b], ts[a:b]))
+                empty = [not visible(t) or bool(EMPTY_LABEL.match(t)) for t in ts[a:b]]
+                part = pd.DataFrame({key: pdf[key].iloc[a:b].to_numpy(), "known": [bool(q) for q in qs[a:b]], "right": [x is True or x is np.True_ for x in pdf["is_unanswerable"].iloc[a:b]], "empty": empty})
+                yield pd.concat([part, d, pd.DataFrame(v, columns=z)], axis=1)
+
+    judged = rows.select(key, link, "text", "is_unanswerable").join(told, link, "left").mapInPandas(
+        run, f"`{key}` {kind}, known boolean, right boolean, empty boolean, has_text boolean, closed boolean, figure boolean, lang string, tail long, " + ", ".join(f"{x} double" for x in z)
+    )
+    judged = attach(judged, odds).withColumn("cut", is_cut(limits))
+    ending = (F.col("cut").cast("double"), F.col("closed").cast("double"), F.least(F.greatest("odds", F.lit(-3.0)), F.lit(3.0)) / 3)
+    is_ = [F.col(z[k]) + sum(float(w) * e for w, e in zip(c.dense[k][DENSE - AFTER :], ending)) >= c.bound(k) for k in range(len(LABELS))]
+    defect = (
+        F.when(F.col("empty"), "empty").when(is_[0] & F.col("known"), "copy").when(is_[1], "truncated")
+        .when(is_[2], F.when(~F.col("right"), "refusal")).when(is_[3] & F.col("known"), "other_language")
+    )
+    return judged.select(key, defect.alias("defect")).filter("defect is not null")

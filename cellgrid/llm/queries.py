@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.packed import first_delivery
 from ..session import table
-from . import endings, leakage, lookalike, pairs, proportions, scans, tokenize
+from . import endings, languages, leakage, lookalike, pairs, proportions, scans, tokenize
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +54,7 @@ def p5_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _cut(spark: SparkSession, sf_dir: str, keep: list[str]) -> DataFrame:
     p, q = table(spark, sf_dir, "predictions"), table(spark, sf_dir, "questions")
-    return endings.find_cut(p, "text", keep, q.select("question"))
+    return endings.find_cut(p, "text", keep, q.select("question"), "output_tokens")
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,10 +70,10 @@ def p6_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Finished rows with a defect, and its type."""
     p, q = table(spark, sf_dir, "predictions"), table(spark, sf_dir, "questions")
-    model = endings.train(p, "text", q.select("question"))
     done = p.filter("status is null or status = 'ok'").select("seq", "question_id", "text", "is_unanswerable")
     asked = first_delivery(q, "question_id", "ingested_at", ["question_id", "question"])
-    return pairs.find_defects(done.join(asked, "question_id", "left"), model)
+    lang = languages.learn(table(spark, sf_dir, "documents"))
+    return pairs.find_defects(done, asked, values=p, complete=q.select("question"), lang=lang)
 
 
 LABELS = ["doc_type", "bin_label"]

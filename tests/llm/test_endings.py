@@ -4,14 +4,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from cellgrid.llm.endings import KS, Contexts, find_cut, language, rates, shape, trimmed, visible
 
-
-def test_languages():
-    assert language("The document does not state this value") == "en" and language("Le document ne précise pas cette valeur") == "fr"
-    assert language("Dazu enthält das Dokument keine Angabe") == "de" and language("El documento no indica este dato") == "es"
-    assert language("Согласно разделу 4.12, урожай пшеницы вырос") == "ru" and language("Σύμφωνα με την ενότητα 2.15, ο χρόνος") == "el"
-    assert language("2007年に燃料の消費が992単位だったと報告した。") == "ja" and language("Kouplamskiav-Biarstaeson, 12") == "" and language("") == ""
+from cellgrid.llm.endings import KS, Contexts, bitmap, find_cut, rates, shape, trimmed, visible
 
 
 def test_shape_and_trim():
@@ -68,6 +62,21 @@ def test_held_out_accuracy(spark, corpus):
     assert by["a"].with_text + by["b"].with_text == len(corpus) and by["b"].share > by["a"].share and by["c"].with_text == 2
 
 
+def test_limit_of_units_raises_the_odds(spark, corpus):
+    rows = [(s, t, 64 if c else len(t) // 6) for s, t, _, c in corpus] + [(-1, "x y", None)]
+    df = spark.createDataFrame(rows, "seq long, text string, units long")
+    a = {r.seq: r for r in find_cut(df, "text", ["seq"]).collect()}
+    b = {r.seq: r for r in find_cut(df, "text", ["seq"], units="units").collect()}
+    assert set(a) == set(b) and sorted(b[0].asDict()) == sorted(a[0].asDict())
+    assert {s for s, r in a.items() if r.cut} <= {s for s, r in b.items() if r.cut}
+
+
+def test_bitmap_marks_every_key(spark):
+    keys = [(i * 0x9E3779B97F4A7C15) % (1 << 63) for i in range(5000)]
+    mark, bits = bitmap(spark.createDataFrame([(k,) for k in keys], "key long"))
+    assert all(mark[(k & ((1 << bits) - 1)) >> 3] >> (k & 7) & 1 for k in keys) and np.unpackbits(mark).sum() <= 5000
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "seq long, text string")
     assert find_cut(df, "text", ["seq"]).count() == 0
