@@ -35,21 +35,21 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
-def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _pages(spark: SparkSession, sf_dir: str, text: bool) -> DataFrame:
     pages = table(spark, sf_dir, "doc_pages")
     q = table(spark, sf_dir, "questions").filter(proportions.label_key(F.col("scan_label")) == "scanned")
-    return scans.examine(pages, q.select("doc_id"), scans.lexicon(pages))
+    return scans.examine(pages, q.select("doc_id"), text)
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The noise of each line of scanned documents."""
-    found = _pages(spark, sf_dir).select("doc_id", "page_index", F.explode(F.arrays_zip("span_no", "noise")).alias("f"))
+    found = _pages(spark, sf_dir, False).select("doc_id", "page_index", F.explode(F.arrays_zip("span_no", "noise")).alias("f"))
     return found.select("doc_id", "page_index", "f.span_no", "f.noise")
 
 
 def p5_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The running text of each page of scanned documents."""
-    return _pages(spark, sf_dir).select("doc_id", "page_index", "text")
+    return _pages(spark, sf_dir, True).select("doc_id", "page_index", "text")
 
 
 def _cut(spark: SparkSession, sf_dir: str, keep: list[str]) -> DataFrame:

@@ -1,14 +1,17 @@
 """Noise in text from scanned pages: found per line, and repaired into running paragraphs.
 
-Lexicon. Words are counted over all pages (broken words at line ends left out) and those
-with a share of at least SHARE are kept, so at most 1 / SHARE words exist whatever the
-size of the corpus. Pairs of neighbouring plain words are counted and bounded likewise.
-
-Misread words. A symmetric-delete index over the lexicon (every word with up to two
-characters deleted, as sorted hashes) gives candidates for a rare or unknown word; the
-weighted edit distance charges little for the known confusion pairs and 1 for any other
-edit. A word is misread when a much more frequent candidate lies within the distance of
-the confusions; among several the bigram context picks.
+Lexicon. Words, hyphenated compounds and pairs of neighbouring plain words are counted over
+all pages (broken words at line ends left out) and stay a table on the cluster. Words of
+LEAST occurrences are lexicon words, whatever the size of the corpus.
+
+Misread words. Every confusion pair keeps a word's strokes (a d is a c and an l, an m an r
+and an n), so a word and its misreadings have the same stroke form, however many characters
+were misread. The symmetric-delete index holds the stroke form of every word and what is
+left of it without one stroke; words and lexicon words that share an entry are joined, and
+the weighted edit distance, which charges little for the confusion pairs, keeps a candidate
+that is much more frequent; the shorter the word and the more confusions, the more. A lost
+or doubled thin stroke is accepted in long unknown words. Among several candidates of one
+distance the bigram context picks.
 
 Running heads. The first and last lines of a page are keyed by their letters with the
 confusions undone; a key on two pages of a document is a head. The first line of the
@@ -16,10 +19,13 @@ first page is its title and stays. A line that only numbers the page is recognis
 form, or by a number that keeps the same distance to page_index on two pages.
 
 Broken words. A body line that ends in a break mark and whose next body line starts in
-lower case is joined, unless the lexicon knows the word with its mark better.
+lower case is joined, unless the corpus knows the word (by its strokes) with its mark better.
 
-Pages are linked to their neighbours by equi-joins on (document, page), heads by counts
-per (document, key): no task gets a whole document.
+One pass over the pages, with a bitmap of the misread words, keeps of each line only the
+tokens that can matter; what is shuffled are these, the keys of the outer lines and the
+look-ups of each page, equi-joined. The text of a page is read again, and joined last, only
+where the repaired text is asked for. Pages are linked to their neighbours by equi-joins on
+(document, page), heads by counts per (document, key), salted: no task gets a whole document.
 
 Defined results: null or empty text_spans give no noise and the empty text; null and blank
 spans count as places but hold nothing; missing bbox or image_path change nothing; a
@@ -40,12 +46,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+import xxhash
+
+from ..session import broadcast_if_small, cut_lineage
+from .endings import bitmap
 
-#: Least share of all words for a lexicon entry; bounds the lexicon by its inverse.
-SHARE = 1e-5
-#: Least count, for small corpora.
+#: Occurrences of a lexicon word.
 LEAST = 4
+#: Lines at either end of a page that may be heads or page numbers; parts that the pages of a document are spread over.
+OUTER, SALTS = 2, 16
 # What scanners make of a character (written, read).
 CONFUSIONS = (
     ("e", "c"), ("c", "e"), ("a", "@"), ("o", "0"), ("t", "f"), ("f", "t"), ("s", "5"), ("i", "l"), ("l", "i"), ("l", "1"), ("i", "1"),
@@ -57,6 +66,11 @@ _MARK = re.compile(r"([^\W_][^\s]*?)[-‐‑¬­]\s*$")
 _WORD = re.compile(r"[^\W_@](?:[\w@]*[^\W_@]|[\w@]*@)?|@[\w@]*", re.UNICODE)
 _CODE = re.compile(r"^[A-Z]{1,3}\d[\d\-]*$|^[\d.,%\-]+$|^\d+[A-Z]{1,2}$|^[A-Z]\d[A-Z]$")
 _ROMAN = re.compile(r"^m{0,3}(cm|cd|d?c{0,3})(xc|xl|l?x{0,3})(ix|iv|v?i{0,3})$")
+# The strokes that make up a character.
+_STROKES = str.maketrans({
+    "e": "c", "@": "a", "0": "o", "f": "t", "5": "s", "i": "l", "1": "l", "|": "l", "9": "g", "q": "g", "2": "z",
+    "6": "ll", "8": "ll", "b": "ll", "h": "ll", "u": "ll", "d": "cl", "n": "rl", "m": "rrl", "w": "vv",
+})
 _FOLD_ONE = str.maketrans({"1": "l", "i": "l", "|": "l", "0": "o", "e": "c", "t": "f", "5": "s", "9": "g", "@": "a", "6": "u", "h": "u", "b": "u", "8": "u"})
 _FOLD = (("rn", "m"), ("cl", "d"), ("ll", "u"), ("vv", "w"), ("rl", "n"))  # of folded letters
 _DIGITS = str.maketrans({"l": "1", "I": "1", "|": "1", "i": "1", "o": "0", "O": "0", "S": "5", "s": "5", "B": "8", "b": "6", "g": "9", "q": "9", "Z": "2", "z": "2"})
@@ -74,13 +88,22 @@ def fold(word: str) -> str:
     return w
 
 
+def strokes(word: str) -> str:
+    """The word's strokes; a word and any of its misreadings have the same."""
+    return word.lower().translate(_STROKES)
+
+
+def _key(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
 _PAGE_FOLDS = {fold(w) for w in _PAGE_WORDS}
 
 
 def head_key(line: str) -> str | None:
     """The key of a possible running head: its words of letters, folded; page numbers dropped."""
     line = line.strip()
-    if not line or re.search(r"[.,;\-‐¬­]$", line) and not re.search(r"\d\W*$", line) or len(line) > 120:
+    if not line or re.search(r"[.,;\-‐¬­]$", line) and not re.search(r"\d\W*$", line):
         return None
     words = [w for w in re.findall(r"[\w@]+", line) if re.search(r"[^\W\d_]", w) and not re.fullmatch(r"[\dlIoO|]+", w)]
     if sum(len(w) for w in words) < 6 or not re.match(r"[\W\d_]*[^\W\d_]", line):
@@ -137,18 +160,10 @@ def parts(token: str) -> list[str]:
     return [p for p in _WORD.findall(core.replace("¬", "").replace("­", "")) if any(c.isalpha() or c == "@" for c in p)]
 
 
-def _deletes(word: str, depth: int = 2) -> set[str]:
-    found = level = {word}
-    for _ in range(depth):
-        level = {w[:i] + w[i + 1 :] for w in level for i in range(len(w))}
-        found = found | level
-    return found
-
-
-def _hash(strings: list[str]) -> np.ndarray:
-    import xxhash
-
-    return np.fromiter((xxhash.xxh64_intdigest(s) for s in strings), np.uint64, len(strings))
+def index_keys(word: str) -> set[int]:
+    """Entries of the symmetric-delete index: the stroke form, and without one stroke."""
+    t = strokes(word)
+    return {_key(t)} | {_key(t[:i] + t[i + 1 :]) for i in range(len(t))}
 
 
 def distance(written: str, read: str, limit: float = 1.0) -> float:
@@ -177,80 +192,65 @@ def distance(written: str, read: str, limit: float = 1.0) -> float:
     return rows[n][m]
 
 
+def accepted(word: str, n: int, candidate: str, f: int) -> float | None:
+    """The distance of a lexicon word that this word is a misreading of, or None."""
+    if candidate == word or f < 3 * max(n, 1) or len(word) < 2 or not any(c.isalpha() or c == "@" for c in word):
+        return None
+    strange = bool(re.search(r"[\d@]", word))
+    size = len(word)
+    ratio = 3 if strange else 4 if size > 3 else 8 if size == 3 else 20
+    a, b = strokes(word), strokes(candidate)
+    if a != b:  # a thin stroke lost or doubled
+        long, short = sorted((a, b), key=len, reverse=True)
+        at = next((i for i, (x, y) in enumerate(zip(long, short)) if x != y), len(short))
+        if len(long) - len(short) != 1 or long[at] != "l" or long[:at] + long[at + 1 :] != short or at == len(short) or size < 9 or n >= LEAST or f < 50 * max(n, 1):
+            return None
+        return 0.95
+    d = distance(candidate, word, 4 * _COST + 0.01)
+    if d > 4 * _COST + 0.01:
+        return None
+    m = round(d / _COST)
+    if m > 1 and not strange and size <= 6 or m > 2:
+        ratio = 20
+    if m > 1 and size < 4 and not strange or m > 2 and size < 8 or f < ratio * max(n, 1):
+        return None
+    return d
+
+
 @dataclass
 class Lexicon:
-    """Word and pair counts with the symmetric-delete index. Built on the driver, sent with the tasks."""
-
-    counts: dict[str, int]
-    pairs: dict[str, int] = field(default_factory=dict)
-
-    def __post_init__(self) -> None:
-        self.words = sorted(w for w in self.counts if len(w) > 1 and "-" not in w)
-        keys, at = [], []
-        for i, w in enumerate(self.words):
-            d = _deletes(w[:10])
-            keys.extend(d)
-            at.extend([i] * len(d))
-        h = _hash(keys)
-        order = np.argsort(h, kind="stable")
-        self.keys, self.at = h[order], np.array(at, np.int32)[order]
-        self.known: dict[tuple[str, str], str | None] = {}
-        self.clean: set[str] = set()  # tokens of known words that stand, whatever goes before
-
-    def candidates(self, word: str) -> set[str]:
-        h = _hash(list(_deletes(word[:10])))
-        lo, hi = np.searchsorted(self.keys, h, "left"), np.searchsorted(self.keys, h, "right")
-        found: set[str] = set()
-        for a, b in zip(lo, hi):
-            found.update(self.words[i] for i in self.at[a:b])
-        return found
+    """What the words of one page were looked up for."""
+
+    fixes: dict[tuple[str, str], str] = field(default_factory=dict)
+    joins: dict[tuple[str, str], bool] = field(default_factory=dict)
+    known: set[str] = field(default_factory=set)
 
     def repair(self, word: str, before: str = "") -> str | None:
         """The lower-case word that was misread as this one; None where it stands."""
         w = word.lower()
-        key = w, "" if w in self.counts else before
-        if key in self.known:
-            return self.known[key]
-        if len(self.known) > 300_000:
-            self.known.clear()
-        found = self.known[key] = self._repair(w, before)
-        return found
-
-    def _repair(self, w: str, before: str) -> str | None:
         if w == "@":
             return "a"
-        n = self.counts.get(w, 0)
-        if len(w) < 2 or not any(c.isalpha() or c == "@" for c in w):
-            return None
-        strange = bool(re.search(r"[\d@]", w))
-        ratio = 3 if strange else 4 if len(w) > 3 else 8 if len(w) == 3 else 20
-        best = None
-        for c in self.candidates(w):
-            f = self.counts[c]
-            if c == w or f < ratio * max(n, 1) or abs(len(c) - len(w)) > 2:
-                continue
-            d = distance(c, w)
-            if d > (2 * _COST + 0.01 if strange or len(w) > 6 else _COST + 0.01):
-                continue
-            score = (d, -math.log(f) - math.log1p(self.pairs.get(f"{before} {c}", 0)))
-            if best is None or score < best[0]:
-                best = score, c
-        if best:
-            return best[1]
-        if strange and n < LEAST and re.fullmatch(r"[^\W\d_]*[^\W\d_]{2}[0159@6]?[^\W\d_]*|[^\W\d_]+[0159@6][^\W\d_]{2,}|[0159@6][^\W\d_]{3,}", w) and re.search(r"[^\W\d_]{2}", w):
+        found = self.fixes.get((w, before))
+        if found is not None:
+            return found
+        if odd(w) and w not in self.known:
             back = w.translate(str.maketrans("0159@6", "olsgab"))
             return back if sum(c.isdigit() or c == "@" for c in w) == 1 and len(w) >= 4 else None
         return None
 
     def joined(self, left: str, right: str) -> bool:
         """Whether a word broken into left and right is one word without its mark."""
-        a = re.split(r"[-‐‑]", left.lower())[-1]
-        b = re.split(r"[^\w@]", right.lower())[0]
-        for x, y in ((a, b), (self.repair(a) or a, self.repair(b) or b)):
-            with_mark, without = self.counts.get(f"{x}-{y}", 0), self.counts.get(x + y, 0)
-            if with_mark or without:
-                return with_mark <= without
-        return True
+        return self.joins.get(broken(left, right), True)
+
+
+def odd(w: str) -> bool:
+    """Whether a word is plainly a misreading by its form: letters around a digit or sign."""
+    return bool(re.search(r"[\d@]", w) and re.fullmatch(r"[^\W\d_]*[^\W\d_]{2}[0159@6]?[^\W\d_]*|[^\W\d_]+[0159@6][^\W\d_]{2,}|[0159@6][^\W\d_]{3,}", w) and re.search(r"[^\W\d_]{2}", w))
+
+
+def broken(left: str, right: str) -> tuple[str, str]:
+    """The parts next to a break, as they are looked up."""
+    return re.split(r"[-‐‑]", left.lower())[-1], re.split(r"[^\w@]", right.lower())[0]
 
 
 def _lines(pages: DataFrame, spans: str, *keys: str) -> DataFrame:
@@ -258,8 +258,8 @@ def _lines(pages: DataFrame, spans: str, *keys: str) -> DataFrame:
     return pages.select(*keys, text.alias("lines"))
 
 
-def lexicon(pages: DataFrame, spans: str = "text_spans", share: float = SHARE, least: int = LEAST) -> Lexicon:
-    """Counts over all pages; only the bounded lexicon reaches the driver."""
+def word_counts(pages: DataFrame, spans: str = "text_spans") -> DataFrame:
+    """w, n: words, compounds (x-y) and pairs of neighbouring plain words (x y) over all pages."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n: Counter[str] = Counter()
@@ -276,7 +276,6 @@ def lexicon(pages: DataFrame, spans: str = "text_spans", share: float = SHARE, l
                             ps = known[t] = [p.lower() for p in parts(t)]
                         for p in ps:
                             n[p] += 1
-                        n[""] += len(ps)
                         if len(ps) > 1 and "-" in t:
                             n["-".join(ps)] += 1
                         if ps and before and t.isalpha() and t.islower():
@@ -288,80 +287,223 @@ def lexicon(pages: DataFrame, spans: str = "text_spans", share: float = SHARE, l
         if n:
             yield pd.DataFrame({"w": list(n), "n": list(n.values())})
 
-    counted = cut_lineage(_lines(pages, spans).mapInPandas(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")))
-    total = counted.filter("w = ''").agg(F.sum("n")).first()[0] or 0
-    kept = counted.filter((F.col("w") != "") & (F.col("n") >= max(least, math.ceil(total * share)))).toPandas()
-    both = dict(zip(kept["w"], kept["n"].astype(int)))
-    return Lexicon({w: n for w, n in both.items() if " " not in w}, {w: n for w, n in both.items() if " " in w})
+    return _lines(pages, spans).mapInPandas(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
+
+
+def corrections(counted: DataFrame) -> DataFrame:
+    """w, key, c, d, f: the lexicon words (of frequency f, at distance d) that each word may be a misreading of."""
+
+    def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            keys = [index_keys(w) for w in pdf["w"]]
+            sizes = [len(k) for k in keys]
+            yield pd.DataFrame({"e": [x for k in keys for x in k], "w": np.repeat(pdf["w"].to_numpy(), sizes), "n": np.repeat(pdf["n"].to_numpy(), sizes)})
+
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            d = [accepted(w, n, c, f) for w, n, c, f in zip(pdf["w"], pdf["n"], pdf["c"], pdf["f"])]
+            out = pdf[["w", "c", "f"]].assign(d=d, key=[_key(w) for w in pdf["w"]])
+            yield out[out["d"].notna()]
+
+    words = counted.filter((F.length("w") > 1) & ~F.col("w").contains("-") & ~F.col("w").contains(" "))
+    entries = cut_lineage(words.mapInPandas(index, "e long, w string, n long"))
+    sound = entries.filter(F.col("n") >= LEAST).select("e", F.col("w").alias("c"), F.col("n").alias("f"))
+    pairs = entries.join(sound, "e").filter((F.col("w") != F.col("c")) & (F.col("f") >= 3 * F.col("n"))).select("w", "n", "c", "f").distinct()
+    return cut_lineage(pairs.mapInPandas(verify, "w string, key long, c string, d double, f long"))
+
+
+def stroke_counts(counted: DataFrame) -> DataFrame:
+    """s, m: how often words and compounds of each stroke form occur."""
+
+    @F.pandas_udf("long")
+    def key(w: pd.Series) -> pd.Series:
+        return w.map(lambda x: _key(strokes(x)))
+
+    return counted.filter(~F.col("w").contains(" ")).select(key("w").alias("s"), "n").groupBy("s").agg(F.sum("n").alias("m"))
 
 
 EDGE = "array<struct<no:int,text:string,head:string,num:int,sure:boolean>>"
 
 
-def _edges(pages: DataFrame, reach: int = 4) -> DataFrame:
-    """doc, page, edges: the outer lines of each page with their keys."""
+def _ends(line: str) -> str:
+    """The first and the last token of a line: what its neighbours need of it."""
+    t = line.split()
+    return t[0] if len(t) == 1 else f"{t[0]} {t[-1]}" if t else ""
+
+
+def edges(lines: list[str], outer: int = OUTER) -> list[tuple]:
+    """(place, ends, head key, number, whether the form alone numbers a page) of the outer lines and as many more."""
+    full = [i for i, t in enumerate(lines) if t.strip()]
+    row = []
+    for i in sorted({*full[: 2 * outer], *full[-2 * outer :]}):
+        near = i in full[:outer] or i in full[-outer:]
+        num = page_number(lines[i]) if near else None
+        head = head_key(lines[i]) if near and num is None else None
+        row.append((i, _ends(lines[i]), head, num and num[0], num and num[1]))
+    return row
+
+
+def compact(lines: list[str], matters) -> list[str]:
+    """The lines with a full stop for every token that has no part in a finding. matters: a cached test of a token."""
+    out = []
+    broke = False
+    for t in lines:
+        tokens = t.split()
+        if not tokens:
+            out.append("")
+            continue
+        mark = bool(_MARK.search(t))
+        keep = [matters(x) for x in tokens]
+        row = [x if keep[j] or j + 1 < len(tokens) and keep[j + 1] and x.isalpha() or j == 0 and broke or j == len(tokens) - 1 and mark else "." for j, x in enumerate(tokens)]
+        out.append(" ".join(row) if any(x != "." for x in row) else ".")
+        broke = mark
+    return out
+
+
+def _reduced(p: DataFrame, fixes: DataFrame) -> DataFrame:
+    """doc_id, page_index, edges, lines: what of each page can matter."""
+    mark, bits = bitmap(fixes.select("key"))
+    shared = p.sparkSession.sparkContext.broadcast(mark)
+    low = (1 << bits) - 1
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        table = shared.value
+        seen: dict[str, bool] = {}
+
+        def word(w: str) -> bool:
+            k = _key(w) & low
+            return bool(table[k >> 3] >> (k & 7) & 1) or w == "@" or odd(w)
+
+        def matters(t: str) -> bool:
+            found = seen.get(t)
+            if found is None:
+                if len(seen) > 300_000:
+                    seen.clear()
+                found = seen[t] = any(word(x.lower()) for x in parts(t))
+            return found
+
         for pdf in batches:
-            out = []
-            for lines in pdf["lines"]:
-                full = [i for i, t in enumerate(lines) if t.strip()]
-                near = sorted({*full[:reach], *full[-reach:]})
-                row = []
-                for i in near:
-                    outer = i in full[:2] or i in full[-2:]
-                    num = page_number(lines[i]) if outer else None
-                    head = head_key(lines[i]) if outer and num is None else None
-                    row.append((i, lines[i], head, num and num[0], num and num[1]))
-                out.append(row)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "page_index": pdf["page_index"], "edges": out})
-
-    return pages.mapInPandas(run, f"doc_id string, page_index int, edges {EDGE}")
-
-
-def _marked(pages: DataFrame) -> DataFrame:
-    """doc, page, heads, numbers: the places of running heads and of page numbers."""
-    edges = cut_lineage(_edges(pages))
+            lines = [list(x) for x in pdf["lines"]]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "page_index": pdf["page_index"], "edges": [edges(x) for x in lines], "lines": [compact(x, matters) for x in lines]})
+
+    return p.mapInPandas(run, f"doc_id string, page_index int, edges {EDGE}, lines array<string>")
+
+
+def _recurring(rows: DataFrame, key: str) -> DataFrame:
+    """rows whose key stands on two pages of their document; hot documents are spread over salts."""
+    twice = rows.select("doc_id", "page_index", key).distinct().groupBy("doc_id", key).agg(F.count(F.lit(1)).alias("c")).filter("c >= 2")
+    twice = twice.select("doc_id", key, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    return rows.withColumn("salt", F.pmod("page_index", F.lit(SALTS)).cast("int")).join(twice, ["doc_id", key, "salt"], "left_semi").drop("salt")
+
+
+def _marked(reduced: DataFrame) -> DataFrame:
+    """doc, page, heads, numbers, first, last: the places of running heads and page numbers, the ends of the first and last body line."""
     top = F.get(F.col("edges"), F.lit(0))["no"].alias("top")
-    e = edges.select("doc_id", "page_index", top, F.explode("edges").alias("e")).select("doc_id", "page_index", "top", "e.*")
+    e = reduced.select("doc_id", "page_index", top, F.explode("edges").alias("e")).select("doc_id", "page_index", "top", "e.*")
     title = (F.col("page_index") == 0) & (F.col("no") == F.col("top"))
-    heads = e.filter("head is not null").select("doc_id", "page_index", "head").distinct().groupBy("doc_id", "head").agg(F.count(F.lit(1)).alias("c")).filter("c >= 2").select("doc_id", "head")
-    found = e.filter(F.col("head").isNotNull() & ~title).join(heads, ["doc_id", "head"], "left_semi").select("doc_id", "page_index", "no", F.lit("h").alias("k"))
-    n = e.filter("num is not null").withColumn("off", F.col("num") - F.col("page_index"))
-    offs = n.select("doc_id", "page_index", "off").distinct().groupBy("doc_id", "off").agg(F.count(F.lit(1)).alias("c")).filter("c >= 2").select("doc_id", "off")
-    steady = n.join(offs, ["doc_id", "off"], "left_semi").select("doc_id", "page_index", "no", F.lit("n").alias("k"))
-    sure = n.filter("sure").select("doc_id", "page_index", "no", F.lit("n").alias("k"))
-    marks = found.unionByName(steady).unionByName(sure).groupBy("doc_id", "page_index").agg(
+    found = _recurring(e.filter("head is not null").select("doc_id", "page_index", "no", "head", title.alias("title")), "head").filter("not title")
+    n = e.filter("num is not null").withColumn("off", F.col("num") - F.col("page_index")).select("doc_id", "page_index", "no", "off", "sure")
+    place = lambda df, k: df.select("doc_id", "page_index", "no", F.lit(k).alias("k"))
+    marks = place(found, "h").unionByName(place(_recurring(n, "off"), "n")).unionByName(place(n.filter("sure"), "n")).groupBy("doc_id", "page_index").agg(
         F.collect_set(F.when(F.col("k") == "h", F.col("no"))).alias("heads"), F.collect_set(F.when(F.col("k") == "n", F.col("no"))).alias("numbers"))
     none = F.array().cast("array<int>")
-    m = edges.join(marks, ["doc_id", "page_index"], "left")
+    m = reduced.select("doc_id", "page_index", "edges").join(marks, ["doc_id", "page_index"], "left")
     body = F.filter("edges", lambda x: ~F.array_contains(F.coalesce("heads", none), x["no"]) & ~F.array_contains(F.coalesce("numbers", none), x["no"]))
     m = m.select("doc_id", "page_index", F.coalesce("heads", none).alias("heads"), F.coalesce("numbers", none).alias("numbers"), body.alias("b"))
     first, last = F.get(F.col("b"), F.lit(0))["text"], F.get(F.col("b"), F.size("b") - 1)["text"]
-    return cut_lineage(m.select("doc_id", "page_index", "heads", "numbers", first.alias("first"), last.alias("last")))
+    m = cut_lineage(m.select("doc_id", "page_index", "heads", "numbers", first.alias("first"), last.alias("last")))
+    one = lambda c, d: m.select("doc_id", (F.col("page_index") + d).alias("page_index"), F.col(c).alias("x" + c)).groupBy("doc_id", "page_index").agg(F.min("x" + c).alias("x" + c))
+    m = m.join(one("first", -1), ["doc_id", "page_index"], "left").join(one("last", 1), ["doc_id", "page_index"], "left")
+    return m.groupBy("doc_id", "page_index").agg(*[F.min(c).alias(c) for c in ("heads", "numbers", "xfirst", "xlast")])
+
+
+class Wanted(Lexicon):
+    """A lexicon that knows nothing and notes what it is asked for, under either answer to every question of a break."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.words: set[tuple[str, str]] = set()
+        self.breaks: set[tuple[str, str]] = set()
+
+    def repair(self, word: str, before: str = "") -> str | None:
+        self.words.add((word.lower(), before))
+        return None
+
+    def joined(self, left: str, right: str) -> bool:
+        self.breaks.add(broken(left, right))
+        for w in (*parts(left + right), *parts(f"{left}-{right}")):
+            self.words |= {(w.lower(), ""), (w.lower(), self.before)}
+        return True
+
+    before = ""
+
+
+def _lookups(small: DataFrame, counted: DataFrame, fixes: DataFrame) -> DataFrame:
+    """doc, page, told: per page (kind, x, y, z): misread words x after y with their repair z, breaks x and y that stay parted, known odd words x."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for r in pdf.itertuples():
+                w = Wanted()
+                page(w, list(r.lines), r.heads, r.numbers, r.xfirst, r.xlast)
+                rows += [(r.doc_id, r.page_index, "w", x, y, 0, 0) for x, y in w.words]
+                rows += [(r.doc_id, r.page_index, "j", x, y, _key(strokes(f"{x}-{y}")), _key(strokes(x + y))) for x, y in w.breaks]
+            yield pd.DataFrame(rows, columns=["doc_id", "page_index", "k", "x", "y", "a", "b"])
+
+    wanted = cut_lineage(small.mapInPandas(run, "doc_id string, page_index int, k string, x string, y string, a long, b long"))
+    at = ["doc_id", "page_index"]
+    words = wanted.filter("k = 'w'").select(*at, "x", "y")
+    pairs = counted.filter(F.col("w").contains(" ")).select(F.col("w").alias("pair"), F.col("n").alias("m"))
+    near = words.join(fixes, words["x"] == fixes["w"]).select(*at, "x", "y", "c", "d", "f")
+    near = near.join(pairs, F.concat_ws(" ", "y", "c") == F.col("pair"), "left")
+    best = F.min(F.struct(F.round("d", 3).alias("d"), (-F.ln("f") - F.log1p(F.coalesce("m", F.lit(0)))).alias("s"), "c")).alias("z")
+    repaired = near.groupBy(*at, "x", "y").agg(best).select(*at, F.lit("w").alias("k"), "x", "y", F.col("z.c").alias("z"))
+    rare = counted.filter((F.col("n") >= LEAST) & F.col("w").rlike("[0-9@]")).select(F.col("w").alias("x"))
+    none = F.lit(None).cast("string")
+    known = words.select(*at, "x").distinct().join(rare, "x", "left_semi").select(*at, F.lit("k").alias("k"), "x", none.alias("y"), none.alias("z"))
+    s = stroke_counts(counted)
+    asked = wanted.filter("k = 'j'").select(*at, "x", "y", F.explode(F.array(F.struct(F.lit(1).alias("w"), F.col("a").alias("s")), F.struct(F.lit(0).alias("w"), F.col("b").alias("s")))).alias("e")).select(*at, "x", "y", "e.w", "e.s")
+    told = asked.join(s, "s").groupBy(*at, "x", "y").agg(F.sum(F.when(F.col("w") == 1, F.col("m")).otherwise(-F.col("m"))).alias("more"))
+    parted = told.filter("more > 0").select(*at, F.lit("j").alias("k"), "x", "y", none.alias("z"))
+    return repaired.unionByName(known).unionByName(parted).groupBy(*at).agg(F.collect_list(F.struct("k", "x", "y", "z")).alias("told"))
+
+
+def _lexicon(told) -> Lexicon:
+    lex = Lexicon()
+    for r in () if told is None else told:
+        if r["k"] == "w":
+            lex.fixes[r["x"], r["y"]] = r["z"]
+        elif r["k"] == "j":
+            lex.joins[r["x"], r["y"]] = False
+        else:
+            lex.known.add(r["x"])
+    return lex
 
 
 RESULT = "doc_id string, page_index int, span_no array<int>, noise array<string>, text string"
 
 
-def examine(pages: DataFrame, scanned: DataFrame, lex: Lexicon) -> DataFrame:
-    """doc_id, page_index, span_no, noise (arrays of one entry per finding), text (the repaired page)."""
-    p = _lines(pages, "text_spans", "doc_id", "page_index").join(scanned.select("doc_id").distinct(), "doc_id", "left_semi")
-    m = _marked(p)
-    one = lambda c, d: m.select("doc_id", (F.col("page_index") + d).alias("page_index"), F.col(c).alias("x" + c)).groupBy("doc_id", "page_index").agg(F.min("x" + c).alias("x" + c))
-    m = m.join(one("first", -1), ["doc_id", "page_index"], "left").join(one("last", 1), ["doc_id", "page_index"], "left")
-    m = m.groupBy("doc_id", "page_index").agg(*[F.min(c).alias(c) for c in ("heads", "numbers", "xfirst", "xlast")])
-    p = p.join(m, ["doc_id", "page_index"], "left")
-    shared = pages.sparkSession.sparkContext.broadcast(lex)
+def examine(pages: DataFrame, scanned: DataFrame, text: bool = True) -> DataFrame:
+    """doc_id, page_index, span_no, noise (arrays of one entry per finding), text (the repaired page, where asked for)."""
+    counted = cut_lineage(word_counts(pages))
+    fixes = corrections(counted)
+    labelled = cut_lineage(scanned.select("doc_id").filter("doc_id is not null").distinct())
+    p = _lines(pages, "text_spans", "doc_id", "page_index").join(broadcast_if_small(labelled, labelled.count()), "doc_id", "left_semi")
+    reduced = cut_lineage(_reduced(p, fixes))
+    at = ["doc_id", "page_index"]
+    marked = cut_lineage(_marked(reduced))
+    small = reduced.select(*at, "lines").join(marked, at, "left")
+    told = _lookups(small, counted, fixes)
+    whole = (p.join(marked, at, "left") if text else small).join(told, at, "left")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lx = shared.value
         for pdf in batches:
-            rows = [page(lx, list(r.lines), r.heads, r.numbers, r.xfirst, r.xlast, r.page_index == 0) for r in pdf.itertuples()]
+            rows = [page(_lexicon(r.told), list(r.lines), r.heads, r.numbers, r.xfirst, r.xlast, r.page_index == 0) for r in pdf.itertuples()]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "page_index": pdf["page_index"], "span_no": [[n for n, _ in f] for f, _ in rows],
-                                "noise": [[k for _, k in f] for f, _ in rows], "text": [t for _, t in rows]})
+                                "noise": [[k for _, k in f] for f, _ in rows], "text": [t if text else None for _, t in rows]})
 
-    return p.mapInPandas(run, RESULT)
+    return whole.mapInPandas(run, RESULT)
 
 
 def page(lex: Lexicon, lines: list[str], heads, numbers, after: str | None, before: str | None, first: bool = False) -> tuple[list[tuple[int, str]], str]:
@@ -425,7 +567,7 @@ def page(lex: Lexicon, lines: list[str], heads, numbers, after: str | None, befo
             fixed, wrong = _fix(lex, t, prev)
             bad = bad or wrong
             out[-1].append(fixed)
-            prev = fixed.lower() if fixed.isalpha() else ""
+            prev = t.lower() if t.isalpha() else ""  # as written: what is looked up does not depend on what is found
         if bad:
             found.append((i, "misread"))
     text = "\n\n".join(" ".join(p) for p in out if p)
@@ -455,15 +597,10 @@ def _breaks(lex: Lexicon, line: str | None, nxt: str) -> tuple[str, str, bool] |
 
 def _fix(lex: Lexicon, token: str, before: str) -> tuple[str, bool]:
     """The token with its misread words repaired, and whether there were any."""
-    if token in lex.clean:
-        return token, False
-    wrong, whole, read = False, True, token
+    wrong = False
     for w in parts(token):
-        whole = whole and w.lower() in lex.counts
         r = lex.repair(w, before)
         if r is not None:
             shaped = r.upper() if w.isupper() and len(w) > 1 else r.capitalize() if w[0].isupper() else r
             token, wrong = token.replace(w, shaped, 1), True
-    if whole and not wrong and len(lex.clean) < 300_000:
-        lex.clean.add(read)
     return token, wrong
