@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -64,7 +65,12 @@ class Vocabulary:
     def _load(self) -> None:
         self.rank = {base64.b64decode(a): int(b) for a, b in map(bytes.split, filter(None, self.lines.split(b"\n")))}
         self.token = {v: k for k, v in self.rank.items()}
-        self.longest = max(map(len, self.rank))
+        # lengths of the tokens that end in two given bytes, longest first
+        sizes: dict[bytes, set[int]] = {}
+        for k in self.rank:
+            if len(k) > 1:
+                sizes.setdefault(k[-2:], set()).add(len(k))
+        self.sizes = {k: sorted(v, reverse=True) for k, v in sizes.items()}
         self.split = regex.compile(self.pattern)
         self.pairs: dict[tuple[int, int], bool] = {}
         self.cache: dict[str, list[int]] = {}
@@ -109,11 +115,14 @@ class Prefixes:
 
     def append(self, more: bytes) -> None:
         v, last = self.v, self.last
-        rank, longest, stays, reached = v.rank, v.longest, v.stays, v.reached
+        rank, sizes, stays, reached = v.rank, v.sizes, v.stays, v.reached
         start, self.data = len(self.data), self.data + more
         data = self.data
         for end in range(start + 1, len(data) + 1):
-            for begin in range(max(0, end - longest), end):
+            for size in (*sizes.get(data[max(end - 2, 0) : end], ()), 1):
+                begin = end - size
+                if begin < 0:
+                    continue
                 t = rank.get(data[begin:end])
                 if t is not None and reached(t) and (begin == 0 or stays(last[begin - 1], t)):
                     last.append(t)
@@ -140,7 +149,7 @@ def _chunk(v: Vocabulary, text: str) -> list[int]:
     """Ids of a chunk through the split pattern and the prefix table."""
     out: list[int] = []
     for piece in v.split.findall(text):
-        data = piece.encode("utf-8", "replace")
+        data = piece.encode("utf-8")
         whole = v.rank.get(data)
         if whole is not None and v.reached(whole):
             out.append(whole)
@@ -153,6 +162,10 @@ def encode(v: Vocabulary, text: str | None) -> list[int]:
     """The ids of a text."""
     if not text:
         return []
+    try:
+        text.encode("utf-8")
+    except UnicodeEncodeError:
+        text = "".join("\ufffd" if "\ud800" <= c <= "\udfff" else c for c in text)
     cache = v.cache
     if len(cache) > CACHE:
         cache.clear()
@@ -177,13 +190,19 @@ def encode(v: Vocabulary, text: str | None) -> list[int]:
     return out + ids
 
 
+@lru_cache(maxsize=2)
+def _vocabulary(lines: bytes) -> Vocabulary:
+    """The vocabulary of this process."""
+    return Vocabulary(lines)
+
+
 def encode_column(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
     """key, ids: the ids of every row's text."""
     lines = Vocabulary.read(path).lines
     shared = df.sparkSession.sparkContext.broadcast(lines)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = Vocabulary(shared.value)
+        v = _vocabulary(shared.value)
         for b in batches:
             texts = b.column(1).to_pylist()
             ids = [encode(v, t) for t in texts]

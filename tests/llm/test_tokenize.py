@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -43,6 +45,10 @@ def test_long_piece_and_specials():
     for t in ("a" * 20000, "<|endoftext|> x", "   ", "x  y   z ", "​" * 300):
         assert encode(V, t) == T.encode(t, add_special_tokens=False).ids
     assert _chunk(V, "") == []
+    assert encode(V, "a\ud800b") == encode(V, "a\ufffdb")
+    began = time.time()
+    assert V.merge(b" " * 300) == encode(V, " " * 300) and sum(len(V.token[i]) for i in encode(V, " " * 160_000)) == 160_000
+    assert time.time() - began < 6
 
 
 def test_column(spark):
