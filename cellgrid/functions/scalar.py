@@ -57,9 +57,16 @@ def clean(c: Column) -> Column:
 
 
 def parse_list(c: Column) -> Column:
-    """array<string> of a dirty list field: a list in brackets, one scalar, or nothing."""
+    """array<string> of a dirty list field: a list in brackets (JSON or literals), one scalar, or nothing.
+
+    None and null members are null; True and False keep their names; numbers stay as written.
+    """
     t = F.trim(c)
-    items = F.from_json(t, "array<string>", {"allowSingleQuotes": "true"})
+    bits = F.regexp_extract_all(t, F.lit(r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|[^'"]+|['"]"""), F.lit(0))
+    # names of literals outside quotes
+    plain = lambda b: F.regexp_replace(F.regexp_replace(F.regexp_replace(b, r"\bNone\b", "null"), r"\b(True|False)\b", '"$1"'), r",\s*\]$", "]")
+    told = F.array_join(F.transform(bits, lambda b: F.when((F.length(b) > 1) & b.rlike("^['\"]"), b).otherwise(plain(b))), "")
+    items = F.from_json(told, "array<string>", {"allowSingleQuotes": "true"})
     none = c.isNull() | F.lower(t).isin("", "none", "nan", "null")
     whole = F.when(t.startswith("[") & items.isNotNull(), items).otherwise(F.array(t))
     return F.when(none, F.array().cast("array<string>")).otherwise(whole)
@@ -282,13 +289,22 @@ def cap_tokens(pixels: int, patch: int = 28) -> int:
     return max(side * side, 1)
 
 
-def cap_dimensions(width: int, height: int, cap: int, patch: int = 28) -> tuple[int, int]:
-    """Patch-aligned size under a pixel cap; never larger than the image, aspect kept as well as patches allow."""
-    scale = min(1.0, (cap / (width * height)) ** 0.5)
-    w, h = (max(patch, int(x * scale) // patch * patch) for x in (width, height))
-    while w * h > cap and max(w, h) > patch:
-        w, h = (w - patch, h) if w * height >= h * width else (w, h - patch)
-    return w, h
+def capped_size(width: Column, height: Column, cap: int, patch: int = 28) -> Column:
+    """struct(width, height): the size in whole patches that an image is shown at under a pixel cap; null for sizes that are not positive.
+
+    Both sides are scaled alike, never up, and cut to whole patches, one at least. Only where
+    a side was lifted to one patch can the cap be passed; the other side then takes what the
+    budget of patches leaves.
+    """
+    if cap < patch * patch:
+        raise ValueError(f"the cap must allow one patch of {patch * patch} pixels")
+    budget = cap // (patch * patch)
+    scale = F.least(F.lit(1.0), F.sqrt(F.lit(float(cap)) / (width * height)))
+    side = lambda x: F.greatest(F.floor(x * scale / patch), F.lit(1)).cast("long")
+    fit = lambda a, b: F.least(a, F.greatest(F.floor(F.lit(budget) / b), F.lit(1)).cast("long"))
+    w, h = side(width), side(height)
+    size = F.struct((F.when(w >= h, fit(w, h)).otherwise(w) * patch).alias("width"), (F.when(h > w, fit(h, w)).otherwise(h) * patch).alias("height"))
+    return F.when((width > 0) & (height > 0), size)
 
 
 def grid_tokens(grid: Column) -> Column:
@@ -316,8 +332,8 @@ def gres_count(c: Column) -> Column:
 
 
 def wait_text(seconds: Column) -> Column:
-    """1d 02:03:04, days only where there are any."""
-    s = seconds.cast("long")
+    """1d 02:03:04, days only where there are any; what is over counts as nothing."""
+    s = F.greatest(seconds.cast("long"), F.lit(0))
     clock = F.format_string("%02d:%02d:%02d", F.floor(s % 86400 / 3600).cast("long"), F.floor(s % 3600 / 60).cast("long"), s % 60)
     return F.when(s >= 86400, F.concat(F.floor(s / 86400).cast("string"), F.lit("d "), clock)).otherwise(clock)
 

@@ -102,10 +102,12 @@ def missing_cells(wanted: DataFrame, cached: DataFrame, key: str = "prediction_k
     return wanted.join(cached.select(key).distinct(), key, "left_anti")
 
 
-def open_cells(base: DataFrame, attempts: DataFrame, resolutions: int) -> DataFrame:
-    """Cells to keep: all but those whose every resolution ran out of memory."""
-    key = [c for c in IDENTITY if c != "visual_resolution"]
-    dead = with_status(attempts).filter("status = 'oom'").groupBy(*key).agg(F.countDistinct("visual_resolution").alias("n")).filter(F.col("n") >= resolutions)
+def open_cells(base: DataFrame, attempts: DataFrame, keys: tuple[str, ...] = IDENTITY) -> DataFrame:
+    """Cells to keep: all but those that ran out of memory at every resolution they were tried at (no attempt there did better)."""
+    key = [c for c in keys if c != "visual_resolution"]
+    rank = F.when(F.col("status") == "ok", 2).when(F.col("status") == "oom", 1).otherwise(0)
+    tried = with_status(attempts).groupBy(*key, "visual_resolution").agg(F.max(rank).alias("r"))
+    dead = tried.groupBy(*key).agg(F.min("r").alias("lo"), F.max("r").alias("hi")).filter("lo = 1 and hi = 1")
     return base.join(dead.select(*key), key, "left_anti")
 
 

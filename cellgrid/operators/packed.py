@@ -7,6 +7,9 @@ one projection and one generator, no shuffle.
 
 The placeholders cannot collide with the data: a marker character that the field
 itself holds is treated as a span of its own, so it is swapped out and restored too.
+Parentheses nest to any depth: those inside three others are set aside first (a field
+that holds the two characters which stand for them keeps them as they are). A list inside
+a list gives its members.
 
 Defined results: null, blank, ``[]``-like and missing-word fields give no row; empty
 members take no position; repeated values stay; the order is that of the field.
@@ -19,6 +22,8 @@ from pyspark.sql import functions as F
 
 # Markers of a placeholder: quoted span <A index B>, any other span <C index D>.
 _A, _B, _C, _D = "\ue000", "\ue001", "\ue002", "\ue003"
+# What stands for parentheses inside three others.
+_DEEP = "\ue004\ue005"
 _BLANK = r"[\s\x{a0}\x{1680}\x{2000}-\x{200b}\x{202f}\x{205f}\x{3000}\x{feff}]"
 _DELIMS = r",;|\t\r\n\f、，；｜"
 
@@ -87,16 +92,30 @@ def _let(value: Column, then) -> Column:
 def packed_values(field: Column, missing: tuple[str, ...] = ("none", "nan", "null")) -> Column:
     """array<string> of the members of a packed field, in order, never null."""
     whole = _trim(field)
-    cut = _let(_unwrap(whole), lambda t: F.struct(
+    cut = _let(_flattened(_unwrap(whole)), lambda t: F.struct(
         F.split(t, _SPAN).alias("gaps"), F.regexp_extract_all(t, F.lit(_SPAN), F.lit(0)).alias("spans")))
     marked = _let(cut, lambda c: F.struct(
         c["spans"].alias("spans"), _interleave(c["gaps"], F.transform(c["spans"], _mark)).alias("body")))
     values = _let(marked, lambda c: F.filter(
-        F.transform(F.split(_open(_trim(c["body"])), _SPLIT), lambda m: _restore(_trim(m), c["spans"])), lambda v: v != ""))
+        F.transform(F.split(_open(_trim(c["body"])), _SPLIT), lambda m: F.translate(_restore(_trim(m), c["spans"]), _DEEP, "()")), lambda v: v != ""))
     none = field.isNull() | (whole == "") | F.lower(whole).isin(*missing) | whole.rlike(rf"^[\[({{]{_BLANK}*[\])}}]$")
     return F.when(none, F.array().cast("array<string>")).otherwise(values)
 
 
+def _flattened(t: Column) -> Column:
+    """t with the parentheses inside three others set aside."""
+
+    def step(s: Column, b: Column) -> Column:
+        deep = F.when(b == "(", s["depth"] >= 3).otherwise(s["depth"] > 3)
+        sign = F.when(deep, F.translate(b, "()", _DEEP)).otherwise(b)
+        depth = F.when(b == "(", s["depth"] + 1).when(b == ")", F.greatest(s["depth"] - 1, F.lit(0))).otherwise(s["depth"])
+        return F.struct(depth.alias("depth"), F.concat(s["text"], F.when(b.isin("(", ")"), sign).otherwise(b)).alias("text"))
+
+    bits = F.regexp_extract_all(t, F.lit(r"[()]|[^()]+"), F.lit(0))
+    whole = F.aggregate(bits, F.struct(F.lit(0).alias("depth"), F.lit("").alias("text")), step, lambda s: s["text"])
+    return F.when(t.rlike(r"(?:\([^()]*){4}") & ~t.rlike(f"[{_DEEP}]"), whole).otherwise(t)
+
+
 def _mark(span: Column, i: Column) -> Column:
     """The placeholder of a span: quoted ones and others differ, since only quotes may be parted by blanks."""
     at = i.cast("string")
@@ -105,8 +124,10 @@ def _mark(span: Column, i: Column) -> Column:
 
 
 def _open(body: Column) -> Column:
-    """Without the brackets of a list or set; an opening bracket that never closes goes too."""
-    body = F.regexp_replace(body, r"(?s)^\[([^\[\]]*)\]$", "$1")
+    """Without the brackets of a list or set, or of lists inside a list; an opening bracket that never closes goes too."""
+    inner = F.regexp_replace(F.regexp_replace(body, rf"(^|[{_DELIMS}])({_BLANK}*)\[[\[\s]*", "$1$2"), rf"{_BLANK}*\][\]\s]*(?={_BLANK}*(?:$|[{_DELIMS}]))", "")
+    body = F.when(body.rlike(rf"(?s)^\[.*\]$") & body.rlike(rf"[\[{_DELIMS}]{_BLANK}*\["), inner).otherwise(body)
+    body = F.regexp_replace(body, r"(?s)^\[((?:[^\[\]]++|\[[^\[\]]*+\])*+)\]$", "$1")
     body = F.regexp_replace(body, r"(?s)^\{([^{}]*)\}$", "$1")
     return F.regexp_replace(body, r"^[\[{](?=[^\]}]*$)", "")
 

@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from fractions import Fraction
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -52,12 +53,15 @@ def _measurements(df: DataFrame, groups: list[str], measures: list[str]) -> Data
 
 
 def _name(q: float) -> str:
-    return f"p{q * 100:g}".replace(".", "_")
+    return "p" + f"{float(Fraction(str(q)) * 100):.12g}".replace(".", "_")
 
 
 def _rank(n: Column, q: float) -> Column:
-    """Exact in integers: q counts in thousandths."""
-    return F.greatest(F.lit(1), F.ceil(n * F.lit(round(q * 1000)) / F.lit(1000))).cast("long")
+    """ceil(q * n), at least 1; exact: q as the fraction that its decimals say."""
+    f = Fraction(str(q))
+    wide = n.cast("decimal(38,0)")
+    above = (wide * f.numerator + F.lit(f.denominator - 1)).cast("decimal(38,0)")
+    return F.greatest(F.lit(1).cast("long"), F.call_function("div", above, F.lit(f.denominator).cast("decimal(20,0)")).cast("long"))
 
 
 def nearest_even(n: Column, q: float) -> Column:
@@ -113,10 +117,10 @@ def _narrow(rows: DataFrame, live: DataFrame, keys: list[str], parts: int, left:
     piece = F.least(F.floor(share * parts), F.lit(parts - 1)).cast("int")
     if left <= BROADCAST_ROWS:
         joined = rows.alias("r").join(F.broadcast(spans).alias("s"), cond & inside)
-    else:  # too many groups to broadcast: spread each key over salts, so that no task gets a hot group whole
+    else:  # too many groups to broadcast: spread each key over salts by row, so that no task gets a hot group, or a hot value, whole
         salts = 32
         joined = (
-            rows.withColumn("__salt", F.pmod(F.xxhash64("value"), F.lit(salts)).cast("int")).alias("r").join(
+            rows.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")).alias("r").join(
                 spans.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).alias("s"),
                 cond & (F.col("r.__salt") == F.col("s.__salt")) & inside,
             )

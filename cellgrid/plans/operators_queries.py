@@ -83,12 +83,13 @@ def _resume(spark, d):
     return facts.missing_cells(p.filter("status <> 'ok'").select("prediction_key", "model_spec").distinct(), p.filter("status = 'ok'"))
 
 
-@query("skip_oom_cells", f"""WITH dead AS (SELECT question_id, doc_id, condition, representation, model_spec FROM predictions WHERE {ST} = 'oom' GROUP BY ALL HAVING count(DISTINCT visual_resolution) >= 2),
+@query("skip_oom_cells", f"""WITH t AS (SELECT question_id, doc_id, condition, representation, model_spec, visual_resolution, max(CASE {ST} WHEN 'ok' THEN 2 WHEN 'oom' THEN 1 ELSE 0 END) AS r FROM predictions GROUP BY ALL),
+dead AS (SELECT question_id, doc_id, condition, representation, model_spec FROM t GROUP BY ALL HAVING min(r) = 1 AND max(r) = 1),
 b AS (SELECT DISTINCT question_id, doc_id, condition, representation, model_spec FROM predictions) SELECT * FROM b ANTI JOIN dead USING (question_id, doc_id, condition, representation, model_spec)""")
 def _skip(spark, d):
     p = preds(spark, d)
     key = [c for c in facts.IDENTITY if c != "visual_resolution"]
-    return facts.open_cells(p.select(*key).distinct(), p, 2)
+    return facts.open_cells(p.select(*key).distinct(), p)
 
 
 @query("status_reason_topk", f"SELECT {ST} AS status, left(trim(split_part(skipped_reason, chr(10), 1)), 100) AS reason, count(*) AS n, min(seq) AS first_seq FROM predictions WHERE {ST} <> 'ok' GROUP BY ALL ORDER BY n DESC, first_seq LIMIT 5")
@@ -418,7 +419,7 @@ def _rbin(spark, d):
 _COS = "list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) / (sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) * sqrt(list_dot_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[])))"
 
 
-@query("cosine_topk", f"""WITH q AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn FROM embeddings) WHERE rn = 1),
+@query("cosine_topk", f"""WITH q AS (SELECT * FROM embeddings WHERE vec_id % 20 = 0),
 s AS (SELECT q.vec_id AS query_id, v.vec_id AS page, round({_COS}, 6) AS score FROM q, embeddings v WHERE q.vec_id <> v.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, page) AS rank FROM s) SELECT * FROM r WHERE rank <= 10""")
 def _cos(spark, d):
     """Every vector whose id is divisible by 20 against all vectors."""
@@ -437,8 +438,12 @@ def _late(spark, d):
 _NP = "np AS (SELECT doc_id, count(*) AS pages FROM doc_pages GROUP BY 1)"
 
 
-@query("oracle_ranking", _CORPUS + f""", {_NP}, x AS (SELECT question_id, pages AS n, c.pg AS gold FROM c JOIN np ON np.doc_id = c.doc_id)
-SELECT question_id, array_to_string(list_concat(list_filter(gold, lambda g: g < n), list_filter(range(0, n), lambda i: NOT list_contains(gold, i::INT))), ',') AS ranking FROM x WHERE len(gold) <= 1""".replace("pages AS n", "np.pages AS n"))
+# the pages in the order of the field, each where it stands first
+_ORDERED = f"WITH {_QD}, {_PG.replace('list_distinct([', '([')}, o AS (SELECT *, list_filter(pg, lambda p, i: list_position(pg, p) = i) AS og FROM c)"
+
+
+@query("oracle_ranking", _ORDERED + f""", {_NP}, x AS (SELECT question_id, pages AS n, o.og AS gold FROM o JOIN np ON np.doc_id = o.doc_id)
+SELECT question_id, array_to_string(list_concat(list_filter(gold, lambda g: g < n), list_filter(range(0, n), lambda i: NOT list_contains(gold, i::INT))), ',') AS ranking FROM x""".replace("pages AS n", "np.pages AS n"))
 def _oracle(spark, d):
     n = table(spark, d, "doc_pages").groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("n"))
     c = corpus(spark, d).join(n, "doc_id")
@@ -503,9 +508,28 @@ def _prompts(spark, d):
     return c.select("question_id", "mode", represent.prompt(F.col("mode"), F.col("question"), F.lit("")).alias("prompt"))
 
 
-@query("visual_token_estimate", "SELECT seq, greatest(ceil((600 + seq % 900) / 28) * ceil((800 + seq % 1200) / 28), 1)::BIGINT AS tokens FROM predictions")
+_SIZE = "SELECT doc_id, page_index, greatest(1, ceil(list_max([s.bbox[3] for s in text_spans if s.bbox IS NOT NULL])))::BIGINT AS w, greatest(1, ceil(list_max([s.bbox[4] for s in text_spans if s.bbox IS NOT NULL])))::BIGINT AS h FROM doc_pages"
+
+
+def _page_sizes(spark, d):
+    """Each page's width and height by the boxes of its lines."""
+    far = lambda i: F.array_max(F.transform("text_spans", lambda s: F.get(s["bbox"], F.lit(i))))
+    return table(spark, d, "doc_pages").select("doc_id", "page_index", *[F.greatest(F.lit(1), F.ceil(far(i))).cast("long").alias(n) for i, n in ((2, "w"), (3, "h"))]).filter("w is not null and h is not null")
+
+
+@query("visual_token_estimate", f"SELECT doc_id, page_index, greatest(ceil(w / 28) * ceil(h / 28), 1)::BIGINT AS tokens FROM ({_SIZE}) WHERE w IS NOT NULL AND h IS NOT NULL")
 def _vt(spark, d):
-    return preds(spark, d).select("seq", S.visual_tokens(600 + F.col("seq") % 900, 800 + F.col("seq") % 1200).alias("tokens"))
+    return _page_sizes(spark, d).select("doc_id", "page_index", S.visual_tokens(F.col("w"), F.col("h")).alias("tokens"))
+
+
+@query("capped_page_size", f"""WITH s AS (SELECT * FROM ({_SIZE}) WHERE w IS NOT NULL AND h IS NOT NULL), r AS (SELECT doc_id, page_index, name, cap, w, h, least(1.0, sqrt(cap::DOUBLE / (w * h))) AS f FROM s CROSS JOIN (VALUES ('low', 313600), ('med', 501760), ('high', 752640), ('tiny', 5000)) c(name, cap)),
+t AS (SELECT *, greatest(floor(w * f / 28), 1)::BIGINT AS a, greatest(floor(h * f / 28), 1)::BIGINT AS b, cap // 784 AS k FROM r)
+SELECT doc_id, page_index, name AS resolution, (28 * CASE WHEN a >= b THEN least(a, greatest(k // b, 1)) ELSE a END)::BIGINT AS width, (28 * CASE WHEN b > a THEN least(b, greatest(k // a, 1)) ELSE b END)::BIGINT AS height FROM t""")
+def _capped(spark, d):
+    """Every page at every resolution preset, and under a cap of a few patches."""
+    caps = S.PIXEL_CAPS | {"tiny": 5000}
+    sizes = F.array(*[F.struct(F.lit(n).alias("resolution"), S.capped_size(F.col("w"), F.col("h"), c).alias("s")) for n, c in caps.items()])
+    return _page_sizes(spark, d).select("doc_id", "page_index", F.explode(sizes).alias("e")).select("doc_id", "page_index", "e.resolution", "e.s.width", "e.s.height")
 
 
 @query("token_canaries", "SELECT seq, total_text_tokens - text_tokens_fed AS dropped, total_text_tokens - text_tokens_fed > 0 AS truncated FROM predictions")

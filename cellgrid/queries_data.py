@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators.packed import explode_packed, first_delivery
+from .operators.packed import first_delivery, packed_values
 from .operators.percentiles import exact_percentiles, merged_percentiles, summarize
 from .session import table
 
@@ -17,8 +17,10 @@ MEASURES = ["latency_s", "peak_vram_bytes"]
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per evidence label of each distinct question, with its position."""
-    q = first_delivery(table(spark, sf_dir, "questions"), "question_id", "ingested_at", ["question_id", "evidence_sources"])
-    return explode_packed(q, "evidence_sources", "evidence_source")
+    q = table(spark, sf_dir, "questions").select("question_id", "ingested_at", packed_values(F.col("evidence_sources")).alias("v"))
+    # split where the file is read; what is shuffled are the members
+    one = first_delivery(q, "question_id", "ingested_at", ["question_id", "v"])
+    return one.select("question_id", F.posexplode("v").alias("pos", "evidence_source")).withColumn("pos", (F.col("pos") + 1).cast("int"))
 
 
 def p2_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import glob
 import json
 import os
 
@@ -21,10 +20,17 @@ RESULT = PREDICTION + ", result_key string, judge_spec string, score double, cor
 MEMO = "question_id string, page_count int, ranking array<int>, seq_len_cap int, page_token_lens array<int>, truncated_pages int, status string, skipped_reason string"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path, or a pattern, is there on its file system."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p)
+    return found is not None and len(found) > 0
+
+
 def read_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines under a schema; an absent path is empty; lines that do not parse are left out."""
     kind = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
-    if "://" not in path and not glob.glob(path):
+    if not exists(spark, path):
         return spark.createDataFrame([], kind)
     wide = T.StructType([*kind.fields, T.StructField("_corrupt", T.StringType())])
     df = spark.read.schema(wide).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
@@ -37,11 +43,13 @@ def indexed(rows: DataFrame, key: str, order: str) -> DataFrame:
     return rows.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
 
 
-def append_absent(rows: DataFrame, path: str, key: str) -> int:
-    """Append the rows whose key the parquet table lacks; how many."""
+def append_absent(rows: DataFrame, path: str, key: str, order: str = "seq") -> int:
+    """Append the rows whose key the parquet table lacks, of a repeated key the first in order (without that column the least row); how many."""
     spark = rows.sparkSession
-    new = rows.dropDuplicates([key])
-    if os.path.isdir(path) or "://" in path:
+    by = [order] if order in rows.columns else [c for c, t in rows.dtypes if not t.startswith("map")]
+    w = Window.partitionBy(key).orderBy(*by)
+    new = rows.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
+    if exists(spark, path):
         new = new.join(spark.read.parquet(path).select(key), key, "left_anti")
     from ..session import cut_lineage
 
@@ -67,7 +75,7 @@ def write_memo(rankings: DataFrame, path: str) -> None:
 
 def read_memo(spark: SparkSession, path: str, method: str, dpi: int) -> DataFrame:
     """Usable rankings of one method; failed rows and empty rankings are left out."""
-    if not os.path.isdir(path) and "://" not in path:
+    if not exists(spark, path):
         return spark.createDataFrame([], MEMO)
     m = spark.read.parquet(path).filter((F.col("method") == method) & (F.col("dpi") == dpi))
     return m.filter((F.coalesce("status", F.lit("ok")) == "ok") & (F.size("ranking") > 0))

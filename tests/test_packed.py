@@ -14,6 +14,8 @@ CASES = [
     ("“Photo”, “Pure-text (Plain-text)”", ["Photo", "Pure-text (Plain-text)"]), ("Text、Chart，Map", ["Text", "Chart", "Map"]),
     (", ,Figure|;", ["Figure"]), ("A / B / C", ["A", "B", "C"]), ("A/B", ["A/B"]), ('"Header | footer"|X', ["Header | footer", "X"]),
     ("A\r\nB\n\nC\tD", ["A", "B", "C", "D"]), ("a0b, c", ["a0b", "c"]), ("['', 'x']", ["x"]),
+    ("a (x, b (c, (d, (e, f)))), g", ["a (x, b (c, (d, (e, f))))", "g"]), ("[a, [b, c]]", ["a", "b", "c"]), ("[[a], [[b, c]], 'd, e']", ["a", "b", "c", "d, e"]),
+    ("((((((x, y)))))), z (1), (((((", ["((((((x, y))))))", "z (1)", "((((("]), ("[Table [1], Figure]", ["Table [1]", "Figure"]), ("'q (((( (a, b', c", ["q (((( (a, b", "c"]),
     ("Author's note, Bob's", ["Author's note", "Bob's"]), ('["unclosed, x', ['"unclosed', "x"]),
 ]
 

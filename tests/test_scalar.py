@@ -1,4 +1,5 @@
 import hashlib
+import math
 import json
 import random
 
@@ -80,11 +81,42 @@ def test_numbers(spark):
     assert [one(spark, S.memory_mib(t), t=x) for x in ("512", "4G", "1T", "2048K")] == [512.0, 4096.0, 1048576.0, 2.0]
     assert one(spark, S.gres_count(t), t="gpu:v100:2(S:0)") == 2 and one(spark, S.gres_count(t), t="none") == 0
     assert one(spark, S.wait_text(F.col("n")), n=93784) == "1d 02:03:04" and one(spark, S.wait_text(F.col("n")), n=59) == "00:00:59"
-    w, h = S.cap_dimensions(1200, 1800, 250880)
-    assert w * h <= 250880 and w % 28 == h % 28 == 0 and abs(w / h - 2 / 3) < 0.05 and S.cap_dimensions(56, 56, 10**9) == (56, 56)
+    assert one(spark, S.wait_text(F.col("n")), n=-5) == "00:00:00"
     assert S.cap_tokens(960 * 28 * 28) == 961 and one(spark, S.visual_tokens(F.lit(29), F.lit(28))) == 2
 
 
+def best_sizes(width, height, cap):
+    """Brute force: whole patches no larger than the scaled image; what one patch at least overdraws is taken from the other side."""
+    f = min(1.0, math.sqrt(cap / (width * height)))
+    a, b = max(1, math.floor(width * f / 28)), max(1, math.floor(height * f / 28))
+    fits = [(x, y) for x in range(1, a + 1) for y in range(1, b + 1) if x * y * 784 <= cap and (x == a or y == b)]
+    x, y = max(fits, key=lambda s: s[0] * s[1])
+    return x * 28, y * 28
+
+
+def test_capped_size_against_brute_force(spark):
+    rnd = random.Random(4)
+    cases = [(1200, 1800, 250880), (56, 56, 10**6), (237, 3198, 5000), (4981, 22, 5000), (3, 4, 784), (20000, 10, 2352), (0, 5, 784), (-3, 9, 784)]
+    cases += [(rnd.randrange(1, 900), rnd.randrange(1, 900), rnd.choice([784, 1568, 5000, 60000, 10**6])) for _ in range(300)]
+    df = spark.createDataFrame(cases, "w int, h int, cap int")
+    for cap in {c for _, _, c in cases}:
+        for r in df.filter(F.col("cap") == cap).select("w", "h", S.capped_size(F.col("w"), F.col("h"), cap).alias("s")).collect():
+            if r.w <= 0 or r.h <= 0:
+                assert r.s is None
+            else:
+                assert tuple(r.s) == best_sizes(r.w, r.h, cap) and r.s[0] * r.s[1] <= cap, (r, cap)
+    w, h = one(spark, S.capped_size(F.lit(1200), F.lit(1800), 250880))
+    assert abs(w / h - 2 / 3) < 0.05
+    with pytest.raises(ValueError):
+        S.capped_size(F.lit(1), F.lit(1), 783)
+
+
+def test_lists_of_literals(spark):
+    cases = {"['a', None]": ["a", None], "[1, 2.0, True]": ["1", "2.0", "True"], "['None', \"it's True\", null]": ["None", "it's True", None], "['a',]": ["a"], "[False]": ["False"], "['a', b": ["['a', b"], "[]": [], "None": []}
+    for t, want in cases.items():
+        assert one(spark, S.parse_list(F.col("t")), t=t) == want, t
+
+
 def test_draws_follow_the_seeded_generator():
     for n, rounds, seed in ((5, 3, 0), (1, 2, 0), (135, 20, 0), (922, 3, 7), (1024, 2, 1)):
         rnd = random.Random(seed)

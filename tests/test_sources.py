@@ -21,6 +21,8 @@ def test_append_absent_and_memo(spark, tmp_path):
     t = str(tmp_path / "t")
     a = spark.createDataFrame([("a", 1), ("b", 2), ("b", 2)], "k string, v int")
     assert rows.append_absent(a, t, "k") == 2 and rows.append_absent(a, t, "k") == 0
+    s = spark.createDataFrame([("c", 7, 2), ("c", 9, 1), ("a", 5, 0)], "k string, v int, seq int")
+    assert rows.append_absent(s, t + "2", "k") == 2 and {r.k: r.v for r in spark.read.parquet(t + "2").collect()} == {"c": 9, "a": 5}
     m = spark.createDataFrame([("q", 3, [2, 0, 1], None, None, None, "ok", "", "bm25", 0), ("r", 3, [], None, None, None, "oom", "x", "bm25", 0)], rows.MEMO + ", method string, dpi int")
     rows.write_memo(m, str(tmp_path / "memo"))
     assert rows.read_memo(spark, str(tmp_path / "memo"), "bm25", 0).count() == 1
