@@ -55,15 +55,16 @@ def judged(predictions: DataFrame, questions: DataFrame) -> DataFrame:
 
 def primary_spec(rows: DataFrame, default: str = DEFAULT_SPEC) -> DataFrame:
     """Rows of one model: the default where it occurs, else the most frequent (ties: first seen)."""
-    counts = rows.groupBy("model_spec").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first"))
-    keep = counts.orderBy((F.col("model_spec") != default).cast("int"), F.desc("n"), "first").limit(1).select("model_spec")
-    return rows.join(F.broadcast(keep), "model_spec", "left_semi")
+    counts = rows.filter("model_spec is not null").groupBy("model_spec").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first"))
+    keep = counts.orderBy((F.col("model_spec") != default).cast("int"), F.desc("n"), "first").select("model_spec").first()
+    # settled once, so that every later use is a plain filter
+    return rows.filter(F.col("model_spec") == (keep[0] if keep else default))
 
 
 def or_all(rows: DataFrame, match: Column) -> DataFrame:
     """Matching rows; all of them where none matches."""
-    found = rows.agg(F.coalesce(F.max(match.cast("int")), F.lit(0)).alias("__any")).withColumn("__one", F.lit(1))
-    return rows.withColumn("__one", F.lit(1)).join(F.broadcast(found), "__one").filter(match | (F.col("__any") == 0)).drop("__any", "__one")
+    found = rows.filter(match)
+    return rows if found.isEmpty() else found
 
 
 def for_base(rows: DataFrame, base: str) -> DataFrame:

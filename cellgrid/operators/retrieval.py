@@ -29,16 +29,21 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(casefold(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
 
 
-def bm25(pages: DataFrame, queries: DataFrame, okapi: bool = False) -> DataFrame:
-    """query_id, doc_id, page, score of every page of the query's document (0 where no token is shared).
+def postings(pages: DataFrame) -> DataFrame:
+    """doc_id, page, dl (tokens of the page), tok, tf; a page without tokens is one row with null tok. Each page is read and tokenised once."""
+    t = pages.select("doc_id", "page", tokens(F.col("text")).alias("t")).select("doc_id", "page", F.size("t").alias("dl"), F.explode_outer("t").alias("tok"))
+    return t.groupBy("doc_id", "page", "dl", "tok").agg(F.count(F.lit(1)).alias("tf"))
 
-    pages: doc_id, page, text. queries: query_id, doc_id, text. A query token that repeats counts as often.
+
+def bm25_hits(posted: DataFrame, queries: DataFrame, okapi: bool = False) -> DataFrame:
+    """query_id, doc_id, page, score of the pages that share a token with the query.
+
+    queries: query_id, doc_id, text. A query token that repeats counts as often.
     okapi: idf without the added one, negatives raised to a quarter of the document's mean idf.
     """
-    t = pages.select("doc_id", "page", F.explode_outer(tokens(F.col("text"))).alias("tok"))
-    tf = t.filter("tok is not null").groupBy("doc_id", "page", "tok").agg(F.count(F.lit(1)).alias("tf"))
-    length = pages.select("doc_id", "page", F.size(tokens(F.col("text"))).alias("dl"))
+    length = posted.select("doc_id", "page", "dl").distinct()
     stat = length.groupBy("doc_id").agg(F.count(F.lit(1)).alias("N"), F.avg("dl").alias("avgdl"))
+    tf = posted.filter("tok is not null")
     df = tf.groupBy("doc_id", "tok").agg(F.count(F.lit(1)).alias("df")).join(stat, "doc_id")
     raw = (F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5)
     if okapi:
@@ -49,12 +54,38 @@ def bm25(pages: DataFrame, queries: DataFrame, okapi: bool = False) -> DataFrame
         df = df.withColumn("idf", F.ln(1 + raw))
     q = queries.select("query_id", "doc_id", F.explode(tokens(F.col("text"))).alias("tok")).groupBy("query_id", "doc_id", "tok").agg(F.count(F.lit(1)).alias("qn"))
     norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.greatest("avgdl", F.lit(1e-9)))
-    hit = (
-        q.join(df, ["doc_id", "tok"]).join(tf, ["doc_id", "tok"]).join(length, ["doc_id", "page"])
-        .groupBy("query_id", "doc_id", "page").agg(F.sum(F.col("qn") * F.col("idf") * F.col("tf") * (K1 + 1) / norm).alias("score"))
-    )
-    every = queries.select("query_id", "doc_id").join(pages.select("doc_id", "page"), "doc_id")
-    return every.join(hit, ["query_id", "doc_id", "page"], "left").select("query_id", "doc_id", "page", F.round(F.coalesce("score", F.lit(0.0)), 6).alias("score"))
+    hit = q.join(df, ["doc_id", "tok"]).join(tf, ["doc_id", "tok"]).groupBy("query_id", "doc_id", "page").agg(F.sum(F.col("qn") * F.col("idf") * F.col("tf") * (K1 + 1) / norm).alias("score"))
+    return hit.withColumn("score", F.round("score", 6))
+
+
+def lexical_hits(posted: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id, doc_id, page, score of the pages that share a token with the query: shared distinct tokens, plus 1 / (1 + page)."""
+    q = queries.select("query_id", "doc_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("tok"))
+    n = q.join(posted.filter("tok is not null").select("doc_id", "page", "tok"), ["doc_id", "tok"]).groupBy("query_id", "doc_id", "page").agg(F.count(F.lit(1)).alias("n"))
+    return n.select("query_id", "doc_id", "page", F.round(F.col("n") + 1 / (1 + F.col("page")), 6).alias("score"))
+
+
+def bm25(posted: DataFrame, queries: DataFrame, okapi: bool = False) -> DataFrame:
+    """query_id, doc_id, page, score of every page of the query's document (0 where no token is shared)."""
+    every = queries.select("query_id", "doc_id").join(posted.select("doc_id", "page").distinct(), "doc_id")
+    hit = bm25_hits(posted, queries, okapi)
+    return every.join(hit, ["query_id", "doc_id", "page"], "left").select("query_id", "doc_id", "page", F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
+def best_pages(hits: DataFrame, posted: DataFrame, queries: DataFrame, k: int, miss: Column | None = None) -> DataFrame:
+    """query_id, doc_id, page, score, rank of the k best pages, without scoring the others.
+
+    Every page that is no hit scores `miss` (0; or a falling function of the page), less than
+    any hit, so the first pages of the document fill up the queries with fewer than k hits;
+    of a document no more than its first 2 k pages can be needed.
+    """
+    miss = F.lit(0.0) if miss is None else miss
+    top = ranked(hits.filter("score > 0"), k)
+    first = posted.select("doc_id", "page").distinct().withColumn("__n", F.row_number().over(Window.partitionBy("doc_id").orderBy("page"))).filter(F.col("__n") <= 2 * max(k, 0)).select("doc_id", "page")
+    few = queries.select("query_id", "doc_id").join(top.groupBy("query_id").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= k), "query_id", "left_anti")
+    rest = few.join(first, "doc_id").join(top.select("query_id", "page"), ["query_id", "page"], "left_anti").withColumn("score", F.round(miss, 6))
+    both = top.select("query_id", "doc_id", "page", "score").unionByName(rest.select("query_id", "doc_id", "page", "score"))
+    return ranked(both, k)
 
 
 def ranked(scores: DataFrame, k: int | None = None) -> DataFrame:
@@ -171,6 +202,11 @@ def rankings(scores: DataFrame, k: int) -> DataFrame:
     return _listed(ranked(scores, k))
 
 
+def listed(best: DataFrame) -> DataFrame:
+    """query_id, ranking of ranked pages."""
+    return _listed(best)
+
+
 def rule_rankings(scores: DataFrame, gold: DataFrame, distractors: int) -> DataFrame:
     """query_id, ranking, gold: the gold pages and the best other ones that a rule can use, in rank order.
 

@@ -115,13 +115,14 @@ def cost(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def transitions(rows: DataFrame, pairs: tuple[tuple[str, str], ...], by: str | None = None, explode: str | None = None) -> DataFrame:
     """pairing, group, n and the four rates between two rungs of the same question (last row per question and rung)."""
-    last = rows.withColumn("__n", F.row_number().over(Window.partitionBy("question_id", "representation").orderBy(F.desc("seq")))).filter("__n = 1")
-    named = F.array(*[F.struct(F.lit(f"{a}>{b}").alias("pairing"), F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in pairs])
-    names = last.sparkSession.range(1).select(F.explode(named).alias("p")).select("p.*")
     cols = [c for c in (by, explode) if c]
-    left = last.join(F.broadcast(names), F.col("representation") == F.col("a")).select("pairing", "question_id", *cols, F.col("correct").alias("x"))
-    right = last.join(F.broadcast(names), F.col("representation") == F.col("b")).select("pairing", "question_id", F.col("correct").alias("y"))
-    j = left.join(right, ["pairing", "question_id"])
+    rungs = sorted({r for p in pairs for r in p})
+    row = F.struct("correct", *cols)
+    # one shuffle: the last row of each rung beside the others
+    last = rows.filter(F.col("representation").isin(*rungs)).groupBy("question_id").agg(*[F.max_by(row, F.when(F.col("representation") == r, F.col("seq"))).alias(r) for r in rungs])
+    met = [F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), F.struct(F.lit(f"{a}>{b}").alias("pairing"), F.col(a).alias("a"), F.col(b)["correct"].alias("y"))) for a, b in pairs]
+    j = last.select("question_id", F.explode(F.filter(F.array(*met), lambda p: p.isNotNull())).alias("p"))
+    j = j.select("p.pairing", "question_id", *[F.col(f"p.a.{c}").alias(c) for c in cols], F.col("p.a.correct").alias("x"), "p.y")
     rates = [F.count(F.lit(1)).alias("n"), *[
         _share((F.col("x") == a) & (F.col("y") == b)).alias(n)
         for n, a, b in (("wrong_right", False, True), ("right_wrong", True, False), ("right_right", True, True), ("wrong_wrong", False, False))]]

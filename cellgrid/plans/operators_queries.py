@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar as S
 from ..operators import facts, grid, pageset, profile, represent, retrieval, stats
 from ..operators.packed import first_delivery
-from ..session import table
+from ..session import cut_lineage, materialized, table
 from ..sources.sinks import fixed
 from . import sql
 from .reconcile import reconcile, weighted_rate
@@ -34,7 +34,8 @@ def preds(spark: SparkSession, d: str) -> DataFrame:
 
 
 def judged(spark: SparkSession, d: str) -> DataFrame:
-    return facts.judged(preds(spark, d), table(spark, d, "questions"))
+    """The judged rows: one table for all queries that read them."""
+    return materialized(spark, "facts", d, ("predictions", "questions"), lambda: facts.judged(preds(spark, d), table(spark, d, "questions")))
 
 
 # -- fact rows ------------------------------------------------------------------------
@@ -333,6 +334,11 @@ def pages(spark, d):
     return p.select("doc_id", F.col("page_index").alias("page"), retrieval.page_text(F.col("text_spans")).alias("text"))
 
 
+def posted(spark, d):
+    """The tokens of all pages: one table for all rankings."""
+    return materialized(spark, "postings", d, ("doc_pages",), lambda: retrieval.postings(pages(spark, d)))
+
+
 def page_questions(spark, d):
     q = first_delivery(table(spark, d, "questions"), "question_id", "ingested_at", ["question_id", "doc_id", "question"])
     docs = table(spark, d, "doc_pages").select("doc_id").distinct()
@@ -349,7 +355,8 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, p
 
 @query("bm25_topk", _BM + " SELECT query_id, doc_id, page, score, rank FROM rk WHERE rank <= 5")
 def _bm(spark, d):
-    return retrieval.ranked(retrieval.bm25(pages(spark, d), page_questions(spark, d)), 5)
+    q = page_questions(spark, d)
+    return retrieval.best_pages(retrieval.bm25_hits(posted(spark, d), q), posted(spark, d), q, 5)
 
 
 _OK = _BM.replace("qt AS (SELECT query_id", "i0 AS (SELECT doc_id, tok, ln((n - df + 0.5) / (df + 0.5)) AS idf FROM df JOIN st USING (doc_id)), im AS (SELECT doc_id, avg(idf) AS mean FROM i0 GROUP BY 1), idf AS (SELECT doc_id, tok, CASE WHEN idf < 0 THEN mean * 0.25 ELSE idf END AS idf FROM i0 JOIN im USING (doc_id)), qt AS (SELECT query_id", 1).replace(
@@ -358,7 +365,7 @@ _OK = _BM.replace("qt AS (SELECT query_id", "i0 AS (SELECT doc_id, tok, ln((n -
 
 @query("bm25_okapi", _OK + " SELECT query_id, doc_id, page, score, rank FROM rk WHERE rank <= 5")
 def _okapi(spark, d):
-    return retrieval.ranked(retrieval.bm25(pages(spark, d), page_questions(spark, d), okapi=True), 5)
+    return retrieval.ranked(retrieval.bm25(posted(spark, d), page_questions(spark, d), okapi=True), 5)
 
 
 _FB = f"""WITH {_QD}, pg AS (SELECT doc_id, page_index AS page, list_distinct({_TOKS.format(_PT)}) AS toks FROM doc_pages), qq AS (SELECT q.question_id AS query_id, q.doc_id, list_distinct({_TOKS.format("coalesce(question, '')")}) AS toks FROM q)
@@ -375,8 +382,9 @@ def _gold(spark, d):
 
 
 def _prf(spark, d):
-    r = retrieval.rankings(retrieval.bm25(pages(spark, d), page_questions(spark, d)), 5)
-    f = retrieval.rankings(retrieval.fallback_scores(pages(spark, d), page_questions(spark, d)), 5)
+    q, p = page_questions(spark, d), posted(spark, d)
+    r = cut_lineage(retrieval.listed(retrieval.best_pages(retrieval.bm25_hits(p, q), p, q, 5)))
+    f = cut_lineage(retrieval.listed(retrieval.best_pages(retrieval.lexical_hits(p, q), p, q, 5, 1 / (1 + F.col("page")))))
     u = r.join(f.withColumnRenamed("ranking", "other"), "query_id")
     ks = (1, 3, 5)
     out = retrieval.evaluate(r, _gold(spark, d), "bm25", ks).unionByName(retrieval.evaluate(f, _gold(spark, d), "lexical", ks))
@@ -452,7 +460,7 @@ def _oracle(spark, d):
 
 def _rule_query(rule: str, distractors: int):
     def run(spark, d):
-        scores = retrieval.bm25(pages(spark, d), page_questions(spark, d))
+        scores = retrieval.bm25(posted(spark, d), page_questions(spark, d))
         j = retrieval.rule_rankings(scores, _gold(spark, d), distractors).withColumn("base", F.lit(rule))
         p = S.pageset_parts(F.col("base"))
         out = pageset.by_rule(F.col("ranking"), F.col("gold"), p["gold_mode"], p["gold_count"], p["distractors"], p["policies"])

@@ -1,4 +1,4 @@
-"""The analysis tables as numeric DataFrames over judged rows (one shuffle per table after the shared de-duplication)."""
+"""The analysis tables as numeric DataFrames over the judged rows, which are picked and written once for all of them."""
 
 from __future__ import annotations
 
@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import scalar as S
 from ..operators import facts, stats
 from ..operators.percentiles import exact_percentiles, nearest_even
-from ..session import cut_lineage
 
 DT, RUNG = "doc_type", "representation"
 PAIRS = (("TL", "TLV"), ("T", "TL"), ("T", "TLV"))
@@ -160,7 +159,7 @@ def quantization(j: DataFrame, keys: tuple[str, ...] = (DT,), default: str = fac
 def vram_headroom(j: DataFrame) -> DataFrame:
     """Model x rung x resolution: greatest memory, the value at rank round(.95 (n-1)), room below 16 384 MB."""
     key = ["model_spec", RUNG, "visual_resolution"]
-    p = exact_percentiles(cut_lineage(j.select(*key, "peak_vram_bytes")), key, ["peak_vram_bytes"], (0.95, 1.0), rank=nearest_even)
+    p = exact_percentiles(j.select(*key, "peak_vram_bytes"), key, ["peak_vram_bytes"], (0.95, 1.0), rank=nearest_even)
     top, p95 = F.col("p100").cast("long"), F.col("p95").cast("long")
     return p.select(*key, "n", top.alias("max_bytes"), p95.alias("p95_bytes"), (16384 - top / 1e6).alias("headroom_mb"))
 

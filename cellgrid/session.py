@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,6 +51,32 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Tables that this process has written: what they were made from -> their path.
+_WRITTEN: dict[tuple, str] = {}
+
+
+def _stamp(spark: SparkSession, path: str) -> tuple:
+    """Names, sizes and times of the files of a table."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return tuple(sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(p)))
+
+
+def materialized(spark: SparkSession, name: str, sf_dir: str, sources: tuple[str, ...], build: Callable[[], DataFrame]) -> DataFrame:
+    """A table that several queries read: written once, as columns, to the checkpoint folder, and again only when its source files change."""
+    key = (spark.sparkContext.applicationId, name, sf_dir, *[_stamp(spark, f"{sf_dir}/{s}.parquet") for s in sources])
+    path = _WRITTEN.get(key)
+    if path is not None:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
+        if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+            return spark.read.parquet(path)
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+    build().write.parquet(path)
+    _WRITTEN[key] = path
+    return spark.read.parquet(path)
+
+
 def broadcast_if_small(df: DataFrame, rows: int, bound: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only where the counted rows are under the bound."""
     return F.broadcast(df) if rows <= bound else df

@@ -110,7 +110,7 @@ def test_bm25_against_python(spark):
     pages = [("d", 0, "The crop yield of Wörk"), ("d", 1, "yield yield and CROP"), ("d", 2, ""), ("e", 0, "other")]
     q = [("q1", "d", "crop yield yield?"), ("q2", "e", "nothing")]
     p = spark.createDataFrame(pages, "doc_id string, page int, text string")
-    got = {(r.query_id, r.page): (r.score, r.rank) for r in retrieval.ranked(retrieval.bm25(p, spark.createDataFrame(q, "query_id string, doc_id string, text string"))).collect()}
+    got = {(r.query_id, r.page): (r.score, r.rank) for r in retrieval.ranked(retrieval.bm25(retrieval.postings(p), spark.createDataFrame(q, "query_id string, doc_id string, text string"))).collect()}
     toks = [re.findall("[a-z0-9]+", t.lower()) for d, _, t in pages if d == "d"]
     avg = sum(map(len, toks)) / 3
     for i, t in enumerate(toks):
