@@ -133,3 +133,20 @@ def backfill(rows: DataFrame, labels: DataFrame, column: str, other: str) -> Dat
     dim = labels.select("doc_id", F.col(column).alias("__b"))
     filled = F.when(F.coalesce(F.trim(column), F.lit("")) == "", F.col("__b")).otherwise(F.col(column))
     return rows.join(dim, "doc_id", "left").withColumn(column, S.blank_to(filled, other)).drop("__b")
+
+
+def run_summary(rows: DataFrame) -> DataFrame:
+    """Per run: rows that its grid asks for (cells x models x resolutions), done, ok, oom, error, and the shares, '-' where there is nothing to divide by."""
+    grid = rows.groupBy("run_tag").agg((
+        F.countDistinct("question_id", "condition", "representation") * F.countDistinct("model_spec")
+        * F.greatest(F.countDistinct(F.when(F.col("visual_resolution") != "", F.col("visual_resolution"))), F.lit(1))).alias("expected"))
+    c = status_counts(rows, ["run_tag"]).withColumnRenamed("cells", "done").join(grid, "run_tag")
+    share = lambda a, b: F.when(b > 0, F.concat(F.bround(a * 100 / b, 0).cast("long").cast("string"), F.lit("%"))).otherwise("-")
+    return c.select("run_tag", "expected", "done", "ok", "oom", "error", share(F.col("done"), F.col("expected")).alias("done_pct"), share(F.col("oom"), F.col("done")).alias("oom_pct"))
+
+
+def tally(checks: DataFrame) -> DataFrame:
+    """level, n of a preflight report's checks, and in every row the verdict of the whole: FAIL where any failed, else WARN where any warned, else PASS."""
+    n = checks.groupBy("level").agg(F.count(F.lit(1)).alias("n"))
+    worst = F.max(F.when(F.col("level") == "FAIL", 2).when(F.col("level") == "WARN", 1).otherwise(0)).over(Window.partitionBy(F.lit(1)))
+    return n.withColumn("verdict", F.element_at(F.array(F.lit("PASS"), F.lit("WARN"), F.lit("FAIL")), worst + 1))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from collections.abc import Iterator
 
 import pandas as pd
@@ -22,8 +23,11 @@ def corpus(questions: DataFrame) -> DataFrame:
     return q.withColumn("hop", S.hop_of(F.col("pages"))).withColumn("is_unanswerable", S.is_not_answerable(F.col("answer")))
 
 
+POOLS, HOPS = ("all", "answerable", "unanswerable"), ("any", "none", "single", "multi")
+
+
 def in_pool(pool: str) -> Column:
-    if pool not in ("all", "answerable", "unanswerable"):
+    if pool not in POOLS:
         raise ValueError(f"unknown pool {pool!r}")
     return F.lit(True) if pool == "all" else F.col("is_unanswerable") == (pool == "unanswerable")
 
@@ -107,3 +111,36 @@ def spec_product(spec: dict[str, object]) -> list[dict[str, object]]:
 
     keys = list(spec)
     return [dict(zip(keys, vs)) for vs in product(*[v if isinstance(v, list) else [v] for v in spec.values()])]
+
+
+def cap_per_group(c: DataFrame, group: str, n: int, order: str = "question_id") -> DataFrame:
+    """At most n questions of each group, in corpus order; the limit runs before the shuffle."""
+    w = Window.partitionBy(group).orderBy(order)
+    return c.withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= n).drop("__n")
+
+
+def uniform_sample(rows: DataFrame, order: list[str], k: int, seed: int = 0) -> DataFrame:
+    """The rows at the places that the seeded generator samples from all rows in order; all of them where there are no more than k.
+
+    Places are counted per partition of a range-partitioned table, so no task numbers all rows.
+    """
+    from ..session import cut_lineage
+
+    n = rows.count()
+    if n <= k:
+        return rows
+    places = random.Random(seed).sample(range(n), k)
+    ordered = cut_lineage(rows.repartitionByRange(*order).sortWithinPartitions(*order))
+    part = ordered.withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+    sizes = {r["__p"]: r["c"] for r in part.groupBy("__p").agg(F.count(F.lit(1)).alias("c")).collect()}
+    starts, at = {}, 0
+    for p in sorted(sizes):
+        starts[p] = at
+        at += sizes[p]
+    # one number per partition and k places
+    wanted = []
+    for x in places:
+        p = max(q for q in starts if starts[q] <= x)
+        wanted.append((p, x - starts[p]))
+    chosen = rows.sparkSession.createDataFrame(wanted, "__p int, __i long")
+    return part.join(F.broadcast(chosen), ["__p", "__i"], "left_semi").drop("__p", "__i")

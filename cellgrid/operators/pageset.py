@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -54,3 +56,20 @@ def by_rule(ranking: Column, gold: Column, mode: Column, count: Column, distract
         "pages": F.when(reason.isNull(), tidy(pages)), "status": F.when(reason.isNull(), "ok").otherwise("error"),
         "reason": F.coalesce(reason, F.lit("")), "note": F.when(reason.isNull(), note).otherwise(""),
     }
+
+
+#: Conditioners by name: what they read of a row -> pages.
+CONDITIONERS: dict[str, Callable[[dict[str, Column], int], Column]] = {
+    "oracle": lambda r, k: oracle(r["gold"], r["page_count"]),
+    "full": lambda r, k: full(r["page_count"]),
+    "retrieved": lambda r, k: retrieved(r["ranking"], k),
+    "similarity": lambda r, k: retrieved(r["ranking"], k),
+    "joint": lambda r, k: joint(r["text_ranking"], r["vision_ranking"], k),
+}
+
+
+def condition(name: str, row: dict[str, Column], k: int = 3) -> Column:
+    """The pages that a conditioner feeds; an unknown name raises."""
+    if name not in CONDITIONERS:
+        raise ValueError(f"unknown conditioner {name!r}; known: {sorted(CONDITIONERS)}")
+    return CONDITIONERS[name](row, k)

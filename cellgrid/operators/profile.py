@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
@@ -100,3 +100,57 @@ def weight_bytes(tensors: DataFrame, bits: int) -> DataFrame:
 def doc_labels_checked(sheet: DataFrame) -> DataFrame:
     """The annotation dimension: rows with a bin label from the vocabulary."""
     return sheet.filter(F.trim(F.coalesce("bin_label", F.lit(""))).isin(*S.BINS))
+
+
+def distributions(sheet: DataFrame, single: tuple[str, ...], multi: tuple[str, ...] = ()) -> DataFrame:
+    """column, value, docs: how often each value occurs; blanks are no values."""
+    vs = [F.struct(F.lit(c).alias("column"), F.array(F.trim(F.coalesce(c, F.lit("")))).alias("v")) for c in single]
+    vs += [F.struct(F.lit(c).alias("column"), split_multi(F.col(c)).alias("v")) for c in multi]
+    e = sheet.select(F.explode(F.array(*vs)).alias("e")).select("e.column", F.explode("e.v").alias("value"))
+    return e.filter("value <> ''").groupBy("column", "value").agg(F.count(F.lit(1)).alias("docs"))
+
+
+def is_complete(*columns: str) -> Column:
+    """Whether every one of the columns is filled."""
+    out = F.lit(True)
+    for c in columns:
+        out = out & (F.trim(F.coalesce(c, F.lit(""))) != "")
+    return out
+
+
+def blind_subset(sheet: DataFrame, columns: tuple[str, ...], k: int, seed: int = 0) -> DataFrame:
+    """A seeded sample of the fully labelled rows, their labels blanked."""
+    from .grid import uniform_sample
+
+    full = sheet.filter(is_complete(*columns))
+    return uniform_sample(full, ["doc_id"], k, seed).withColumns({c: F.lit("") for c in columns})
+
+
+def class_totals(q: DataFrame, classes: Column, name: str) -> DataFrame:
+    """name, questions, docs, place: classes most frequent first (ties: first seen), and the totals, which count each question once."""
+    some = F.when(F.size(F.array_distinct(classes)) > 0, F.array_distinct(classes)).otherwise(F.array(F.lit("(none)")))
+    sums = [F.count(F.lit(1)).alias("questions"), F.countDistinct("doc_id").alias("docs")]
+    each = q.select("question_id", "doc_id", F.explode(some).alias(name)).groupBy(name).agg(*sums, F.min("question_id").alias("first"))
+    each = each.withColumn("place", F.row_number().over(Window.orderBy(F.desc("questions"), "first", name))).drop("first")  # one row per class
+    return each.unionByName(q.agg(*sums).select(F.lit("(all)").alias(name), "questions", "docs", F.lit(0).alias("place")))
+
+
+def page_count(c: Column) -> Column:
+    """A count from digits or from a list in brackets; null for others."""
+    t = F.trim(c)
+    items = F.filter(F.split(F.substring(t, F.lit(2), F.greatest(F.length(t) - 2, F.lit(0))), ","), lambda x: F.trim(x) != "")
+    return F.when(t.rlike(r"^\d+$"), t.try_cast("int")).when(t.startswith("[") & t.endswith("]"), F.size(items))
+
+
+def plain_key(c: Column) -> Column:
+    """Letters and digits alone, in lower case: what keys are matched by."""
+    return F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
+
+
+def resolve_key(name: str, known: list[str]) -> str:
+    """The known key that a free spelling stands for; raises where there is none."""
+    flat = lambda x: "".join(c for c in x.lower() if c.isascii() and c.isalnum())
+    found = [k for k in known if flat(k) == flat(name)]
+    if not found:
+        raise ValueError(f"unknown key {name!r}; known: {sorted(known)}")
+    return found[0]

@@ -80,3 +80,38 @@ def scan_class(pages: DataFrame, first: int = 5, least: int = 20) -> DataFrame:
     p = pages.select("doc_id", "page_index", n.alias("n")).filter(F.col("page_index") < first)
     a = p.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pages"), F.round(F.avg("n"), 1).alias("avg_chars"), F.count_if(F.col("n") >= least).alias("texty"))
     return a.select("doc_id", "pages", "avg_chars", F.when((F.col("texty") == 0) | (F.col("avg_chars") < least), "scanned").otherwise("digital").alias("auto_scan"))
+
+
+def tile_grid(aspect: Column, most: int = 12) -> Column:
+    """struct(cols, rows): the tiling of at most so many tiles that comes nearest to width / height; ties: more tiles."""
+    options = [F.struct(F.abs(aspect - F.lit(c / r)).alias("d"), F.lit(-c * r).alias("n"), F.lit(c).alias("cols"), F.lit(r).alias("rows")) for c in range(1, most + 1) for r in range(1, most // c + 1)]
+    best = F.array_min(F.array(*options))
+    return F.struct(best["cols"].alias("cols"), best["rows"].alias("rows"))
+
+
+def tile_count(grid: Column, overview: bool = True) -> Column:
+    """Tiles of a tiling; several ones get an overview of the whole page."""
+    n = grid["cols"] * grid["rows"]
+    return n + F.when(F.lit(overview) & (n > 1), 1).otherwise(0)
+
+
+def chat_messages(parts: Column) -> Column:
+    """The parts as the JSON of one user message; images in base64."""
+    content = F.transform(parts, lambda p: F.struct(p["kind"].alias("type"), F.when(p["kind"] == "image", F.base64(p["value"].cast("binary"))).otherwise(p["value"]).alias("value")))
+    return F.to_json(F.array(F.struct(F.lit("user").alias("role"), content.alias("content"))))
+
+
+def chat_parts(message: Column) -> Column:
+    """The parts of a message's JSON, the reverse of chat_messages."""
+    m = F.from_json(message, "array<struct<role:string,content:array<struct<type:string,value:string>>>>")
+    return F.transform(m[0]["content"], lambda p: F.struct(p["type"].alias("kind"), F.when(p["type"] == "image", F.unbase64(p["value"]).cast("string")).otherwise(p["value"]).alias("value")))
+
+
+def split_prompt(prompt_column: Column, images: Column) -> Column:
+    """array<struct<kind, value>>: the pieces of a prompt between its image markers, each marker replaced by the next image; another number of images raises."""
+    pieces = F.split(prompt_column, "<image>", -1)
+    count = F.size(pieces) - 1 == F.size(images)
+    mixed = F.flatten(F.transform(pieces, lambda t, i: F.array(
+        F.struct(F.lit("text").alias("kind"), t.alias("value")), F.struct(F.lit("image").alias("kind"), F.get(images, i).alias("value")))))
+    kept = F.filter(mixed, lambda x: x["value"].isNotNull() & ~((x["kind"] == "text") & (F.trim(x["value"]) == "")))
+    return F.when(count, kept).otherwise(F.raise_error(F.lit("the prompt's image markers and the images differ in number")).cast("array<struct<kind:string,value:string>>"))

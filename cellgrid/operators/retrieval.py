@@ -7,7 +7,7 @@ beyond the top-k window, which is limited before its shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -265,3 +265,64 @@ def truncation(lengths: Column, cap: int) -> dict[str, Column]:
     """Token lengths over a cap: pages cut and tokens lost."""
     return {"truncated_pages": F.size(F.filter(lengths, lambda n: n > cap)),
             "lost_tokens": F.aggregate(lengths, F.lit(0).cast("long"), lambda s, n: s + F.greatest(n - cap, F.lit(0)))}
+
+
+def summary_with_total(rows: DataFrame, keys: list[str], detail: str) -> DataFrame:
+    """summary() per (keys, detail) and pooled over detail ('(all)')."""
+    every = [F.col(k) for k in [*keys, detail]]
+    out = rows.groupingSets([every, every[:-1]], *every).agg(
+        F.count(F.lit(1)).alias("n"), *[F.round(F.avg(c), 6).alias(c) for c in ("precision", "recall", "f1")], F.grouping(detail).alias("__g"))
+    return out.withColumn(detail, F.when(F.col("__g") == 1, "(all)").otherwise(F.col(detail))).drop("__g")
+
+
+def first_pages(pages: Column, k: int) -> Column:
+    """The first k pages of a document; nothing for k of 0."""
+    n = F.least(F.lit(max(k, 0)), pages)
+    return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+
+
+def _first(posted: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The stub: the first k pages, in order."""
+    w = Window.partitionBy("doc_id").orderBy("page")
+    first = posted.select("doc_id", "page").distinct().withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= max(k, 0))
+    return queries.select("query_id", "doc_id").join(first, "doc_id").select("query_id", "doc_id", "page", F.lit(0.0).alias("score"), "rank")
+
+
+#: Retrievers by name: (postings, queries, k) -> query_id, doc_id, page, score, rank.
+RETRIEVERS: dict[str, Callable[[DataFrame, DataFrame, int], DataFrame]] = {
+    "none": _first,
+    "bm25": lambda p, q, k: best_pages(bm25_hits(p, q), p, q, k),
+    "bm25_okapi": lambda p, q, k: ranked(bm25(p, q, okapi=True), k),
+    "lexical": lambda p, q, k: best_pages(lexical_hits(p, q), p, q, k, 1 / (1 + F.col("page"))),
+}
+
+
+def build(name: str | None) -> Callable[[DataFrame, DataFrame, int], DataFrame]:
+    """The retriever of a name; no name is the stub, an unknown one raises and is never replaced silently."""
+    key = (name or "none").strip().lower()
+    if key not in RETRIEVERS:
+        raise ValueError(f"unknown retriever {name!r}; known: {sorted(RETRIEVERS)}")
+    return RETRIEVERS[key]
+
+
+def as_vectors(c: Column, matrix: bool) -> Column:
+    """array<array<double>> of an embedding column that holds one vector or a matrix; null gives no vector."""
+    m = c if matrix else F.array(c)
+    return F.coalesce(F.transform(F.filter(m, lambda v: v.isNotNull() & (F.size(v) > 0)), lambda v: v.cast("array<double>")), F.array().cast("array<array<double>>"))
+
+
+def dense(pages: DataFrame, queries: DataFrame, posted: DataFrame, texts: DataFrame, k: int, fallback: bool = True) -> DataFrame:
+    """query_id, doc_id, page, score, rank by cosine of vectors; queries without a vector, or whose document has none, fall back to BM25 where that is allowed.
+
+    pages: doc_id, page, vector. queries: query_id, doc_id, vector. posted, texts: see bm25.
+    """
+    ok = F.col("vector").isNotNull() & (F.size("vector") > 0)
+    p, q = pages.filter(ok), queries.filter(ok).withColumnRenamed("vector", "qv")
+    scores = q.join(p, "doc_id").select("query_id", "doc_id", "page", F.round(cosine(F.col("qv"), F.col("vector")), 6).alias("score"))
+    out = ranked(scores, k)
+    rest = texts.join(scores.select("query_id").distinct(), "query_id", "left_anti")
+    if fallback:
+        return out.unionByName(best_pages(bm25_hits(posted, rest), posted, rest, k))
+    if not rest.isEmpty():
+        raise ValueError("questions without vectors and no fallback allowed")
+    return out

@@ -135,3 +135,22 @@ def transitions(rows: DataFrame, pairs: tuple[tuple[str, str], ...], by: str | N
     else:
         return pooled
     return detail.unionByName(pooled)
+
+
+#: Agreement from which on two readers count as one.
+GATE = 0.75
+
+
+def agreement_passes(kappa_value: Column, gate: float = GATE) -> Column:
+    return kappa_value >= gate
+
+
+def labelled_kappa(rows: DataFrame, a: str, b: str) -> DataFrame:
+    """kappa() over the fixed agreement labels, free spellings brought to them; unknown labels and empty tables raise."""
+    from ..functions.scalar import agreement_label
+
+    r = rows.select(*[F.when(F.col(c).isNotNull(), F.coalesce(agreement_label(F.col(c)), F.raise_error(F.concat(F.lit("unknown agreement label: "), F.col(c))).cast("string"))).alias(c) for c in (a, b)])
+    out = kappa(r, a, b)
+    if out.isEmpty():
+        raise ValueError("at least one labelled item is required")
+    return out

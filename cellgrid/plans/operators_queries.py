@@ -644,8 +644,3 @@ def _goldcheck(spark, d):
     n = table(spark, d, "doc_pages").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     c = corpus(spark, d).filter(F.size("pages") > 0).join(n, "doc_id")
     return c.select("question_id", phases.gold_in_range(F.col("pages"), F.col("n")).alias("inside"))
-
-
-@query("evidence_overlap", "SELECT question_id, count(DISTINCT representation) AS rungs FROM predictions WHERE len(evidence_sources) > 0 GROUP BY 1")
-def _overlap(spark, d):
-    return preds(spark, d).filter(F.size("evidence_sources") > 0).groupBy("question_id").agg(F.countDistinct("representation").alias("rungs"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from ..operators import stats
 from ..session import table
-from . import operators_queries, sql, tables
+from . import operators_queries, report_queries, sql, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -62,5 +62,5 @@ TABLES: dict[str, Query] = {
     "accuracy_points": over(lambda j: stats.accuracy(j, ["model_spec", "representation"])),
     "accuracy_bootstrap": over(lambda j: stats.bootstrap(tables.oracle(j), ["representation"])),
 }
-QUERIES: dict[str, Query] = TABLES | operators_queries.QUERIES
-ORACLE: dict[str, str] = sql.TABLES | operators_queries.ORACLE
+QUERIES: dict[str, Query] = TABLES | operators_queries.QUERIES | report_queries.QUERIES
+ORACLE: dict[str, str] = sql.TABLES | operators_queries.ORACLE | report_queries.ORACLE
