@@ -46,7 +46,8 @@ WINDOW, Q, BAND, BLOCK = 12, 8, 64, 4_000_000
 BITS = (16, 27)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _GONE = 0x110000
-_SIGNS = np.array([ord(c) for c in "%‰°§$€£¥№"], np.uint32)
+#: What a sign becomes that may stand as a word of its own.
+_SIGN, _SIGNS = 0x110001, "%‰°§$€£¥№"
 _BROKEN = re.compile(r"(?<=[^\W_])[-‐‑¬\u00ad][ \t]*[\r\n]\s*(?=[^\W_])")
 
 
@@ -66,6 +67,8 @@ def _letters() -> np.ndarray:
             step[k] = ord(low) if len(low) == 1 else k
         elif c.isspace():
             step[k] = 32
+    for c in _SIGNS:
+        step[ord(c)] = _SIGN
     return step
 
 
@@ -79,11 +82,13 @@ class Words:
         sizes = np.array([len(f) + 1 for f in forms], np.int64)
         raw = np.concatenate([x for f in forms for x in (f, blank)]) if forms else blank[:0]
         codes = letters[raw]
-        sign = np.isin(raw, _SIGNS)
-        if sign.any():  # a token of signs alone stays a word
-            token = np.cumsum(codes == 32)
-            solid = np.bincount(token, (codes != _GONE) & (codes != 32))
-            codes[sign & (solid[token] == 0)] = ord("%")
+        sign = np.nonzero(codes == _SIGN)[0]
+        if len(sign):  # a token of signs alone stays a word
+            blanks = np.nonzero(codes == 32)[0]
+            letter = np.concatenate([[0], np.cumsum(codes < _GONE) - np.cumsum(codes == 32)])
+            at = np.searchsorted(blanks, sign)
+            lo, hi = np.where(at > 0, blanks[at - 1] + 1, 0), blanks[at]
+            codes[sign] = np.where(letter[hi] > letter[lo], _GONE, ord("%"))
         text = np.repeat(np.arange(len(forms)), sizes)
         keep = codes != _GONE
         codes, text = codes[keep], text[keep]
@@ -183,19 +188,28 @@ class Index:
         a, b = np.searchsorted(d.word_text, [t, t + 1])
         first, last = self.first[k], self.last[k]
         item, n = self.w.words[first:last], last - first
-        same = np.zeros((3, n + 1), bool)  # diagonals s - 1, s, s + 1 by item word
-        for x in range(3):
-            at = s + x - 1 + first
+
+        def diagonal(s: int) -> np.ndarray:
+            """Which words of the item stand in the text, shifted by s."""
+            same = np.zeros(n, bool)
+            at = s + first
             lo, hi = max(a, at), min(b, at + n)
             if lo < hi:
-                same[x, lo - at : hi - at] = d.words[lo:hi] == item[lo - at : hi - at]
+                same[lo - at : hi - at] = d.words[lo:hi] == item[lo - at : hi - at]
+            return same
+
+        own = diagonal(s)
+        here = _runs(own)
+        if here.max(initial=0) < WINDOW // 2:
+            return False  # the half without the edit stands on this diagonal, unbroken
         lo, hi = max(a, first + s) - first - s, min(b, last + s) - first - s
         if hi - lo >= WINDOW:
-            total = np.concatenate([[0], np.cumsum(same[1, lo:hi])])
+            total = np.concatenate([[0], np.cumsum(own[lo:hi])])
             if (total[WINDOW:] - total[:-WINDOW] >= WINDOW - 1).any():
                 return True
-        upto = [_runs(x[:n]) for x in same]  # equal words that end at, start at an item word
-        since = [_runs(x[:n][::-1])[::-1] for x in same]
+        same = (diagonal(s - 1), own, diagonal(s + 1))
+        upto = [_runs(x) for x in same]  # equal words that end at, start at an item word
+        since = [_runs(x[::-1])[::-1] for x in same]
         for x, y in ((1, 0), (2, 1)):  # a word of the item left out: the diagonal falls
             u, v = upto[x][: n - 2], since[y][2:]
             if n > 2 and ((u > 0) & (v > 0) & (u + v + 1 >= WINDOW)).any():
