@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import glob
-import json
 import os
 import zipfile
 
@@ -58,13 +57,15 @@ def unzip(path: str, into: str) -> list[str]:
 
 
 def unwrap(spark: SparkSession, path: str, key: str | None = None) -> DataFrame:
-    """Records of a JSON container: a list, a list under a known key, or an object of objects."""
-    with open(path) as f:
-        data = json.load(f)
-    if isinstance(data, dict):
-        inner = data.get(key) if key else next((data[k] for k in ("data", "questions", "samples", "annotations") if isinstance(data.get(k), list)), None)
-        data = inner if inner is not None else [{"key": k, **v} for k, v in data.items() if isinstance(v, dict)]
-    return spark.createDataFrame([json.dumps(r) for r in data], "string").select(F.parse_json("value").alias("record"))
+    """record (variant) of a JSON container: a list, a list under a known key, or an object of objects, each with its key."""
+    text = spark.read.text(path, wholetext=True)
+    listed, named = F.from_json("value", "array<variant>"), F.from_json("value", "map<string,variant>")
+    known = [key] if key else ["data", "questions", "samples", "annotations"]
+    inner = F.coalesce(*[F.try_variant_get(F.element_at("m", F.lit(k)), "$", "array<variant>") for k in known])
+    keyed = F.transform(F.filter(F.map_entries("m"), lambda e: F.schema_of_variant(e["value"]).startswith("OBJECT")), lambda e: F.parse_json(
+        F.concat(F.lit('{"key":'), F.to_json(F.array(e["key"])).substr(F.lit(2), F.length(F.to_json(F.array(e["key"]))) - 2), F.lit(","), F.to_json(e["value"]).substr(F.lit(2), F.length(F.to_json(e["value"]))))))
+    both = text.select(listed.alias("l"), F.when(~F.trim("value").startswith("["), named).alias("m"))
+    return both.select(F.explode(F.when(F.col("m").isNull(), F.col("l")).otherwise(F.coalesce(inner, keyed))).alias("record"))
 
 
 def label_sheet(spark: SparkSession, path: str, required: tuple[str, ...] = ("doc_id", "bin_label", "scan_label")) -> DataFrame:
