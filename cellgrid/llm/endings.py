@@ -194,15 +194,14 @@ def _prepare(texts: pd.Series) -> list[str]:
 KEYS = 2 * N + 2
 
 
-def describe(raw: list[str | None], lang: Languages) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
-    """(has_text, closed, figure, lang, tail of each text, tails, their keys). Closed texts have no tail."""
+def describe(raw: list[str | None], lang: Languages, told: tuple[list[str], np.ndarray, np.ndarray] | None = None) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
+    """(has_text, closed, figure, lang, tail of each text, tails, their keys). Closed texts have no tail. told: the languages, where they are known."""
     has = np.array([visible(t) for t in raw], bool)
     ts = [trimmed(t) if v else "" for t, v in zip(raw, has)]
     figure = np.array([t[-1:] == "." and t[-2:-1].isdigit() for t in ts], bool)
     closed = np.array([not t or bool(_CLOSED.search(t[-16:])) or not visible(t) for t in ts], bool) & ~figure
-    langs: list[str] = []
-    for a, b in slices(ts):
-        langs += lang.judge(ts[a:b])[0]
+    full = ["" if t is None else t for t in raw]
+    langs = told[0] if told else [x for a, b in slices(full) for x in lang.judge(full[a:b])[0]]
     d = pd.DataFrame({"has_text": has, "closed": closed, "figure": figure, "lang": pd.Series(langs, dtype=object)})
     at = np.nonzero(~closed)[0]
     if not len(at):

@@ -175,10 +175,12 @@ class Languages:
         self.known = np.zeros((0, len(NAMES)), np.float32)
 
     def __getstate__(self) -> dict:
-        return {"counts": self.counts, "texts": self.texts}
+        return {"table": self.table, "prior": self.prior}  # what tasks need
 
     def __setstate__(self, state: dict) -> None:
-        self.__init__(**state)
+        self.counts = self.texts = None
+        self.table, self.prior = state["table"], state["prior"]
+        self.rows, self.known = {}, np.zeros((0, len(NAMES)), np.float32)
 
     def scores(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(log score of each language, letters of the words that tell) of each text."""
