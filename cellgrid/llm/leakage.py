@@ -39,11 +39,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .endings import bitmap
 from .lookalike import Folder, slices
 
 WINDOW, Q, BAND, BLOCK = 12, 8, 64, 4_000_000
-#: Bits of the bitmap of all items' q-grams: eight and more a q-gram, within these bounds.
-BITS = (16, 27)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _GONE = 0x110000
 #: What a sign becomes that may stand as a word of its own.
@@ -257,14 +256,8 @@ def regions(docs: DataFrame, stated: DataFrame) -> DataFrame:
                 yield pd.DataFrame({"gram": np.unique(x.grams).view(np.int64), "least": x.least})
 
     told = cut_lineage(stated.select("t").mapInPandas(grams, "gram long, least long").groupBy("gram").agg(F.min("least").alias("least")))
-    n, least = told.agg(F.count(F.lit(1)), F.min("least")).first()
-    bits = min(max(int(np.ceil(np.log2(max(n, 1) * 8))), BITS[0]), BITS[1])
-    # the bitmap, put together from pieces of 4 KB
-    place = f"(gram & {(1 << bits) - 1}L) + 1"
-    pieces = told.groupBy(F.expr(f"bitmap_bucket_number({place})").alias("b")).agg(F.expr(f"bitmap_construct_agg(bitmap_bit_position({place}))").alias("m")).collect()
-    mark = np.zeros(max(1 << bits, 1 << 15) // 8 + 4096, np.uint8)
-    for r in pieces:
-        mark[(r.b - 1) * 4096 : r.b * 4096] = np.frombuffer(bytes(r.m), np.uint8)
+    least = told.agg(F.min("least")).first()[0] or 1
+    mark, bits = bitmap(told.select(F.col("gram").alias("key")))
     shared = docs.sparkSession.sparkContext.broadcast(mark)
     kind = docs.schema["k"].dataType.simpleString()
 
