@@ -150,3 +150,25 @@ def tally(checks: DataFrame) -> DataFrame:
     n = checks.groupBy("level").agg(F.count(F.lit(1)).alias("n"))
     worst = F.max(F.when(F.col("level") == "FAIL", 2).when(F.col("level") == "WARN", 1).otherwise(0)).over(Window.partitionBy(F.lit(1)))
     return n.withColumn("verdict", F.element_at(F.array(F.lit("PASS"), F.lit("WARN"), F.lit("FAIL")), worst + 1))
+
+
+def inspect(judged_rows: DataFrame, limit: int | None = None, incorrect: bool = False, abstained: bool = False, **equal: str | None) -> DataFrame:
+    """Judged rows that meet all of the given conditions (question_id=, doc_id=, representation=, condition=), in order, the first `limit`."""
+    rows = judged_rows
+    for name, value in equal.items():
+        rows = rows if value is None else rows.filter(F.col(name) == value)
+    rows = rows.filter(~F.col("correct")) if incorrect else rows
+    rows = rows.filter("abstained") if abstained else rows
+    rows = rows.orderBy("question_id", "representation", "condition", "seq")
+    return rows if limit is None else rows.limit(max(limit, 0))
+
+
+def packet(fields: list[str]) -> Column:
+    """All fields of a row as lines `name: value`; blanks and nulls as '-'."""
+    return F.concat_ws("\n", *[F.concat(F.lit(f"{f}: "), F.when(F.trim(F.coalesce(F.col(f).cast("string"), F.lit(""))) == "", "-").otherwise(F.col(f).cast("string"))) for f in fields])
+
+
+def same_files(a: DataFrame, b: DataFrame) -> bool:
+    """Whether two listings (name, size) hold the same names with the same sizes."""
+    x, y = a.select("name", "size"), b.select("name", "size")
+    return x.exceptAll(y).isEmpty() and y.exceptAll(x).isEmpty()

@@ -217,6 +217,26 @@ def _overlap(spark, d):
     return p.select("seq", F.size(F.array_distinct("evidence_sources")).alias("told"), shared.alias("shared"))
 
 
+@query("inspect_filters", sql.facts("""SELECT 'wrong' AS filter, seq FROM (SELECT seq FROM j WHERE NOT correct AND representation = 'V' ORDER BY question_id, representation, condition, seq LIMIT 20) UNION ALL
+SELECT 'abstained', seq FROM (SELECT seq FROM j WHERE abstained AND condition = 'oracle' ORDER BY question_id, representation, condition, seq LIMIT 20) UNION ALL SELECT 'document', seq FROM j WHERE doc_id = (SELECT min(doc_id) FROM j)"""))
+def _inspected(spark, d):
+    """The filters of an inspection, each with its limit."""
+    j = judged(spark, d)
+    doc = j.agg(F.min("doc_id")).first()[0]
+    parts = [("wrong", facts.inspect(j, 20, incorrect=True, representation="V")), ("abstained", facts.inspect(j, 20, abstained=True, condition="oracle")), ("document", facts.inspect(j, doc_id=doc))]
+    out = None
+    for name, r in parts:
+        r = r.select(F.lit(name).alias("filter"), "seq")
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
+@query("condition_arms", "WITH b AS (SELECT DISTINCT split_part(condition, '__', 1) AS base FROM predictions) SELECT base, CASE WHEN starts_with(base, 'retrieved_text_') THEN 'text' WHEN starts_with(base, 'retrieved_vision_') THEN 'vision' WHEN starts_with(base, 'retrieved_joint_') THEN 'joint' ELSE '' END AS arm, coalesce(try_cast(nullif(regexp_extract(base, '_k(\\d+)$', 1), '') AS INT), 0) AS k FROM b")
+def _arms(spark, d):
+    arm, k = S.arm_and_k(F.col("base"))
+    return preds(spark, d).select(S.base_condition(F.col("condition")).alias("base")).distinct().select("base", arm.alias("arm"), k.alias("k"))
+
+
 # -- retrieval --------------------------------------------------------------------------
 
 @query("stub_retrieval", _CORPUS + f", {_NP} SELECT question_id, array_to_string(range(0, least(3, np.pages)), ',') AS pages FROM c JOIN np ON np.doc_id = c.doc_id")

@@ -109,6 +109,27 @@ def queue(lines: DataFrame) -> DataFrame:
     return df.withColumn("wait", S.wait_text(wait)).withColumn("gpus", S.gres_count(F.col("gres")))
 
 
+def queue_wait(jobs: DataFrame, now: Column, offset: Column) -> DataFrame:
+    """jobs with waited: how long a running job stood in the queue, or a pending one stands by now; 'unknown' without a submit time. offset: minutes east of UTC of the scheduler's clock."""
+    at = lambda c: F.unix_timestamp(F.try_to_timestamp(c, F.lit("yyyy-MM-dd'T'HH:mm:ss"))) - offset * 60
+    until = F.coalesce(F.when(F.col("state") == "R", at(F.col("start"))), F.unix_timestamp(now))
+    return jobs.withColumn("waited", F.coalesce(S.wait_text(until - at(F.col("submit"))), F.lit("unknown")))
+
+
+# The fields of an accounting line.
+ACCOUNT = ("job", "name", "user", "state", "elapsed", "submitted", "started", "ended", "partition", "tres")
+
+
+def completed(lines: DataFrame, partition: str | None = None, limit: int = 10) -> DataFrame:
+    """Completed jobs of pipe-delimited accounting lines, the newest end first; jobs without an end time last."""
+    p = F.split("value", r"\|", len(ACCOUNT))
+    df = lines.filter(F.size(p) == len(ACCOUNT)).select(*[F.trim(F.get(p, F.lit(i))).alias(n) for i, n in enumerate(ACCOUNT)])
+    df = df.filter(F.split("state", r"\s+")[0] == "COMPLETED")
+    df = df if partition is None else df.filter(F.col("partition") == partition)
+    known = F.when(~F.col("ended").isin("", "Unknown"), F.col("ended"))
+    return df.orderBy(F.desc_nulls_last(known), "job").limit(max(limit, 0))
+
+
 def nodes(lines: DataFrame) -> DataFrame:
     """Blocks of key=value pairs: node, state, cpus, memory in MiB, devices."""
     m = F.str_to_map("value", F.lit(r"\s+"), F.lit("="))

@@ -193,3 +193,29 @@ def test_materialized_once_until_the_source_changes(spark, tmp_path):
     assert get().count() == 3 and get().count() == 3 and len(calls) == 1
     spark.range(5).write.mode("overwrite").parquet(src)
     assert get().count() == 5 and len(calls) == 2
+
+
+def test_scheduler_values(spark):
+    from cellgrid.functions import scalar as S
+    from cellgrid.sources import corpora
+
+    t = F.col("t")
+    assert [one(spark, S.gres_kind(t), t=("string", v)) for v in ("gpu:V100:2", "gpu:2", "gpu:a:b", None)] == ["v100", None, None, None]
+    assert [one(spark, S.offset_minutes(t), t=("string", v)) for v in ("+0800", "-0330", "x", None)] == [480, -210, None, None]
+    a, k = S.arm_and_k(t)
+    assert [(one(spark, a, t=("string", v)), one(spark, k, t=("string", v))) for v in ("retrieved_vision_k5", "oracle", "retrieved_text_kx")] == [("vision", 5), ("", 0), ("text", 0)]
+    jobs = spark.createDataFrame([("R", "2026-01-01T08:00:00", "2026-01-01T09:00:01"), ("PD", "2026-01-01T08:00:00", "N/A"), ("PD", "", "")], "state string, submit string, start string")
+    got = corpora.queue_wait(jobs, F.lit("2026-01-02 00:30:00").cast("timestamp"), F.lit(480)).collect()
+    assert [r.waited for r in got] == ["01:00:01", "1d 00:30:00", "unknown"]
+    line = lambda job, state, end, part="gpu": "|".join([job, "n", "u", state, "1", "s", "b", end, part, "t"])
+    lines = spark.createDataFrame([(x,) for x in (line("1", "COMPLETED", "2026-01-01"), line("2", "COMPLETED", "Unknown"), line("3", "FAILED", "2026-01-03"), line("4", "COMPLETED", "2026-01-02", "cpu"), "", "short|line")], "value string")
+    assert [r.job for r in corpora.completed(lines).collect()] == ["4", "1", "2"] and [r.job for r in corpora.completed(lines, "gpu", 1).collect()] == ["1"]
+
+
+def test_inspection_packets_and_listings(spark):
+    rows = spark.createDataFrame([("q1", "T", "c", 2, True, False, None), ("q1", "T", "c", 1, False, True, "x"), ("q0", "V", "c", 3, False, False, " ")], "question_id string, representation string, condition string, seq int, correct boolean, abstained boolean, text string")
+    seqs = lambda df: [r.seq for r in df.collect()]
+    assert seqs(facts.inspect(rows)) == [3, 1, 2] and seqs(facts.inspect(rows, incorrect=True, representation="T")) == [1] and seqs(facts.inspect(rows, 1)) == [3] and seqs(facts.inspect(rows, 0)) == []
+    assert rows.orderBy("seq").select(facts.packet(["seq", "text"]).alias("p")).first().p == "seq: 1\ntext: x" and rows.filter("seq = 3").select(facts.packet(["text"]).alias("p")).first().p == "text: -"
+    a = spark.createDataFrame([("a", 1), ("b", 2)], "name string, size int")
+    assert facts.same_files(a, a) and not facts.same_files(a, a.filter("size = 1"))
