@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import casefold
+from ..session import cut_lineage
 
 K1, B = 1.5, 0.75
 
@@ -80,7 +81,7 @@ def best_pages(hits: DataFrame, posted: DataFrame, queries: DataFrame, k: int, m
     of a document no more than its first 2 k pages can be needed.
     """
     miss = F.lit(0.0) if miss is None else miss
-    top = ranked(hits.filter("score > 0"), k)
+    top = cut_lineage(ranked(hits.filter("score > 0"), k))  # read three times; k rows a query
     first = posted.select("doc_id", "page").distinct().withColumn("__n", F.row_number().over(Window.partitionBy("doc_id").orderBy("page"))).filter(F.col("__n") <= 2 * max(k, 0)).select("doc_id", "page")
     few = queries.select("query_id", "doc_id").join(top.groupBy("query_id").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= k), "query_id", "left_anti")
     rest = few.join(first, "doc_id").join(top.select("query_id", "page"), ["query_id", "page"], "left_anti").withColumn("score", F.round(miss, 6))
